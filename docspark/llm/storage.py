@@ -1,0 +1,52 @@
+"""Shared intermediate tables.
+
+Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, which the driver and all
+executors share, so a lost executor never takes the only copy of an intermediate result along.
+Only where the session names no such folder (tests, a laptop) is a temporary one made.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    found = spark.conf.get(CHECKPOINT_DIR, None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="docspark-")
+        spark.conf.set(CHECKPOINT_DIR, found)
+    return found.rstrip("/")
+
+
+class Workspace:
+    """A folder of its own below the shared one for the tables of one run."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self._made = 0
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back: its lineage ends at the written files."""
+        return self.read(self.write(df, name), df)
+
+    def write(self, df: DataFrame, name: str) -> str:
+        self._made += 1
+        path = f"{self.path}/{self._made:03d}-{name}"
+        df.write.parquet(path)
+        return path
+
+    def read(self, path: str, like: DataFrame) -> DataFrame:
+        return self.spark.read.schema(like.schema).parquet(path)
+
+    def drop(self, path: str) -> None:
+        """Delete a table that a later one has replaced."""
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
