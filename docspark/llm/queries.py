@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import importlib.util
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import language_id
+from docspark.llm import jpeg, language_id, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer file, found where its package is installed."""
+    return str(Path(importlib.util.find_spec("public_tokenizers").origin).parent / name)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 2: the language of every document, learned from the training fold."""
     docs = _table(spark, sf_dir, "documents")
@@ -19,8 +27,27 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3: every text stored as a JPEG's samples and read back, with its thumbnail's hash."""
+    return jpeg.store_texts(_table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6: all documents in sequences of at most 4096 tokens."""
+    return packing.best_fit(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7: every document's fingerprint and group of near duplicates."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_media_columns": op3_media_columns,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
 #: DuckDB SQL for the operators that SQL can express.
