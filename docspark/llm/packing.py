@@ -21,6 +21,7 @@ they come; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.arrow import pieces
+from docspark.llm.chunks import Chunks
 from docspark.llm.storage import Workspace
 
 CAPACITY, END = 4096, 1
@@ -40,49 +42,19 @@ _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _loaded: dict[str, Chunks] = {}
 
 
-class Chunks:
-    """Ids of white-space-separated chunks; at most ``limit`` chunks are remembered between batches."""
-
-    def __init__(self, path: str, limit: int = 200_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self._forget()
-
-    def _forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids behind each other, and the number of ids per text."""
-        if len(self.at) > self.limit:
-            self._forget()
-        split = [[x for x in _WHITE.split(t) if x] if any(c in t for c in _ODD) else t.split() for t in texts]
-        flat = [x for words in split for x in words]
-        new = list(set(flat).difference(self.at))
-        if new:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + len(self.ids)
-            self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x), np.uint32)))
-            self.starts = np.concatenate((self.starts, ends))
-        at = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-        first = self.starts[at]
-        n = self.starts[at + 1] - first
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(first - (ends - n), n) + np.arange(total)]
-        upto = np.concatenate(([0], ends))[np.cumsum([0, *map(len, split)])]
-        return ids, np.diff(upto)
+def split(text: str) -> list[str]:
+    """The white-space-separated chunks, by Unicode's white space."""
+    return [x for x in _WHITE.split(text) if x] if any(c in text for c in _ODD) else text.split()
 
 
 def chunks(path: str) -> Chunks:
     """The tokenizer, loaded once a worker."""
     if path not in _loaded:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _loaded[path] = Chunks(path)
+        from tokenizers import Tokenizer
+
+        encode = Tokenizer.from_file(path).encode_batch_fast
+        _loaded[path] = Chunks(split, lambda new: [x.ids for x in encode(new, add_special_tokens=False)])
     return _loaded[path]
 
 

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import jpeg, language_id, packing, simhash
+from docspark.llm import html_extract, jpeg, language_id, packing, pii, simhash, url_filter, warc, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def vocabulary(name: str) -> str:
     return str(Path(importlib.util.find_spec("public_tokenizers").origin).parent / name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1: every document encoded by the byte-pair model and decoded again."""
+    return wfst.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 2: the language of every document, learned from the training fold."""
     docs = _table(spark, sf_dir, "documents")
@@ -32,6 +37,17 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.store_texts(_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4: every page's verdict by rules and by its aliases."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filter.filter_urls(pages, url_filter.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5: every page's main text by the winning container paths of its host."""
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6: all documents in sequences of at most 4096 tokens."""
     return packing.best_fit(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -43,12 +59,35 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8: every page written into WARC archives and read back."""
+    found = warc.read(spark, warc.archive(_table(spark, sf_dir, "pages")))
+    number = lambda name: F.regexp_extract(name, r"^urn:page:(-?[0-9]+)$", 1)
+    page = lambda name: F.when(number(name) != "", number(name).cast("long"))
+    digest = F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.col("payload_digest"))
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10: personal data in every document, by base patterns and trusted contexts."""
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
     "op3_media_columns": op3_media_columns,
+    "op4_url_filters": op4_url_filters,
+    "op5_html_extraction": op5_html_extraction,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_warc": op8_warc,
+    "op10_pii": op10_pii,
 }
 
 #: DuckDB SQL for the operators that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_url_filters": url_filter.ORACLE,
+    "op8_warc": warc.ORACLE,
+}
