@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import html_extract, jpeg, language_id, packing, pii, simhash, url_filter, warc, wfst
+from docspark.llm import ann, html_extract, jpeg, language_id, packing, pii, simhash, url_filter, warc, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(page("record_id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9: the ten nearest neighbours of every row whose identifier is divisible by 100."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10: personal data in every document, by base patterns and trusted contexts."""
     found = pii.find(_table(spark, sf_dir, "documents"))
@@ -83,6 +88,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_warc": op8_warc,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_pii": op10_pii,
 }
 
