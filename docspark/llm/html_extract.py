@@ -51,8 +51,11 @@ _DROP_WORDS = frozenset(
 )
 _DROP_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
+#: Paths are told to so many levels, and an end tag closes an element so many levels up at most.
+_LEVELS, _DEPTH = 32, 256
+
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>", re.S
+    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/<>]{0,99})((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"']){0,5000}+)>", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[^a-z0-9]+")
@@ -72,8 +75,8 @@ class Block:
 @dataclass(slots=True)
 class _Open:
     tag: str
-    label: str
     dropped: bool
+    path: tuple[str, ...]
 
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
@@ -104,7 +107,7 @@ def blocks(page: str | None) -> list[Block]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(tuple(x.label for x in stack if x.tag in _CONTAINERS), text, linked))
+                out.append(Block(stack[-1].path if stack else (), text, linked))
             held.clear()
         linked = 0
 
@@ -124,14 +127,15 @@ def blocks(page: str | None) -> list[Block]:
         del stack[depth:]
 
     def last(tags: tuple[str, ...], until: tuple[str, ...] = ()) -> int:
-        for i in range(len(stack) - 1, -1, -1):
+        for i in range(len(stack) - 1, max(-1, len(stack) - _DEPTH), -1):
             if stack[i].tag in tags:
                 return i
             if stack[i].tag in until:
                 break
         return -1
 
-    while (m := _TOKEN.search(page, at)) is not None:
+    final = page.rfind(">")
+    while at <= final and (m := _TOKEN.search(page, at)) is not None:
         say(page[at : m.start()])
         at = m.end()
         tag = m[2]
@@ -174,7 +178,10 @@ def blocks(page: str | None) -> list[Block]:
         dropped = bool(stack and stack[-1].dropped) or _unwanted(tag, found)
         if dropped and not (stack and stack[-1].dropped) and tag not in _BLOCK:
             say(" ")
-        stack.append(_Open(tag, _label(tag, found), dropped))
+        path = stack[-1].path if stack else ()
+        if tag in _CONTAINERS and len(path) < _LEVELS:
+            path = (*path, _label(tag, found))
+        stack.append(_Open(tag, dropped, path))
         links += tag == "a"
     # a "<" that opens no tag is text
     say(page[at:])

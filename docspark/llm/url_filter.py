@@ -152,7 +152,7 @@ WITH RECURSIVE p AS (
 ), tags AS (
   SELECT *, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM q WHERE host <> ''
 ), hrefs AS (
-  SELECT *, replace(CASE WHEN regexp_matches(tag, '(?is)\srel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^\s"''>]+)', 1)
+  SELECT *, replace(CASE WHEN regexp_matches(tag, '(?is)\srel\s*=\s*["'']?(?:[^"''>]*\s)?canonical[\s"''>]') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^\s"''>]+)', 1)
     WHEN regexp_matches(tag, '(?is)\shttp-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?is)\scontent\s*=\s*["'']?[0-9.\s]*[;,]\s*(?:url\s*=\s*)?["'']?([^"''>]*)', 1) END, '&amp;', '&') AS href FROM tags
 ), targets AS (
   SELECT host || path || query AS a, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN substr(href, instr(href, '://') + 3)
