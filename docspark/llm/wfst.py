@@ -12,7 +12,7 @@ not segmentations, so its scores cannot be added up: the least-weight path by th
 Its machine instead remembers the last piece and has an arc to the next piece only where merging
 the characters of both leaves exactly this pair; every other arc has infinite weight. A sequence is the
 merge result of its characters if and only if all neighbours fit in this way, so that one path of
-finite weight is left, and the same shortest-path search finds it. Pairs are tried when they first occur.
+finite weight is left, which a depth-first search finds. Pairs are tried when they first occur.
 
 Words (runs that start with blanks) never share a piece, so a batch's distinct words are encoded
 once (:mod:`docspark.llm.chunks`). Nothing is shuffled.
@@ -59,6 +59,7 @@ class Model:
         if kind == BPE:  # pieces that merging never makes are on no path
             self.ids = {x: i for x, i in self.ids.items() if self.merge(x) == [x]}
         self._fits: dict[int, bool] = {}
+        self._compile()
         self._rewrite = re.compile("|".join(map(re.escape, sorted(self.rules, key=len, reverse=True))))
         many = [x for x, (_, _, type_) in zip(self.names, entries, strict=True) if type_ in (_NORMAL, _USER) and len(x) > 1]
         #: whether blanks stand at the start of pieces only, so that words are independent
@@ -111,39 +112,58 @@ class Model:
         pair = [self.names[x] if x >= 0 else chr(-1 - x) for x in (before, piece)]
         return self.merge("".join(pair)) == pair
 
+    def _compile(self) -> None:
+        """The pieces' trie, and every piece's length and longest shorter piece that starts alike."""
+        self._trie: dict = {}
+        self._length, self._shorter = [0] * len(self.names), [None] * len(self.names)
+        for piece, i in self.ids.items():
+            node = self._trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
+            self._length[i] = len(piece)
+            heads = (self.ids.get(piece[:n]) for n in range(len(piece) - 1, 0, -1))
+            self._shorter[i] = next((x for x in heads if x is not None), -1 - ord(piece[0]) if len(piece) > 1 else None)
+
     def _merged(self, word: str) -> list[int]:
-        """The path of finite weight where the last piece is the state: one state a position at most."""
-        get, known, longest = self.ids.get, self._fits, self.longest
+        """The path of finite weight, depth first with longer pieces first.
+
+        The last piece of a merged prefix is unique, so a position that led nowhere is a dead end for all.
+        """
+        known, length, shorter, trie, n = self._fits, self._length, self._shorter, self._trie, len(word)
         if len(known) > 1_000_000:
             known.clear()
-        last: list[int | None] = [None]
-        back = [0]
-        for end in range(1, len(word) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                i = get(word[start:end])
-                if i is None:
-                    if end - start > 1:
-                        continue
-                    i = -1 - ord(word[start])
-                before = last[start]
-                if before is not None or not start:
-                    if not start:
+        dead: set[int] = set()
+        out: list[int] = []
+        at, last, fresh = 0, None, True
+        while at < n:
+            if fresh:  # the longest piece from here on
+                i, node, k = -1 - ord(word[at]), trie, at
+                while k < n and (node := node.get(word[k])) is not None:
+                    k += 1
+                    i = node.get("", i)
+            while i is not None:
+                end = at + (length[i] if i >= 0 else 1)
+                if end not in dead:
+                    if last is None:
                         break
-                    key = before << 22 ^ i
+                    key = last << 22 ^ i
                     fit = known.get(key)
                     if fit is None:
-                        fit = known[key] = self.fits(before, i)
+                        fit = known[key] = self.fits(last, i)
                     if fit:
                         break
+                i = shorter[i] if i >= 0 else None
+            fresh = i is not None
+            if fresh:
+                out.append(i)
+                at, last = end, i
             else:
-                i = start = None
-            last.append(i)
-            back.append(start)
-        out, at = [], len(word)
-        while at:
-            out.append(last[at])
-            at = back[at]
-        return out[::-1]
+                dead.add(at)
+                i = out.pop()
+                at -= length[i] if i >= 0 else 1
+                i, last = shorter[i] if i >= 0 else None, out[-1] if out else None
+        return out
 
     def _lightest(self, word: str) -> list[int]:
         """The path of least total weight, one state a position."""
