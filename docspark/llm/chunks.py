@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -13,7 +14,7 @@ class Chunks:
     ``split`` cuts a text into chunks, ``encode`` gives the ids of a list of chunks.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], limit: int = 200_000):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list], limit: int = 200_000):
         self.split, self.encode_new, self.limit = split, encode, limit
         self._forget()
 
@@ -32,7 +33,7 @@ class Chunks:
             found = self.encode_new(new)
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
             ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + len(self.ids)
-            self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x), np.uint32)))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32)))
             self.starts = np.concatenate((self.starts, ends))
         at = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
         first = self.starts[at]

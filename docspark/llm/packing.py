@@ -13,7 +13,7 @@ group. No task ever holds more than about ``group_rows`` pieces.
 
 Tokenising. ``word_bpe_49k`` drops white space before it splits words, so that a text's ids are the
 concatenated ids of its white-space-separated chunks. A batch's distinct chunks are encoded by the
-tokenizer, and numpy gathers the ids of all documents.
+tokenizer (plain words by its model alone), and numpy gathers the ids of all documents.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed as often as
 they come; an empty table gives no rows; further columns are ignored.
@@ -47,14 +47,58 @@ def split(text: str) -> list[str]:
     return [x for x in _WHITE.split(text) if x] if any(c in text for c in _ODD) else text.split()
 
 
+class _Words:
+    """Ids of chunks. Latin words go to the tokenizer's model at once, as its normaliser and pre-tokenizer would hand them over."""
+
+    # Latin letters only, whose lower case is one letter again (so not U+0130), and ASCII marks behind them;
+    # not the apostrophe of contractions and not "<" of special tokens
+    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=-@[-`{-~]*)")
+    limit = 200_000
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.known: dict[str, tuple[int, ...]] = {}
+        # the byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(printable)]
+        letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.alphabet = {i: letters[i] for i in range(256)}
+
+    def _learn(self, word: str) -> tuple[int, ...]:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        ids = self.known[word] = tuple([t.id for t in self.tokenizer.model.tokenize(mapped)])
+        return ids
+
+    def __call__(self, new: list[str]) -> list[tuple[int, ...]]:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        found: list[tuple[int, ...] | None] = []
+        known, learn, plain = self.known, self._learn, self.plain.fullmatch
+        others = []
+        for chunk in new:
+            m = plain(chunk)
+            if m is None:
+                others.append(len(found))
+                found.append(None)
+                continue
+            word, marks = m.groups()
+            word = word.lower()
+            ids = known.get(word) or learn(word)
+            if marks:
+                ids += known.get(marks) or learn(marks)
+            found.append(ids)
+        for at, x in zip(others, self.tokenizer.encode_batch_fast([new[i] for i in others], add_special_tokens=False), strict=True):
+            found[at] = x.ids
+        return found
+
+
 def chunks(path: str) -> Chunks:
     """The tokenizer, loaded once a worker."""
     if path not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(path).encode_batch_fast
-        _loaded[path] = Chunks(split, lambda new: [x.ids for x in encode(new, add_special_tokens=False)])
+        _loaded[path] = Chunks(split, _Words(Tokenizer.from_file(path)), 300_000)
     return _loaded[path]
 
 
