@@ -11,7 +11,7 @@ left out wherever they stand. Blocks come in page order; inside a block, charact
 white space becomes one blank.
 
 Votes are pre-aggregated per task, the winners are one row per host with at most ``winners`` paths
-(a top-k), and pages meet them in one join on the host.
+(a top-k). Pages meet them without a shuffle while the winners' measured size is small, else in one salted join.
 
 Defined cases: a null or empty page has the empty text; a null url belongs to the empty host; tags may
 be unclosed, nested wrongly or cut; equal votes go to the path that sorts first; repeated rows vote
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.llm.arrow import pieces, put
+from docspark.llm.storage import Workspace
 
 # Element kinds of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -239,11 +240,26 @@ def winning_paths(pages: DataFrame, winners: int = 4, least_share: float = 0.1)
     return kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "vote"))).alias("w")).select("host", F.col("w.vote").alias("winners"))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def _with_winners(pages: DataFrame, broadcast_chars: int, salts: int) -> DataFrame:
+    """``pages`` with their host's ``winners``.
+
+    Winners of up to ``broadcast_chars`` characters in all go to every task. Beyond that they are joined by host, and a
+    host's pages are dealt over ``salts`` keys, so that one host's pages never meet in one task.
+    """
+    found = Workspace(pages.sparkSession, "html").table(winning_paths(pages), "winners")
+    size = found.agg(F.sum(F.length("host") + F.length(F.array_join("winners", ">")) + 64)).first()[0] or 0
+    if size <= broadcast_chars:
+        return pages.join(F.broadcast(found), "host", "left")
+    dealt = pages.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    copied = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, ["host", "__salt"], "left").drop("__salt")
+
+
+def main_text(pages: DataFrame, broadcast_chars: int = 8 << 20, salts: int = 64) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row of ``pages(page_id, url, html)``."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[^:/?#]*://([^/?#]*)", 1), F.lit("")))
     own = pages.select("page_id", "url", "html", host.alias("host"))
-    joined = own.join(winning_paths(own), "host", "left").select("page_id", "url", "html", "winners")
+    joined = _with_winners(own, broadcast_chars, salts).select("page_id", "url", "html", "winners")
 
     def run(batches):
         for batch in pieces(batches, "html"):

@@ -46,6 +46,8 @@ def test_consensus_reads_a_short_page_like_its_host(spark):
     assert said[0] == TEXT.strip() and said[9] == "short"
     assert said[10].startswith("A sentence")  # alone, its own vote counts
     assert said[11] == said[12] == ""
+    joined = html_extract.main_text(pages, broadcast_chars=0, salts=3)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, found.collect()))
     assert html_extract.main_text(pages.limit(0)).collect() == []
 
 
