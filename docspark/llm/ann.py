@@ -140,7 +140,7 @@ def _start(codes: DataFrame, n: int, dim: int, tables: int, leaf: int, block: in
 
 def graph(codes: DataFrame, work: Workspace, n: int, dim: int, degree: int, tables: int, leaf: int, rounds: int, block: int, most: int, seed: int = 7) -> DataFrame:
     """Directed edges ``(u, w, d)`` to each node's ``degree`` nearest known neighbours."""
-    edges = work.table(_nearest(_start(codes, n, dim, tables, leaf, 2 * leaf, most, seed), degree), "start")
+    edges = work.table(_nearest(_start(codes, n, dim, tables, leaf, 2 * leaf, most, seed), degree), "start", n * degree)
     for _ in range(rounds):
         worst = edges.groupBy("u").agg(F.max("d").alias("far"), F.count("*").alias("n"))
         bound = F.when(F.col("n") >= degree, F.col("far")).otherwise(F.lit(float("inf"))).cast("float")
@@ -149,7 +149,7 @@ def graph(codes: DataFrame, work: Workspace, n: int, dim: int, degree: int, tabl
         around = around.unionByName(codes.select(F.col("u").alias("center"), "u"))
         dealt = _spread(around, ["center"], block).join(nodes, "u")
         grouped = dealt.groupBy("center", "part").agg(F.collect_list(F.struct("u", "code", "bound")).alias("members"))
-        edges = work.table(_nearest(edges.unionByName(_local_join(grouped, most, True)), degree), "round")
+        edges = work.table(_nearest(edges.unionByName(_local_join(grouped, most, True)), degree), "round", n * degree)
     return edges
 
 
@@ -165,12 +165,13 @@ def _measured(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "query long, node long, d float")
 
 
-def search(start: DataFrame, edges: DataFrame, codes: DataFrame, work: Workspace, beam: int, max_hops: int = 64) -> DataFrame:
+def search(start: DataFrame, edges: DataFrame, codes: DataFrame, work: Workspace, beam: int, n_edges: int, max_hops: int = 64) -> DataFrame:
     """``(query, node, d)``: the final beam of every node of ``start(query)``, the query included."""
     both = edges.select(F.col("u").alias("node"), F.col("w").alias("next")).unionByName(edges.select(F.col("w").alias("node"), F.col("u").alias("next")))
-    both = work.table(both.distinct(), "adjacent")
-    own = work.table(start.join(codes, start["query"] == codes["u"]).select("query", F.col("code").alias("a")), "queries")
-    state = work.table(own.select("query", F.col("query").alias("node"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("expanded")), "beam")
+    both = work.table(both.distinct(), "adjacent", 2 * n_edges)
+    own = work.table(start.join(codes, start["query"] == codes["u"]).select("query", F.col("code").alias("a")), "queries", n_edges)
+    state = work.table(own.select("query", F.col("query").alias("node"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("expanded")), "beam", n_edges)
+    n_beams = beam * own.count()
     for _ in range(max_hops):
         frontier = state.where("not expanded").select("query", "node")
         reached = frontier.join(both, "node").select("query", F.col("next").alias("node")).distinct()
@@ -178,7 +179,7 @@ def search(start: DataFrame, edges: DataFrame, codes: DataFrame, work: Workspace
         met = state.withColumn("expanded", F.lit(True)).unionByName(_measured(pairs).withColumn("expanded", F.lit(False)))
         merged = met.repartition("query").groupBy("query", "node").agg(F.min("d").alias("d"), F.max("expanded").alias("expanded"))
         rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
-        state = work.table(merged.withColumn("__rank", rank).where(F.col("__rank") <= beam).drop("__rank"), "beam")
+        state = work.table(merged.withColumn("__rank", rank).where(F.col("__rank") <= beam).drop("__rank"), "beam", n_beams)
         if not state.where("not expanded").limit(1).count():
             break
     return state.select("query", "node", "d")
@@ -198,12 +199,12 @@ def nearest(
     nodes = work.table(own.groupBy("h", "v").agg(F.min("vec_id").alias("u")), "nodes")
     n = nodes.count()
     dim = len(nodes.select("v").first()["v"]) if n else 1
-    codes = work.table(_codes(nodes.select("u", "v")), "codes")
+    codes = work.table(_codes(nodes.select("u", "v")), "codes", n)
     edges = graph(codes, work, n, dim, degree, tables, leaf, rounds, block, most)
     a, b = own.alias("a"), nodes.alias("b")
-    member = work.table(a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.v") == F.col("b.v"))).select(F.col("a.vec_id").alias("vec_id"), F.col("b.u").alias("u")), "members")
+    member = work.table(a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.v") == F.col("b.v"))).select(F.col("a.vec_id").alias("vec_id"), F.col("b.u").alias("u")), "members", n)
     queries = member.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("u").alias("query"))
-    beams = search(queries.select("query").distinct(), edges, codes, work, max(beam, k + 1))
+    beams = search(queries.select("query").distinct(), edges, codes, work, max(beam, k + 1), n * degree)
     left, right = nodes.select(F.col("u").alias("query"), F.col("v").alias("a")), nodes.select(F.col("u").alias("node"), F.col("v").alias("b"))
     scored = beams.join(right, "node").join(left, "query").select("query", "node", _exact(F.col("a"), F.col("b")).alias("score"))
     few = F.row_number().over(Window.partitionBy("u").orderBy("vec_id"))

@@ -32,8 +32,13 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: its lineage ends at the written files."""
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back: its lineage ends at the written files.
+
+        A table of about ``rows`` rows is written as few files: one a task slot, or one every 250,000 rows.
+        """
+        if rows is not None:
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, rows // 250_000))
         return self.read(self.write(df, name), df)
 
     def write(self, df: DataFrame, name: str) -> str:
