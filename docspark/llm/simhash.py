@@ -45,17 +45,21 @@ WORDS, SEED, MAX_DISTANCE = 3, 42, 2
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The fingerprint as an unsigned integer."""
+def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> list[int]:
+    """The hash of every shingle of ``words`` words; fewer words are one, no words none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return []
     whole = b" ".join(tokens)
-    ends = list(accumulate((len(x) + 1 for x in tokens), initial=-1))  # ends[i]: end of word i - 1
     if len(tokens) <= words:
-        hashes = [xxh64_intdigest(whole, seed)]
-    else:
-        hashes = [xxh64_intdigest(whole[a + 1 : b], seed) for a, b in zip(ends, ends[words:], strict=False)]
+        return [xxh64_intdigest(whole, seed)]
+    ends = list(accumulate((len(x) + 1 for x in tokens), initial=-1))  # ends[i]: end of word i - 1
+    return [xxh64_intdigest(whole[a + 1 : b], seed) for a, b in zip(ends, ends[words:], strict=False)]
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The fingerprint as an unsigned integer."""
+    hashes = shingle_hashes(text, words, seed)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _BLOCK):
         block = np.array(hashes[i : i + _BLOCK], ">u8")
