@@ -30,8 +30,9 @@ def forward_asof(entries: DataFrame, marks: DataFrame, keys: list[str], at: str,
     reach = marks.select(*keys, F.col(mark).alias("__mark"), F.max(mark_at).over(order).alias("__at"))
     held = entries.select(*keys, F.struct(*entries.columns).alias("__entry"), F.col(at).alias("__at"))
     both = held.withColumn("__mark", F.lit(None).cast("long")).unionByName(reach.withColumn("__mark", F.col("__mark").cast("long")), allowMissingColumns=True)
-    following = Window.partitionBy(*keys).orderBy(F.col("__at"), F.col("__mark").isNotNull(), "__mark").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn(mark, F.first("__mark", ignorenulls=True).over(following))
+    # from the largest offset down, so that the frame only grows and every row costs the same
+    falling = Window.partitionBy(*keys).orderBy(F.desc("__at"), F.col("__mark").isNotNull().desc(), F.desc("__mark")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(mark, F.last("__mark", ignorenulls=True).over(falling))
     return found.where(F.col("__entry").isNotNull() & F.col(mark).isNotNull()).select("__entry.*", mark)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,15 @@ def test_running_offset_and_asof_against_loops(spark):
     assert {(x["f"], x["k"], x["i"]) for x in found.collect()} == expected
 
 
+def test_asof_of_one_large_key_takes_linear_time(spark):
+    entries = spark.range(100_000).select(F.lit(1).alias("f"), (F.col("id") * 7919 % 1_000_000).alias("at"), F.col("id").alias("k"))
+    marks = spark.range(1000).select(F.lit(1).alias("f"), (F.col("id") * 1000).alias("run"), F.col("id").alias("i"))
+    began = time.time()
+    found = relational.forward_asof(entries, marks, ["f"], "at", "run", "i")
+    wrong = found.where(F.col("i") != F.ceil(F.col("at") / 1000)).count()
+    assert wrong == 0 and time.time() - began < 20
+
+
 def test_trees_and_indexes():
     entries = [struct.pack("<2I", i, 2 * i) for i in range(9000)]
     assert container.contexts(_tree(entries)) == [(i, 2 * i) for i in range(9000)]
