@@ -8,20 +8,24 @@ records are skipped by ``Content-Length``, gzip members by the skip-lengths fiel
 leaves in the member's header (members without it have to be inflated up to their end). Option
 ``payload=false`` skips payloads of all records.
 
-Writing (``df.write.format("warc")``). Every task writes hidden files of its own, rolled at
-``fileBytes``; the driver reveals the files of the tasks that succeeded when the job commits, so a repeated
-task leaves nothing behind that a reader sees. One gzip member a record (``compression=none``: plain).
+Writing (``df.write.format("warc")``). Every task writes files of its own, rolled at ``fileBytes``, into the
+job's hidden folder; when the job commits, the driver moves the files of the tasks that succeeded out of it and
+removes the rest, so a failed or repeated task leaves nothing behind. One gzip member a record
+(``compression=none``: plain).
 
 Paths may be in any file system that ``pyarrow.fs`` opens and that all executors see.
 
 Defined cases: a null payload is empty; headers of unusual case and unknown headers are kept in
-``headers``; a cut or broken record raises an error unless ``mode=PERMISSIVE``, which ends that file there;
-an empty folder gives no rows.
+``headers``, the values of a repeated one joined by ", " (the first counts where one is needed); a cut or broken
+record raises an error unless ``mode=PERMISSIVE``, which ends that file there; an empty folder gives no
+rows; a payload may have any length that fits into memory once, and is compared whole by SHA-256; of rows that
+repeat the largest identifier all are responses; further columns of pages are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import uuid
 import zlib
@@ -41,6 +45,7 @@ from pyspark.sql.datasource import (
     Filter,
     In,
     InputPartition,
+    IsNotNull,
     StringStartsWith,
     WriterCommitMessage,
 )
@@ -106,7 +111,7 @@ class _Source:
     def _read(self, at: int, n: int) -> bytes:
         return bytes(self.file.read_at(max(0, min(n, self.size - at)), at))
 
-    def records(self) -> Iterator[tuple[dict[str, str], callable]]:
+    def records(self) -> Iterator[tuple[_Headers, callable]]:
         """Headers and a function that gives the block; the next step goes on behind the record either way."""
         while self.at < self.size:
             first = self._read(self.at, 2)
@@ -179,15 +184,25 @@ class _Source:
             self.at = at - len(inflate.unused_data)
 
 
-def _headers(raw: bytes) -> dict[str, str]:
+class _Headers(dict):
+    """A record's headers by lower-case name, the first of each; ``all`` has every value."""
+
+    def __init__(self):
+        super().__init__()
+        self.all: dict[str, str] = {}
+
+
+def _headers(raw: bytes) -> _Headers:
     lines = raw.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise BadRecord("no WARC version line")
-    out: dict[str, str] = {}
+    out = _Headers()
     for line in lines[1:]:
         name, colon, value = line.partition(":")
         if colon:
-            out[name.strip().lower()] = value.strip()
+            name, value = name.strip().lower(), value.strip()
+            out.setdefault(name, value)
+            out.all[name] = f"{out.all[name]}, {value}" if name in out.all else value
     return out
 
 
@@ -241,9 +256,10 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
             name = getattr(f, "attribute", ())
-            if isinstance(f, EqualTo | In | StringStartsWith) and len(name) == 1 and name[0] in _FILTERS:
-                kind = "starts" if isinstance(f, StringStartsWith) else "is"
-                self.wanted.append((_FILTERS[name[0]], kind, tuple(f.value) if isinstance(f, In) else (f.value,)))
+            if isinstance(f, EqualTo | In | StringStartsWith | IsNotNull) and len(name) == 1 and name[0] in _FILTERS:
+                kind = "starts" if isinstance(f, StringStartsWith) else "any" if isinstance(f, IsNotNull) else "is"
+                values = () if kind == "any" else tuple(f.value) if isinstance(f, In) else (f.value,)
+                self.wanted.append((_FILTERS[name[0]], kind, values))
             else:
                 yield f
 
@@ -251,7 +267,8 @@ class WarcReader(DataSourceReader):
         fs, path = _open(self.path)
         info = fs.get_file_info(path)
         found = [info] if info.is_file else fs.get_file_info(pa.fs.FileSelector(path, recursive=True, allow_not_found=True))
-        files = sorted((x.path, x.size) for x in found if x.is_file and x.base_name[:1] not in "._" and x.base_name.endswith((".warc", ".warc.gz")))
+        hidden = re.compile(r"/[._][^/]*")
+        files = sorted((x.path, x.size) for x in found if x.is_file and x.base_name.endswith((".warc", ".warc.gz")) and not hidden.search(x.path, len(path.rstrip("/"))))
         parts: list[_Files] = []
         held = self.partition_bytes
         for name, size in files:
@@ -266,7 +283,7 @@ class WarcReader(DataSourceReader):
         for name, kind, values in self.wanted:
             said = headers.get(name)
             said = _bare(said) if name == "warc-record-id" else said
-            if said is None or (said not in values if kind == "is" else not said.startswith(values)):
+            if said is None or (kind == "is" and said not in values) or (kind == "starts" and not said.startswith(values)):
                 return True
         return False
 
@@ -291,7 +308,7 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    def _row(self, headers: dict[str, str], block) -> tuple[dict, int]:
+    def _row(self, headers: _Headers, block) -> tuple[dict, int]:
         revisit = headers.get("warc-type") == "revisit"
         payload = told = None
         if revisit or self.with_payload:
@@ -301,7 +318,7 @@ class WarcReader(DataSourceReader):
         row = {
             "record_id": _bare(headers.get("warc-record-id")), "record_type": headers.get("warc-type"), "target_uri": headers.get("warc-target-uri"),
             "date": headers.get("warc-date"), "refers_to": _bare(headers.get("warc-refers-to")), "payload_bytes": size,
-            "payload_digest": _hex(headers.get("warc-payload-digest")), "headers": list(headers.items()), "payload": body,
+            "payload_digest": _hex(headers.get("warc-payload-digest")), "headers": list(headers.all.items()), "payload": body,
         }
         return row, 1024 + len(body or b"")
 
@@ -318,10 +335,11 @@ class WarcWriter(DataSourceArrowWriter):
         self.path = options["path"]
         self.gzip = options.get("compression", "gzip").lower() == "gzip"
         self.file_bytes = int(options.get("filebytes", 128 << 20))
+        self.job = f".job-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, path = _open(self.path)
-        fs.create_dir(path, recursive=True)
+        fs.create_dir(f"{path}/{self.job}", recursive=True)
         names: list[str] = []
         out, size = None, 0
         for batch in iterator:
@@ -332,7 +350,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is not None:
                         out.close()
                     names.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
-                    out, size = fs.open_output_stream(f"{path}/.{names[-1]}", compression=None), 0
+                    out, size = fs.open_output_stream(f"{path}/{self.job}/{names[-1]}", compression=None), 0
                 out.write(data)
                 size += len(data)
         if out is not None:
@@ -342,12 +360,17 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[_Written | None]) -> None:
         fs, path = _open(self.path)
         for name in (n for m in messages if m is not None for n in m.names):
-            fs.move(f"{path}/.{name}", f"{path}/{name}")
+            fs.move(f"{path}/{self.job}/{name}", f"{path}/{name}")
+        self._clear()
 
     def abort(self, messages: list[_Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        """Remove the job's folder with what failed tasks left in it."""
         fs, path = _open(self.path)
-        for name in (n for m in messages if m is not None for n in m.names):
-            fs.delete_file(f"{path}/.{name}")
+        if fs.get_file_info(f"{path}/{self.job}").type == pa.fs.FileType.Directory:
+            fs.delete_dir(f"{path}/{self.job}")
 
 
 class WarcDataSource(DataSource):
@@ -373,18 +396,20 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def to_records(pages: DataFrame, least_bytes: int = 1000, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
+def to_records(pages: DataFrame, least_bytes: int = 1000, date: str = "2026-01-01T00:00:00Z", salts: int = 16) -> DataFrame:
     """WARC records of ``pages(page_id, url, html)``, one a row.
 
     Of records with equal payloads of at least ``least_bytes`` that with the largest identifier is the
     response, the others revisit it (rows that repeat that identifier are responses too; where all
-    identifiers are null, all are responses). Equal means equal SHA-256; shorter ones are responses.
+    identifiers are null, all are responses). Equal means equal SHA-256; shorter ones are responses. The
+    pages of one payload, however many, are dealt over ``salts`` join keys.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     own = own.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("key", F.sha2("payload", 256))
     best = own.where(F.col("payload_bytes") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = own.join(best, "key", "left")
+    dealt = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    joined = dealt.join(best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["key", "salt"], "left")
     revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     urn = lambda x: F.concat(F.lit("urn:page:"), F.coalesce(x.cast("string"), F.lit("null")))
     return joined.select(
