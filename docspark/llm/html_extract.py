@@ -1,21 +1,25 @@
 """Main text of web pages by consensus host paths.
 
 Every page's containers are scored by the text they hold outside links, and the page votes for the
-generalised path (tags with their sorted classes, digits removed) of the tightest container that holds
-most of it. Spark adds the votes up per host; a page's text is then what lies in containers of the
-winning path that it has (most votes first), so that a short page, whose own best container might be a
+generalised paths (tags with their sorted classes, digits removed) of the tightest sibling containers that
+hold its text. Spark adds the votes up per host; a page's text is then what lies in containers of the
+winning vote that it has (most votes first), so that a short page, whose own best container might be a
 notice, is read like the rest of its site. A page without any winning path uses its own vote.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and styles are
-left out wherever they stand. Blocks come in page order; inside a block, character references are decoded and
-white space becomes one blank.
+left out wherever they stand: by their tags and roles, and where a class or id of a container, list or
+paragraph consists of their words only (``comment-list``, not ``hljs-comment`` or ``related-work``). Where
+the only article or main element, or without any such element over half of the text, lies in a container
+marked like that, the container is a mere wrapper and stays; reader comments never do. Blocks come in page
+order; inside a block, character references are decoded and white space becomes one blank.
 
-Votes are pre-aggregated per task, the winners are one row per host with at most ``winners`` paths
+Votes are pre-aggregated per task, the winners are one row per host with at most ``winners`` votes
 (a top-k). Pages meet them without a shuffle while the winners' measured size is small, else in one salted join.
 
 Defined cases: a null or empty page has the empty text; a null url belongs to the empty host; tags may
-be unclosed, nested wrongly or cut; equal votes go to the path that sorts first; repeated rows vote
-and are extracted as often as they come; an empty table gives no rows.
+be unclosed, nested wrongly or cut, of any length and depth, in linear time; a "<" that opens no tag is text; equal
+votes go to the one that sorts first; repeated rows vote and are extracted as often as they come; an empty
+table gives no rows; existing columns named like the added ones are replaced, further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,49 +39,88 @@ from docspark.storage import Workspace
 
 # Element kinds of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes".split())
+_RAW = frozenset("script style textarea title iframe noembed noframes".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_DROP_TAGS = frozenset("nav header footer aside form head button select option input menu dialog label fieldset".split()) | _RAW
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
 _CONTAINERS = frozenset("article body center div main section table tbody tr td".split())
 _CLOSES_P = _BLOCK - frozenset("body head html option".split())
 _OF_KIND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-# Words in a class, id or role that mark what is not the article.
-_DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies "
+_ALIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+_NOT_SELF_CLOSED = _BLOCK | frozenset("a b code em i small span strong sub sup u".split())
+# Tags that are never the article, tags that wrap it at most, and roles like them.
+_NEVER = frozenset("button datalist footer head menu nav noscript option select svg template".split())
+_WRAPPERS = frozenset("aside dialog form header".split())
+_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
+# Words of a class or id that mark what is not the article, and words that may stand beside them.
+_MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "disqus footer header menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion "
-    "related recommended replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "related recommended replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
-_DROP_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
-
-#: Paths are told to so many levels, and an end tag closes an element so many levels up at most.
-_LEVELS, _DEPTH = 32, 256
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/<>]{0,99})((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"']){0,5000}+)>", re.S
+_READERS = frozenset("comment comments commentlist disqus replies respond".split())
+_BESIDE = frozenset(
+    "area articles bar block bottom box button buttons container content first form global group icons inner item items last left link links list main "
+    "mobile outer overlay page panel post posts primary reader readers right row secondary section site slot sticky stories thread title top unit user wrap wrapper".split()
 )
+_MARKED_TAGS = frozenset("article blockquote center details div dl figure li ol p section table ul".split())
+
+_NAME = re.compile(r"/?[A-Za-z][^\s/<>]*")
+_STEP = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORDS = re.compile(r"[^a-z0-9]+")
-_DIGITS = re.compile(r"\d+")
+_PARTS = re.compile(r"[^a-z]+")
+_DIGITS = re.compile(r"[\d>|]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in _RAW}
 
 
 @dataclass(slots=True)
 class Block:
-    """A run of text inside one block element: its container paths, outermost first."""
+    """A run of text inside one block element, with its innermost container."""
 
-    path: tuple[str, ...]
+    node: int
     text: str
     linked: int
-
-
-@dataclass(slots=True)
-class _Open:
-    tag: str
-    dropped: bool
-    path: tuple[str, ...]
+    marked: int = -1
+
+
+class Page:
+    """A page's wanted blocks and the tree of its generalised container paths; node 0 is the page."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parents, self.labels = [-1], [""]
+        self._nodes: dict[tuple[int, str], int] = {}
+
+    def node(self, parent: int, label: str) -> int:
+        """The node of a container; equal paths share one."""
+        found = self._nodes.setdefault((parent, label), len(self.labels))
+        if found == len(self.labels):
+            self.parents.append(parent)
+            self.labels.append(label)
+        return found
+
+    def find(self, path: str) -> int | None:
+        at: int | None = 0
+        for label in path.split(">"):
+            at = self._nodes.get((at, label)) if at is not None else None
+        return at
+
+    def path(self, node: int) -> str:
+        out = []
+        while node:
+            out.append(self.labels[node])
+            node = self.parents[node]
+        return ">".join(reversed(out))
+
+    def under(self, nodes: set[int]) -> list[str]:
+        """The texts of the blocks below any of ``nodes``."""
+        inside = [False] * len(self.labels)
+        for i in range(len(self.labels)):
+            inside[i] = i in nodes or (i > 0 and inside[self.parents[i]])
+        return [b.text for b in self.blocks if inside[b.node]]
 
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
@@ -86,151 +129,235 @@ def _label(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in _DROP_TAGS or "hidden" in attributes or attributes.get("role", "").lower() in _DROP_ROLES:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    said = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return bool(said.strip()) and not _DROP_WORDS.isdisjoint(_WORDS.split(said))
+def _marks(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
+    """Whether tag, role, class or id mark an element as no article, and as comments of readers."""
+    words: set[str] = set()
+    if tag in _MARKED_TAGS:
+        for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+            parts = {x for x in _PARTS.split(token) if x}
+            if parts & _MARKS and parts <= _MARKS | _BESIDE:
+                words |= parts
+    return bool(words) or tag in _WRAPPERS or attributes.get("role", "").lower() in _ROLES, bool(words & _READERS)
+
+
+@dataclass(slots=True)
+class _Open:
+    tag: str
+    dropped: bool
+    node: int
+    marked: int
 
 
-def blocks(page: str | None) -> list[Block]:
+def blocks(html_text: str | None) -> Page:
     """The wanted text blocks of a page in order; blocks without text are left out."""
-    page = page or ""
-    out: list[Block] = []
-    stack: list[_Open] = []
+    page, text = Page(), html_text or ""
+    stack = [_Open("", False, 0, -1)]
+    where: dict[str, list[int]] = {}  # the open elements of a tag, by their places in the stack
+    marked: list[list] = []  # parent, comments of readers, holds an article, characters outside links
     held: list[str] = []
     links = linked = at = 0
+    bare = plain_end = False  # an article outside marked containers; tags end at the next ">" whatever the quotes
 
     def flush() -> None:
         nonlocal linked
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            if text:
-                out.append(Block(stack[-1].path if stack else (), text, linked))
+            said = " ".join(html.unescape("".join(held)).split())
+            if said:
+                page.blocks.append(Block(stack[-1].node, said, min(linked, len(said)), stack[-1].marked))
             held.clear()
         linked = 0
 
-    def say(text: str) -> None:
+    def say(said: str) -> None:
         nonlocal linked
-        if text and not (stack and stack[-1].dropped):
-            held.append(text)
+        if said and not stack[-1].dropped:
+            held.append(said)
             if links:
-                linked += len(text)
+                linked += len(said)
 
     def close(depth: int) -> None:
         """Close the elements from ``depth`` on."""
         nonlocal links
         if any(x.tag in _BLOCK for x in stack[depth:]):
             flush()
-        links -= sum(x.tag == "a" for x in stack[depth:])
+        for x in reversed(stack[depth:]):
+            where[x.tag].pop()
+            links -= x.tag == "a"
         del stack[depth:]
 
     def last(tags: tuple[str, ...], until: tuple[str, ...] = ()) -> int:
-        for i in range(len(stack) - 1, max(-1, len(stack) - _DEPTH), -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in until:
+        """The place of the innermost open one of ``tags``, unless one of ``until`` is further in."""
+        found = max((where[t][-1] for t in tags if where.get(t)), default=0)
+        return found if found > max((where[t][-1] for t in until if where.get(t)), default=-1) else 0
+
+    def tag_end(start: int) -> int:
+        """Behind the tag's ``>``, or -1; once a quote has no end, quotes no longer count on this page."""
+        nonlocal plain_end
+        place = start
+        while not plain_end:
+            m = _STEP.search(text, place)
+            if m is None:
+                plain_end = True
+            elif m[1] is None:
+                return m.end()
+            else:
+                place = text.find(m[1], m.end()) + 1
+                plain_end = not place
+        return text.find(">", start) + 1 or -1
+
+    while (cut := text.find("<", at)) >= 0:
+        if text.startswith("<!--", cut):
+            say(text[at:cut])
+            end = text.find("-->", cut + 4)
+            at = end + 3 if end >= 0 else len(text)
+            continue
+        m = _NAME.match(text, cut + 1)
+        declared = text[cut + 1 : cut + 2] in ("!", "?")
+        end = text.find(">", cut) + 1 or -1 if declared else tag_end(m.end()) if m else -1
+        if end < 0:
+            say(text[at : cut + 1])
+            at = cut + 1
+            if m or declared:  # no ">" is left, so no tag either
                 break
-        return -1
-
-    final = page.rfind(">")
-    while at <= final and (m := _TOKEN.search(page, at)) is not None:
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
-            if tag in ("br", "p") and last((tag,)) < 0:
-                if tag == "br":
-                    say(" ")
-                else:
-                    flush()
-                continue
-            i = last((tag,), () if tag in _BLOCK else tuple(_CONTAINERS))
-            if i >= 0:
+        say(text[at:cut])
+        at = end
+        if declared:
+            continue
+        tag, rest = m[0].lower(), text[m.end() : end - 1]
+        if tag[0] == "/":
+            tag = tag[1:]
+            if tag == "br":
+                say(" ")
+            elif i := last((tag,), () if tag in _BLOCK else tuple(_CONTAINERS)):
                 close(i)
+            elif tag == "p":
+                flush()
             continue
         if tag == "br":
             say(" ")
             continue
-        if tag in _CLOSES_P and (i := last(("p",), ("td", "th", "article", "section", "div", "body"))) >= 0:
+        if where.get("head") and tag not in _IN_HEAD:
+            close(where["head"][-1])
+        if tag in _CLOSES_P and (i := last(("p",), ("td", "th", "article", "section", "div", "body"))):
             close(i)
-        if tag in _OF_KIND and (i := last((tag,) if tag not in ("dt", "dd", "td", "th") else (("dt", "dd") if tag[0] == "d" else ("td", "th")), _OF_KIND[tag])) >= 0:
+        if tag in _OF_KIND and (i := last(_ALIKE.get(tag, (tag,)), _OF_KIND[tag])):
             close(i)
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag in _HEADINGS and stack[-1].tag in _HEADINGS:
             close(len(stack) - 1)
         if tag in _BLOCK:
             flush()
+        closed = rest.rstrip().endswith("/")
         if tag in _RAW:
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag in _VOID:
+            found_end = _RAW_END[tag].search(text, at)
+            at = found_end.end() if found_end else len(text)
             continue
-        if m[3].rstrip().endswith("/") and tag not in _BLOCK and tag not in ("a", "b", "i", "em", "strong", "span"):
+        if tag in _VOID or (closed and tag not in _NOT_SELF_CLOSED):
             continue
         found: dict[str, str] = {}
-        for a in _ATTRIBUTE.finditer(m[3]):
-            found.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
-        dropped = bool(stack and stack[-1].dropped) or _unwanted(tag, found)
-        if dropped and not (stack and stack[-1].dropped) and tag not in _BLOCK:
+        for x in _ATTRIBUTE.finditer(rest):
+            found.setdefault(x[1].lower(), html.unescape(x[2] or x[3] or x[4] or ""))
+        above = stack[-1]
+        dropped = above.dropped or tag in _NEVER or "hidden" in found
+        if dropped and not above.dropped and tag not in _BLOCK:
             say(" ")
-        path = stack[-1].path if stack else ()
-        if tag in _CONTAINERS and len(path) < _LEVELS:
-            path = (*path, _label(tag, found))
-        stack.append(_Open(tag, dropped, path))
+        node, mark = above.node, above.marked
+        if not dropped and tag not in ("html", "body", "main"):
+            is_marked, of_readers = _marks(tag, found)
+            if is_marked:
+                marked.append([mark, of_readers, False, 0])
+                mark = len(marked) - 1
+        if not dropped and (tag in ("article", "main") or found.get("role", "").lower() == "main"):
+            if mark < 0:
+                bare = True
+            elif mark == above.marked:  # an article that is marked itself is no reason to keep its wrapper
+                marked[mark][2] = True
+        if tag in _CONTAINERS:
+            node = page.node(node, _label(tag, found))
+        where.setdefault(tag, []).append(len(stack))
+        stack.append(_Open(tag, dropped, node, mark))
         links += tag == "a"
-    # a "<" that opens no tag is text
-    say(page[at:])
+    say(text[at:])
     flush()
-    return out
-
-
-def vote(found: list[Block], share: float = 0.75) -> tuple[str, ...]:
-    """The tightest container path with over ``share`` of the page's text outside links."""
-    score: dict[tuple[str, ...], int] = {}
-    for b in found:
-        n = max(0, len(b.text) - b.linked)
-        for depth in range(1, len(b.path) + 1):
-            score[b.path[:depth]] = score.get(b.path[:depth], 0) + n
-    best: tuple[str, ...] = ()
-    total = sum(max(0, len(b.text) - b.linked) for b in found)
-    while total:
-        below = [(n, p) for p, n in score.items() if len(p) == len(best) + 1 and p[: len(best)] == best]
-        n, path = min(((-n, p) for n, p in below), default=(0, ()))
-        if -n <= share * total:
+    _leave_out(page, marked, bare)
+    return page
+
+
+def _leave_out(page: Page, marked: list[list], bare: bool) -> None:
+    """Remove the blocks in marked containers but for mere wrappers of the article."""
+    if not marked:
+        return
+    total = 0
+    for b in page.blocks:
+        n = len(b.text) - b.linked
+        total += n
+        if b.marked >= 0:
+            marked[b.marked][3] += n
+    for parent, _, holds, n in reversed(marked):  # a parent stands before its children
+        if parent >= 0:
+            marked[parent][2] |= holds
+            marked[parent][3] += n
+    any_holds = any(x[2] and not x[1] for x in marked)
+    kept: list[bool] = []
+    for parent, of_readers, holds, n in marked:
+        wraps = not bare and not of_readers and (holds if any_holds else 2 * n > total)
+        kept.append(wraps and (parent < 0 or kept[parent]))
+    page.blocks = [b for b in page.blocks if b.marked < 0 or kept[b.marked]]
+
+
+def vote(page: Page, share: float = 0.75, sibling: float = 0.05) -> set[int]:
+    """The tightest containers that hold the page's text outside links.
+
+    From the page inwards, the container with over ``share`` of the text is entered, unless there is text right beside
+    it; its siblings with over ``sibling`` of the text, not mostly links, belong to the article too.
+    """
+    own, links = [0] * len(page.labels), [0] * len(page.labels)
+    for b in page.blocks:
+        own[b.node] += len(b.text) - b.linked
+        links[b.node] += b.linked
+    n, linked = list(own), list(links)
+    below: dict[int, list[int]] = {}
+    for i in range(len(n) - 1, 0, -1):
+        n[page.parents[i]] += n[i]
+        linked[page.parents[i]] += linked[i]
+        below.setdefault(page.parents[i], []).append(i)
+    best, total = 0, n[0]
+    while below.get(best) and total:
+        tag = page.labels[best].split(".")[0]
+        if tag == "article" or (tag not in ("", "body", "html") and own[best] > sibling / 2 * total):
+            break
+        inner = min(below[best], key=lambda i: (-n[i], page.labels[i]))
+        beside = [i for i in below[best] if i != inner and n[i] > sibling * total and n[i] > linked[i]]
+        if n[inner] + sum(n[i] for i in beside) <= share * total:
             break
-        best = path
-    return best
+        if beside and page.labels[inner].split(".")[0] not in ("article", "main"):
+            return {inner, *beside}
+        best = inner
+    return {best}
 
 
-def extract(found: list[Block], winners: list[tuple[str, ...]]) -> str:
-    """The text under the first winning path that the page has, else under its own vote."""
-    for path in winners:
-        under = [b.text for b in found if b.path[: len(path)] == path]
-        if under:
-            return "\n".join(under)
-    own = vote(found)
-    return "\n".join(b.text for b in found if b.path[: len(own)] == own)
+def extract(page: Page, winners: list[str]) -> str:
+    """The text under the first winning vote that the page has, else under its own."""
+    for paths in winners:
+        nodes = {i for path in paths.split("|") if (i := page.find(path)) is not None}
+        if nodes and (found := page.under(nodes)):
+            return "\n".join(found)
+    return "\n".join(page.under(vote(page)))
 
 
-def _join(path: tuple[str, ...]) -> str:
-    return ">".join(path)
+def ballot(page: Page) -> str:
+    """The page's vote as paths, joined by ``|``; empty where the whole page is all there is."""
+    return "|".join(sorted(page.path(i) for i in vote(page) if i))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html"):
-        said = [(h or "", _join(vote(blocks(x)))) for h, x in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+        said = [(h or "", ballot(blocks(x))) for h, x in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)]
         kept = [x for x in said if x[1]]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.string()), pa.array([x[1] for x in kept], pa.string())], ["host", "vote"])
 
 
 def winning_paths(pages: DataFrame, winners: int = 4, least_share: float = 0.1) -> DataFrame:
-    """``(host, winners)``: paths with at least ``least_share`` of the host's votes, most votes first, of ``pages(host, html)``."""
+    """``(host, winners)``: votes with at least ``least_share`` of the host's, most first, of ``pages(host, html)``."""
     votes = pages.select("host", "html").mapInArrow(_votes, "host string, vote string").groupBy("host", "vote").agg(F.count("*").alias("n"))
     all_votes = Window.partitionBy("host")
     order = all_votes.orderBy(F.desc("n"), "vote")
@@ -247,7 +374,7 @@ def _with_winners(pages: DataFrame, broadcast_chars: int, salts: int) -> DataFra
     host's pages are dealt over ``salts`` keys, so that one host's pages never meet in one task.
     """
     found = Workspace(pages.sparkSession, "html").table(winning_paths(pages), "winners")
-    size = found.agg(F.sum(F.length("host") + F.length(F.array_join("winners", ">")) + 64)).first()[0] or 0
+    size = found.agg(F.sum(F.length("host") + F.length(F.array_join("winners", "|")) + 64)).first()[0] or 0
     if size <= broadcast_chars:
         return pages.join(F.broadcast(found), "host", "left")
     dealt = pages.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
@@ -264,7 +391,7 @@ def main_text(pages: DataFrame, broadcast_chars: int = 8 << 20, salts: int = 64)
     def run(batches):
         for batch in pieces(batches, "html"):
             texts = [
-                extract(blocks(page), [tuple(w.split(">")) for w in winners or ()])
+                extract(blocks(page), winners or [])
                 for page, winners in zip(batch.column("html").to_pylist(), batch.column("winners").to_pylist(), strict=True)
             ]
             yield put(batch.select(["page_id", "url"]), {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})

@@ -28,11 +28,43 @@ def page(body, extra=""):
 )
 def test_blocks(body, expected):
     found = html_extract.blocks(page(body))
-    assert html_extract.extract(found, [("body", "article")]) == expected
+    assert html_extract.extract(found, ["html>body>article", "body>article"]) == expected
 
 
 def test_cut_page():
-    assert [b.text for b in html_extract.blocks("<article><p>cut <b")] == ["cut <b"]
+    assert [b.text for b in html_extract.blocks("<article><p>cut <b").blocks] == ["cut <b"]
+
+
+@pytest.mark.parametrize(
+    ("body", "expected"),
+    [
+        ("<article><h2 id='advertising'>Advertising</h2><p>x</p></article>", "Advertising\nx"),
+        ("<article><h3 id='related-work'>Related work</h3><section id='related-work'><p>x</p></section></article>", "Related work\nx"),
+        ("<article><p class='social-history'>x</p></article>", "x"),
+        ("<article><pre><code>a <span class='hljs-comment'># b</span></code></pre></article>", "a # b"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <label>this</label></p></article>", "so x=1 and this"),
+        ("<article><p>one<svg/> two <math/> three</p><p>four</p></article>", "one two three\nfour"),
+        ("<div class='ad'>" + "<b>" * 600 + "buy</div><article><p>x</p></article>", "x"),
+        (f"<article><p {'a=b ' * 3000}>x</p></article>", "x"),
+        (f"<article><p title='{'b > c ' * 3000}'>x</p></article>", "x"),
+        (f"<div class='layout has-sidebar'><div class='sidebar'>side</div><div class='text'><p>{TEXT}</p></div></div>", TEXT.strip()),
+        (f"<form id='aspnetForm'><div class='widget'><article><p>{TEXT}</p></article></div></form>", TEXT.strip()),
+        (f"<div class='widget'><p>{TEXT}</p></div><div class='notice'>cookies</div>", TEXT.strip()),
+        (f"<article><p>x</p></article><section id='comments'><article class='comment'><p>{TEXT}</p></article></section>", "x"),
+        (f"<div class='post'><p>{TEXT}</p></div><div class='comment-list'><p>{TEXT * 5}</p></div>", TEXT.strip()),
+        (f"<section class='intro'><p>Intro, a tenth.{'x' * 100}</p></section><section class='body'><p>{TEXT * 5}</p></section>", f"Intro, a tenth.{'x' * 100}\n{(TEXT * 5).strip()}"),
+        (f"<div id='c'><h1>Head</h1><p>Some lead text, more than nothing.</p><div class='body'><p>{TEXT * 5}</p></div></div>", f"Head\nSome lead text, more than nothing.\n{(TEXT * 5).strip()}"),
+        (f"{'<div>' * 3000}<p>{TEXT}</p>{'</div>' * 3000}", TEXT.strip()),
+        ("<article><p>x</p><noscript><p>no</p></noscript><ul class='share-buttons'><li>share</ul><p>y</p></article>", "x\ny"),
+    ],
+)
+def test_nothing_else_is_dropped(body, expected):
+    assert html_extract.extract(html_extract.blocks(page(body)), []) == expected
+
+
+def test_open_head_and_quotes_without_end():
+    assert html_extract.extract(html_extract.blocks(f"<head><title>T</title><body><article><p>{TEXT}</article>"), []) == TEXT.strip()
+    assert html_extract.extract(html_extract.blocks(f"<article><p title=\"x>one</p><p>{TEXT}</article>"), []) == f"one\n{TEXT.strip()}"
 
 
 def test_consensus_reads_a_short_page_like_its_host(spark):
@@ -63,5 +95,5 @@ def test_query_against_the_pages_articles(spark, sf_dir):
 
 
 def test_long_and_odd_pages_take_linear_time():
-    for odd in ("<" * 50_000, "<a" * 50_000, '<a b="' * 20_000, "<!--" * 20_000, "&" * 50_000, "<p>" * 50_000, "<script>" * 20_000):
+    for odd in ("<" * 50_000, "<a" * 50_000, '<a b="' * 20_000, "<!--" * 20_000, "&" * 50_000, "<p>" * 50_000, "<script>" * 20_000, '<a b="' * 20_000 + ">", "<div class=ad>" * 20_000 + "x", "<div>" * 40_000 + "x", "<b>" * 20_000 + "</div>" * 20_000):
         html_extract.extract(html_extract.blocks(odd), [])
