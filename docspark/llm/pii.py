@@ -4,24 +4,30 @@ Base. E-mail addresses, IPv4 addresses, card numbers (Luhn) and international ph
 fixed patterns, leftmost and without overlap per kind.
 
 Bootstrapping (after Riloff and Jones, "Learning Dictionaries for Information Extraction by Multi-Level
-Bootstrapping", AAAI 1999). Base finds are the seed instances. Every mention of an instance
-induces lexical patterns: the last word, and the last two words, before it. Identifier-like strings that
-no base pattern matches (digit groups; addresses with "at" and "dot" spelled out) are further instances
-of yet unknown kind. Over the bipartite graph of patterns and instances Spark alternates
-
-* pattern confidence in a kind: the summed belief of its instances over their number plus one,
-* instance belief in a kind: ``1 - product(1 - confidence)`` over its trusted patterns, 1 for seeds,
-
-where a pattern is trusted with at least ``least_support`` believed instances and ``least_confidence``.
-In the end every unknown mention behind a trusted pattern becomes a span of that pattern's kind, if it is
+Bootstrapping", AAAI 1999). Base finds are the seed instances. Every mention of an instance induces lexical
+patterns of the words beside it, digits generalised: the last word before it, the last two, the word on each
+side, and the two behind it. Identifier-like strings that no base pattern matches (groups of 6 to 19 digits;
+addresses with "at" and "dot" spelled out) are further instances, of yet unknown kind. Over the
+bipartite graph of patterns and instances Spark alternates
+
+* pattern confidence in a kind: the lower end of Wilson's 99 % interval of the share that the kind has in the
+  believed instances of the pattern, so that instances of other kinds count against it, few instances give little
+  confidence, and instances of which nothing is known yet do not count;
+* instance belief in a kind: 1 for seeds, else ``1 - product(1 - confidence)`` over its trusted patterns.
+
+A pattern is trusted, from then on, with ``least_confidence``, if at least ``least_share`` of all its distinct
+instances are believed: a word that any number may follow says nothing (one in ten random numbers passes as a
+card). Rounds go on until no pattern is added. In the end every unknown mention with a trusted pattern becomes a span of that pattern's kind, if it is
 of a form that the kind allows; base spans always stay.
 
 Texts are scanned once; the graph holds only mentions, distinct edges and distinct nodes, aggregated
-before they are shuffled, and is written to the shared folder between rounds.
+before they are shuffled, and is written to the shared folder between rounds. Joins are salted, as one word may
+stand beside a third of all mentions.
 
-Defined cases: a null text is empty and has no spans; offsets count code points; very long runs of one
-character class take linear time; equal confidences go to the kind listed first; repeated rows are
-repeated in the result; an empty table gives no rows; existing columns of added names are replaced.
+Defined cases: a null text is empty and has no spans; offsets count code points; texts, runs of one
+character class and words may be of any length and take linear time; equal confidences go to the kind listed
+first; repeated rows are repeated in the result; an empty table gives no rows; existing columns of added names
+are replaced, further ones ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +36,11 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.arrow import extended, pieces, put
+from docspark.llm.skew import salted_join
 from docspark.storage import Workspace
 
 KINDS = ("email", "ip", "card", "phone")
@@ -46,13 +53,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Identifier-like strings that may be personal data: digit groups, and spelled-out addresses.
-_NUMBER = re.compile(r"(?<![\w.+-])\(?[0-9][0-9().\x20/-]{4,30}[0-9](?![\w])")
-_AT = re.compile(r"[(\[{] ?at ?[)\]}]| at (?=[A-Za-z0-9-]{1,63} dot )", re.I)
-_BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?= ?\Z)")
-_AFTER_AT = re.compile(r" ?[A-Za-z0-9-]{1,63}(?:(?: ?[(\[{] ?dot ?[)\]}] ?| dot |\.)[A-Za-z0-9-]{1,63})+", re.I)
-_CONTEXT = re.compile(r"[^\W\d_]+|[:=#]")
+_NUMBER = re.compile(r"(?<![\w.+-])\(?[0-9][0-9().\x20/-]*[0-9](?![\w])")
+_AT = re.compile(r"[(\[{] ?at ?[)\]}]| at (?=[A-Za-z0-9-]+ dot )", re.I)
+_AFTER_AT = re.compile(r" ?[A-Za-z0-9-]+(?:(?: ?[(\[{] ?dot ?[)\]}] ?| dot |\.)[A-Za-z0-9-]+)+", re.I)
+_CONTEXT = re.compile(r"[^\W\d_]+|\d+|[:=#]")
 _DIGIT = re.compile(r"[^0-9]")
-_CONTEXT_CHARS = 64
 
 
 def luhn(digits: str) -> bool:
@@ -103,11 +108,16 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     for m in _NUMBER.finditer(text):
         if 6 <= len(_DIGIT.sub("", m[0])) <= 19:
             found.append(("number", *m.span()))
+    done = 0
     for m in _AT.finditer(text):
-        low = max(0, m.start() - 66)
-        a, b = _BEFORE_AT.search(text[low : m.start()]), _AFTER_AT.match(text, m.end())
-        if a and b:
-            found.append(("address", low + a.start(), b.end()))
+        stop = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        start = stop
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        b = _AFTER_AT.match(text, m.end()) if start < stop else None
+        if b:
+            found.append(("address", start, b.end()))
+            done = b.end()
     if not found:
         return found
     spans = sorted((a, b) for _, a, b in taken)
@@ -120,11 +130,35 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     return out
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """The patterns of a mention at ``start``: the last word and the last two words before it."""
-    low = max(0, start - _CONTEXT_CHARS)
-    words = _CONTEXT.findall(text[low:start].lower())[-2:]
-    return ([words[-1]] if words else []) + ([" ".join(words)] if len(words) == 2 else [])
+def _words(text: str, start: int, stop: int, step: int) -> list[str]:
+    """The two words next to a mention, before (``step`` -1, nearest last) or behind it (1, nearest first), digits as 0."""
+    size = 64
+    while True:  # wider until both words are whole
+        if step < 0:
+            low = max(0, start - size)
+            words, whole = _CONTEXT.findall(text[low:start]), low == 0
+            near = words[-2:]
+        else:
+            words, whole = _CONTEXT.findall(text[stop : stop + size]), stop + size >= len(text)
+            near = words[:2]
+        if whole or len(words) > 2:
+            return ["0" if x[0].isdecimal() else x.lower() for x in near]
+        size *= 4
+
+
+def contexts(text: str, start: int, stop: int) -> list[str]:
+    """The patterns of a mention, which they write as ``_``."""
+    left, right = _words(text, start, stop, -1), _words(text, start, stop, 1)
+    out = []
+    if left:
+        out.append(f"{left[-1]} _")
+    if len(left) == 2:
+        out.append(f"{left[0]} {left[1]} _")
+    if left and right:
+        out.append(f"{left[-1]} _ {right[0]}")
+    if len(right) == 2:
+        out.append(f"_ {right[0]} {right[1]}")
+    return out
 
 
 def encode_spans(spans: list[tuple[str, int, int]]) -> str:
@@ -166,7 +200,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 said = encode_spans(base)
                 listed = [(k, k, a, b) for k, a, b in base] + [(None, f, a, b) for f, a, b in candidates(text, base)]
-                mentions = [{"kind": k, "instance": _instance(f, text[a:b]), "start": a, "stop": b, "patterns": contexts(text, a)} for k, f, a, b in listed]
+                mentions = [{"kind": k, "instance": _instance(f, text[a:b]), "start": a, "stop": b, "patterns": contexts(text, a, b)} for k, f, a, b in listed]
                 counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 rows.append((*counts, hashlib.sha256(said.encode()).hexdigest(), said, mentions))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(_MENTION)]
@@ -177,35 +211,67 @@ def scan(docs: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, f"doc_id long, text_hash long, {_SCAN}")
 
 
-def _trusted(edges: DataFrame, beliefs: DataFrame, least_confidence: float, least_support: int) -> DataFrame:
-    """``(pattern, kind, confidence)`` of the trusted patterns, one kind each."""
-    joined = edges.join(beliefs, "instance", "left")
-    sums = [F.sum(F.coalesce(k, F.lit(0.0))).alias(k) for k in KINDS]
-    support = [F.count_if(F.col(k) >= 0.5).alias(f"s_{k}") for k in KINDS]
-    scored = joined.groupBy("pattern").agg(F.count("*").alias("n"), *sums, *support)
-    options = F.array(*[F.struct((F.col(k) / (F.col("n") + 1)).alias("confidence"), F.lit(-i).alias("order"), F.lit(k).alias("kind"), F.col(f"s_{k}").alias("support")) for i, k in enumerate(KINDS)])
-    best = scored.select("pattern", F.array_max(options).alias("b"))
-    kept = best.where((F.col("b.confidence") >= least_confidence) & (F.col("b.support") >= least_support))
-    return kept.select("pattern", F.col("b.kind").alias("kind"), F.col("b.confidence").alias("confidence"))
+def wilson(part: Column, whole: Column) -> Column:
+    """The lower end of the 99 % interval of a share."""
+    z = 2.576
+    share = part / whole
+    spread = F.sqrt(share * (1 - share) / whole + z * z / (4 * whole * whole))
+    return F.when(whole > 0, (share + z * z / (2 * whole) - z * spread) / (1 + z * z / whole)).otherwise(0.0)
 
 
-def discover(scanned: DataFrame, work: Workspace, rounds: int = 3, least_confidence: float = 0.7, least_support: int = 5) -> DataFrame:
+def scored(edges: DataFrame, heard: DataFrame) -> DataFrame:
+    """``(pattern, kind, confidence, share)`` of every pattern in its best kind.
+
+    ``edges(instance, pattern, seed kinds)`` has beliefs of seeds, ``heard(instance, kinds)`` of others.
+    """
+    others = heard.select("instance", *[F.col(k).alias(f"__{k}") for k in KINDS])
+    joined = salted_join(edges, others, ["instance"], ["pattern"], "left")
+    sums = joined.groupBy("pattern").agg(F.count("*").alias("n"), *[F.sum(F.greatest(F.col(k), F.coalesce(f"__{k}", F.lit(0.0)))).alias(k) for k in KINDS])
+    known = F.col(KINDS[0]) + F.col(KINDS[1]) + F.col(KINDS[2]) + F.col(KINDS[3])
+    rounded = lambda x: F.round(x, 9)  # noqa: E731  sums of doubles depend on their order
+    options = F.array(*[F.struct(rounded(wilson(F.col(k), known)).alias("confidence"), F.lit(-i).alias("order"), F.lit(k).alias("kind"), rounded(F.col(k) / F.col("n")).alias("share")) for i, k in enumerate(KINDS)])
+    best = sums.select("pattern", F.array_max(options).alias("b"))
+    return best.select("pattern", "b.kind", "b.confidence", "b.share")
+
+
+def beliefs(edges: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``(instance, kinds)``: what trusted patterns make believe of the instances that are no seeds."""
+    lost = [F.sum(F.when(F.col("kind") == k, F.log1p(-F.col("confidence"))).otherwise(0.0)).alias(k) for k in KINDS]
+    unknown = edges.where(" + ".join(KINDS) + " = 0").select("instance", "pattern")
+    held = salted_join(unknown, trusted, ["pattern"], ["instance"]).groupBy("instance").agg(*lost)
+    return held.select("instance", *[(1.0 - F.exp(k)).alias(k) for k in KINDS])
+
+
+def graph(mentions: DataFrame, work: Workspace) -> DataFrame:
+    """The distinct ``(instance, pattern)`` pairs with the seed kinds (0 or 1) of the instance."""
+    pairs = work.table(mentions.select("instance", F.explode("patterns").alias("pattern")).distinct(), "pairs")
+    flags = [F.max(F.when(F.col("kind") == k, 1.0)).alias(k) for k in KINDS]
+    seeds = mentions.where("kind is not null").groupBy("instance").agg(*flags)
+    return work.table(salted_join(pairs, seeds, ["instance"], ["pattern"], "left").na.fill(0.0, list(KINDS)), "edges")
+
+
+def bootstrap(edges: DataFrame, work: Workspace, least_confidence: float = 0.7, least_share: float = 0.2, most_rounds: int = 1000) -> DataFrame:
+    """``(pattern, kind, confidence)`` of all patterns that come to be trusted; raises where there is no end."""
+    schema = "pattern string, kind string, confidence double"
+    trusted, n = edges.sparkSession.createDataFrame([], schema), 0
+    for _ in range(most_rounds):
+        fit = scored(edges, beliefs(edges, trusted)).where((F.col("confidence") >= least_confidence) & (F.col("share") >= least_share))
+        new = fit.drop("share").join(trusted.select("pattern"), "pattern", "left_anti")
+        trusted = work.table(trusted.unionByName(new), "trusted")
+        count = trusted.count()
+        if count == n:
+            return trusted
+        n = count
+    raise RuntimeError(f"patterns are still added after {most_rounds} rounds")
+
+
+def discover(scanned: DataFrame, work: Workspace, **options) -> DataFrame:
     """``(doc_id, text_hash, added)``: the spans that trusted patterns add, per distinct document that has any."""
     mentions = scanned.select("doc_id", "text_hash", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.*")
-    edges = work.table(mentions.select("instance", F.explode("patterns").alias("pattern")).distinct(), "edges")
-    flags = [F.max(F.when(F.col("kind") == k, 1.0)).alias(k) for k in KINDS]
-    seeds = work.table(mentions.where("kind is not null").groupBy("instance").agg(*flags).na.fill(0.0), "seeds")
-    beliefs = seeds
-    for _ in range(rounds):
-        trusted = work.table(_trusted(edges, beliefs, least_confidence, least_support), "patterns")
-        lost = [F.sum(F.when(F.col("kind") == k, F.log1p(-F.col("confidence"))).otherwise(0.0)).alias(k) for k in KINDS]
-        heard = edges.join(trusted, "pattern").groupBy("instance").agg(*lost)
-        heard = heard.select("instance", *[(1.0 - F.exp(k)).alias(k) for k in KINDS]).join(seeds.select("instance"), "instance", "left_anti")
-        beliefs = work.table(seeds.unionByName(heard), "beliefs")
-    trusted = work.table(_trusted(edges, beliefs, least_confidence, least_support), "patterns")
+    trusted = bootstrap(graph(mentions, work), work, **options)
     unknown = mentions.where("kind is null").select("doc_id", "text_hash", "instance", "start", "stop", F.explode("patterns").alias("pattern"))
     spelled = F.col("instance").rlike("[a-z]")  # an address with letters can only be an e-mail, digits only the rest
-    fitting = unknown.join(trusted, "pattern").where(spelled == (F.col("kind") == "email"))
+    fitting = salted_join(unknown, trusted, ["pattern"], ["doc_id", "start"]).where(spelled == (F.col("kind") == "email"))
     order = F.struct("confidence", *[F.when(F.col("kind") == k, 1).otherwise(0).alias(k) for k in KINDS], "kind")
     spans = fitting.groupBy("doc_id", "text_hash", "start", "stop").agg(F.max(order).alias("b")).select("doc_id", "text_hash", F.struct(F.col("b.kind").alias("kind"), "start", "stop").alias("span"))
     return spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("span")).alias("added"))

@@ -1,14 +1,18 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docspark.llm import pii
 from docspark.llm.queries import op10_pii
+from docspark.storage import Workspace
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -59,6 +63,134 @@ def test_long_runs_take_linear_time(unit):
     pii.candidates(text, pii.base_spans(text))
 
 
+def loops(rows, least_confidence=0.7, least_share=0.2):
+    """Patterns, confidences and beliefs of ``(kind, instance, patterns)`` by plain loops."""
+    seeds, edges = {}, {}
+    for kind, instance, patterns in rows:
+        if kind:
+            seeds.setdefault(instance, set()).add(kind)
+        for p in patterns:
+            edges.setdefault(p, set()).add(instance)
+
+    def belief(i, k):
+        if i in seeds:
+            return float(k in seeds[i])
+        missed = 1.0
+        for p, (kind, c) in trusted.items():
+            if kind == k and i in edges[p]:
+                missed *= 1 - c
+        return 1 - missed
+
+    def scores():
+        out = {}
+        for p, own in edges.items():
+            sums = {k: sum(belief(i, k) for i in own) for k in pii.KINDS}
+            n, options = sum(sums.values()), []
+            for k in pii.KINDS:
+                low = 0.0
+                if n > 0:
+                    q, z2 = sums[k] / n, 2.576**2
+                    low = (q + z2 / (2 * n) - math.sqrt(z2 * (q * (1 - q) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
+                options.append((round(low, 9), -pii.KINDS.index(k), k, sums[k] / len(own)))
+            c, _, k, share = max(options)
+            out[p] = (k, c, share)
+        return out
+
+    trusted = {}
+    while True:
+        new = {p: (k, c) for p, (k, c, share) in scores().items() if p not in trusted and c >= least_confidence and round(share, 9) >= least_share}
+        if not new:
+            return scores(), trusted, {i: tuple(belief(i, k) for k in pii.KINDS) for own in edges.values() for i in own}
+        trusted |= new
+
+
+def check_graph(spark, docs):
+    work = Workspace(spark, "test")
+    mentions = work.table(pii.scan(docs).select(F.explode("mentions").alias("m")).select("m.*"), "mentions")
+    scores, trusted, believed = loops([(r["kind"], r["instance"], r["patterns"]) for r in mentions.collect()])
+    edges = pii.graph(mentions, work)
+    found = pii.bootstrap(edges, work)
+    assert {r["pattern"]: (r["kind"], pytest.approx(r["confidence"], abs=1e-6)) for r in found.collect()} == trusted
+    heard = pii.beliefs(edges, found)
+    for r in heard.collect():
+        assert tuple(r[k] for k in pii.KINDS) == pytest.approx(believed[r["instance"]], abs=1e-6)
+    rows = pii.scored(edges, heard).collect()
+    assert len(rows) == len(scores)
+    for r in rows:
+        assert (r["confidence"], r["share"]) == pytest.approx(scores[r["pattern"]][1:], abs=1e-6)
+    return trusted
+
+
+def test_graph_of_the_documents_by_loops(spark, sf_dir):
+    check_graph(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+PROSE = "a quiet morning by the river where old boats lie and people walk their dogs along green banks under tall trees".split()
+
+
+def planted(n=3000, seed=11):
+    """``(rows, wanted, decoys)``: unseen identifiers behind labels, and numbers alike in prose.
+
+    A second label is met with unseen numbers that the first label has made known, and never with a seed.
+    """
+    r = random.Random(seed)
+    prose = lambda k: " ".join(r.choice(PROSE) for _ in range(k))
+    rows, wanted, decoys = [], [], []
+
+    def add(words, said, label, into=None, kind=None):
+        text = f"{prose(words)} {label} "
+        at = len(text)
+        rows.append((len(rows), text + said + f" {prose(8)}."))
+        if into is not None:
+            into.append((rows[-1][0], kind, at, at + len(said)))
+
+    numbers = [f"{r.randrange(200, 999)} 555 {i:04d}" for i in range(400)]
+    for i in range(n):
+        draw = i % 10
+        if draw < 2:
+            add(12, f"+1 {r.randrange(200, 999)} 555 {r.randrange(10000):04d}", "reach me on mobile:")
+        elif draw < 5:  # more unseen than seeds
+            add(12, r.choice(numbers), "reach me on mobile:", wanted, "phone")
+        elif draw == 5:
+            add(9, r.choice(numbers), "rufen Sie an unter", wanted, "phone")
+        elif draw == 6:
+            add(9, f"user{r.randrange(9000)}@host{r.randrange(50)}.example.org", "write to")
+        elif draw == 7:
+            add(9, f"user{r.randrange(9000)} (at) host{r.randrange(50)} (dot) example (dot) org", "write to", wanted, "email")
+        elif draw == 8:
+            add(9, f"{r.randrange(10**15, 10**16)}", "invoice", decoys)
+        else:  # seeds and decoys of all kinds in prose
+            add(r.randrange(3, 9), r.choice([f"+1 {r.randrange(200, 999)} 555 {r.randrange(10000):04d}", f"10.{r.randrange(255)}.3.{r.randrange(255)}", "4111 1111 1111 1111", f"a{i}@b.example"]), r.choice(PROSE))
+            add(r.randrange(3, 9), f"{r.randrange(10**9, 10**10)}", r.choice(PROSE), decoys)
+    return rows, wanted, decoys
+
+
+def test_planted_identifiers_are_found_and_decoys_are_not(spark):
+    rows, wanted, decoys = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    trusted = check_graph(spark, docs)
+    assert trusted["mobile : _"][0] == "phone" and trusted["write to _"][0] == "email" and trusted["an unter _"][0] == "phone"
+    found = {(r["doc_id"], s) for r in pii.find(docs).where("n_added > 0").collect() for s in r["spans"].split(",")}
+    hit = {(i, f"{k}:{a}:{b}") for i, k, a, b in wanted}
+    lost = {i for i, *_ in decoys}
+    assert len(hit & found) >= 0.95 * len(hit)
+    assert len(found - hit) <= 0.02 * len(found)
+    assert not {i for i, _ in found} & lost
+
+
+def test_decoys_of_the_documents_are_not_added(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert pii.find(docs).agg(F.sum("n_added")).first()[0] == 0
+
+
+def test_words_beside_a_mention_may_be_long():
+    text = f"{'x' * 500} {'y' * 5000} 12345678 {'z' * 900} 7w"
+    a = text.index("12345678")
+    assert pii.contexts(text, a, a + 8) == [f"{'y' * 5000} _", f"{'x' * 500} {'y' * 5000} _", f"{'y' * 5000} _ {'z' * 900}", f"_ {'z' * 900} 0"]
+    text = f"{'l' * 200} at {'d' * 100} dot {'e' * 90} ok"
+    assert pii.candidates(text, []) == [("address", 0, len(text) - 3)]
+
+
 def contact_documents():
     rows = [(i, f"Please write. My phone: +1 (555) 01{i:02d}-{4000 + i} thanks", "t") for i in range(20)]
     rows += [(100 + i, f"Please write. My phone: 555 01{i:02d} {7000 + i} thanks", "t") for i in range(3)]
