@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str | Column], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """``left`` joined with ``right``, a table of few rows: every key's left rows are dealt over ``salts`` keys by the columns ``by``, the right ones copied."""
     dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     return dealt.join(right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "__salt"], how).drop("__salt")

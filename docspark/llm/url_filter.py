@@ -7,9 +7,11 @@ that redirect to each other (``<meta http-equiv=refresh>`` or a table of redirec
 canonical address (``<link rel=canonical>``) are connected, and a component is allowed if any
 member is explicitly allowed, else blocked if any is blocked, else allowed.
 
-All of it is DataFrame functions: rules are looked up by the suffixes of distinct hosts, components
-come from :mod:`docspark.llm.components`. A url's address in the graph is its host, path and
-query, without scheme and fragment; targets that are no page count as members too.
+All of it is DataFrame functions: a few rules are part of the expression, many are joined by the suffixes of distinct
+hosts; components come from :mod:`docspark.llm.components`. A url's address in the graph is its host,
+path and query, without scheme and fragment; targets are resolved against their page, with dot segments removed
+and character references decoded, and count as members too where they are no page. Joins deal the rows
+of one host, address or component over salts.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no aliases and
 is allowed; a null page has no edges; repeated rows get equal verdicts; an empty table gives no rows;
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.components import connected_components
+from docspark.llm.skew import salted_join
 from docspark.storage import Workspace
 
 ADDED = ("host", "path", "rule", "verdict")
@@ -56,11 +59,39 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
 
 
+# Named character references that may stand in a web address.
+_NAMED = {
+    "amp": "&", "apos": "'", "ast": "*", "colon": ":", "comma": ",", "commat": "@", "dollar": "$", "equals": "=", "excl": "!", "gt": ">", "lowbar": "_", "lpar": "(", "lt": "<",
+    "num": "#", "percnt": "%", "period": ".", "plus": "+", "quest": "?", "quot": '"', "rpar": ")", "semi": ";", "sol": "/",
+}
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|" + "|".join(sorted(_NAMED)) + ");"
+
+
 def _unescaped(value: Column) -> Column:
-    return F.trim(F.replace(value, F.lit("&amp;"), F.lit("&")))
+    """Numeric references and those of ``_NAMED`` as characters, without blanks at either end."""
+    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+
+    def said(reference: Column) -> Column:
+        name = F.substring(reference, F.lit(2), F.length(reference) - 2)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).cast("int")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(code.isNull(), names[name]).when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    between, found = F.split(value, _REFERENCE, -1), F.regexp_extract_all(value, F.lit(_REFERENCE), 0)
+    return F.trim(F.array_join(F.zip_with(between, found, lambda x, r: F.concat(x, F.coalesce(said(r), F.lit("")))), ""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from the root without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/", -1)
+    joined = F.aggregate(
+        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""),
+        lambda held, x: F.when(x == ".", held).when(x == "..", F.regexp_replace(held, "/[^/]*$", "")).otherwise(F.concat(held, F.lit("/"), x)),
+    )
+    return F.concat(joined, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
 
 
-def _resolved(base: Column, href: Column) -> Column:
+def _absolute(base: Column, href: Column) -> Column:
     """``href`` as an absolute url; null where it is no web address."""
     scheme = F.regexp_extract(base, r"^(.*?://)", 1)
     site = F.concat(scheme, F.regexp_extract(_after_scheme(base), r"^([^/?#]*)", 1))
@@ -84,28 +115,45 @@ def page_edges(pages: DataFrame) -> DataFrame:
     refresh = F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh"
     moved = F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?i)^\s*[0-9.]*\s*[;,]\s*(?:url\s*=\s*)?['\"]?([^'\"]*)", 1)
     href = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, moved)
-    found = tags.select("url", _unescaped(href).alias("href")).where("href is not null")
-    return found.select(address(F.col("url")).alias("a"), address(_resolved(F.col("url"), F.col("href"))).alias("b"))
+    # one column a step: each step reads the one before several times
+    found = tags.select("url", href.alias("raw")).where("raw is not null").select("url", _unescaped(F.col("raw")).alias("href"))
+    whole = found.select(address(F.col("url")).alias("a"), _absolute(F.col("url"), F.col("href")).alias("target")).where("target is not null")
+    cut = whole.select("a", "target", host_of(F.col("target")).alias("host"), path_of(F.col("target")).alias("path"))
+    query = F.regexp_extract("target", r"^.*?://[^?#]*(\?[^#]*)", 1)
+    return cut.where("host <> ''").select("a", F.concat("host", _without_dots(F.col("path")), query).alias("b"))
+
+
+_SUFFIXES = "transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))"
 
 
 def _rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """``(host, rules)``: the rules that fit each host of ``hosts(host)``, longest first."""
-    suffix = F.explode(F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))"))
-    listed = hosts.where("host <> ''").select("host", suffix.alias("suffix"))
+    listed = hosts.where("host <> ''").select("host", F.explode(F.expr(_SUFFIXES)).alias("suffix"))
     kind = F.struct((-F.length(F.concat("rule_host", "rule_path"))).alias("shorter"), (F.col("action") != "allow").alias("block"), "rule_host", "rule_path", "action")
     fitting = listed.join(rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "action"), F.col("suffix") == F.col("rule_host"))
     return fitting.groupBy("host").agg(F.sort_array(F.collect_set(kind)).alias("rules"))
 
 
-def _judged(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rows(host, path, ...)`` with the fitting rule and its action, null where none fits."""
-    of = _rules_of_hosts(rows.select("host").distinct(), rules)
-    best = F.expr("get(filter(rules, r -> startswith(path, r.rule_path)), 0)")
-    joined = rows.join(of, "host", "left").withColumn("__best", best)
-    return joined.withColumn("rule", F.concat("__best.rule_host", "__best.rule_path")).withColumn("__action", F.col("__best.action")).drop("rules", "__best")
-
+def _judged(rows: DataFrame, rules: DataFrame, most_literal: int) -> DataFrame:
+    """``rows(host, path, ...)`` with the fitting rule and its action, null where none fits.
 
-def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    Up to ``most_literal`` rules become part of the expression and no row moves; more of them are joined by
+    host, a host's rows dealt over salts.
+    """
+    few = rules.select("host", "path", "action").where("host is not null and path is not null").limit(most_literal + 1).collect()
+    if len(few) <= most_literal:
+        listed = sorted({(-len(r["host"] + r["path"]), r["action"] != "allow", r["host"], r["path"], r["action"]) for r in few})
+        every = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("shorter", "block", "rule_host", "rule_path", "action"), r, strict=True)]) for r in listed])
+        fits = lambda r: F.array_contains(F.col("__suffixes"), r["rule_host"]) & F.startswith(F.col("path"), r["rule_path"])
+        best = F.get(F.filter(every, fits), F.lit(0)) if listed else F.lit(None).cast("struct<rule_host:string,rule_path:string,action:string>")
+        joined = rows.withColumn("__suffixes", F.when(F.col("host") != "", F.expr(_SUFFIXES)).otherwise(F.array().cast("array<string>"))).withColumn("__best", best).drop("__suffixes")
+    else:
+        of = _rules_of_hosts(rows.select("host").distinct(), rules)
+        joined = salted_join(rows, of, ["host"], [F.monotonically_increasing_id()], "left").withColumn("__best", F.expr("get(filter(rules, r -> startswith(path, r.rule_path)), 0)")).drop("rules")
+    return joined.withColumn("rule", F.concat("__best.rule_host", "__best.rule_path")).withColumn("__action", F.col("__best.action")).drop("__best")
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, most_literal: int = 200) -> DataFrame:
     """``pages(url[, html])`` with host, path, rule and verdict.
 
     ``rules(host, path, action)`` has actions ``allow`` and ``block``; ``redirects(source, target)`` are further
@@ -117,18 +165,19 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
         more = redirects.select(address(F.col("source")).alias("a"), address(F.col("target")).alias("b"))
         edges = more if edges is None else edges.unionByName(more)
     own = pages.drop(*ADDED).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    judged = _judged(own, rules)
+    judged = _judged(own, rules, most_literal)
     if edges is None:
         verdict = F.coalesce("__action", F.lit("allow"))
         return judged.withColumn("verdict", verdict).drop("__action")
     edges = work.table(edges.where("a is not null and b is not null").distinct(), "edges")
     member = connected_components(edges, work)
     cut = F.regexp_extract("node", r"^([^/?]*)([^?]*)", 1).alias("host"), F.regexp_extract("node", r"^([^/?]*)([^?]*)", 2).alias("path")
-    known = _judged(member.select("node", "root", *cut), rules)
+    known = _judged(member.select("node", "root", *cut), rules, most_literal)
     passed = known.groupBy("root").agg(F.bool_or(F.col("__action") == "allow").alias("allowed"), F.bool_or(F.col("__action") == "block").alias("blocked"))
     passed = passed.where("blocked and not coalesce(allowed, false)").select("root")
-    blocked = work.table(member.join(passed, "root", "left_semi").select(F.col("node").alias("__node")), "blocked")
-    out = judged.withColumn("__node", address(F.col("url"))).join(blocked.withColumn("__blocked", F.lit(True)), "__node", "left")
+    blocked = work.table(salted_join(member, passed, ["root"], ["node"], "left_semi").select(F.col("node").alias("__node")), "blocked")
+    out = judged.withColumn("__node", address(F.col("url")))
+    out = salted_join(out, blocked.withColumn("__blocked", F.lit(True)), ["__node"], [F.monotonically_increasing_id()], "left")
     verdict = F.coalesce("__action", F.when(F.col("__blocked"), "block").otherwise("allow"))
     return out.withColumn("verdict", verdict).drop("__node", "__action", "__blocked")
 
@@ -151,15 +200,23 @@ WITH RECURSIVE p AS (
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1), '') AS query FROM p
 ), tags AS (
   SELECT *, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM q WHERE host <> ''
+), raw AS (
+  SELECT *, CASE WHEN regexp_matches(tag, '(?is)\srel\s*=\s*["'']?(?:[^"''>]*\s)?canonical[\s"''>]') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^\s"''>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)\shttp-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?is)\scontent\s*=\s*["'']?[0-9.\s]*[;,]\s*(?:url\s*=\s*)?["'']?([^"''>]*)', 1) END AS said FROM tags
+), cuts AS (
+  SELECT *, regexp_split_to_array(said, '&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|NAMES);') AS between, regexp_extract_all(said, '&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|NAMES);') AS refs FROM raw
 ), hrefs AS (
-  SELECT *, replace(CASE WHEN regexp_matches(tag, '(?is)\srel\s*=\s*["'']?(?:[^"''>]*\s)?canonical[\s"''>]') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^\s"''>]+)', 1)
-    WHEN regexp_matches(tag, '(?is)\shttp-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?is)\scontent\s*=\s*["'']?[0-9.\s]*[;,]\s*(?:url\s*=\s*)?["'']?([^"''>]*)', 1) END, '&amp;', '&') AS href FROM tags
+  SELECT *, trim(array_to_string(list_transform(range(1, len(between) + 1), lambda i: between[i] || CASE WHEN i > len(refs) THEN '' WHEN regexp_matches(refs[i], '^&#[xX]')
+    THEN chr(('0x' || substr(refs[i], 4, length(refs[i]) - 4))::INTEGER) WHEN starts_with(refs[i], '&#') THEN chr(substr(refs[i], 3, length(refs[i]) - 3)::INTEGER)
+    ELSE MAP {TABLE}[substr(refs[i], 2, length(refs[i]) - 2)] END), '')) AS href FROM cuts
 ), targets AS (
   SELECT host || path || query AS a, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN substr(href, instr(href, '://') + 3)
     WHEN starts_with(href, '//') THEN substr(href, 3) WHEN starts_with(href, '/') THEN host || href
     WHEN href <> '' AND NOT regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || href END AS target FROM hrefs
 ), e AS (
-  SELECT DISTINCT a, lower(regexp_extract(target, '^([^/?#]*)', 1)) || regexp_extract(target, '^[^/?#]*([^#]*)', 1) AS b FROM targets WHERE target IS NOT NULL
+  SELECT DISTINCT a, lower(regexp_extract(target, '^([^/?#]*)', 1)) || CASE WHEN regexp_matches(target, '^[^/?#]*/') THEN
+    list_reduce(string_split(regexp_extract(target, '^[^/?#]*([^?#]*)', 1), '/'), lambda held, x: CASE WHEN x = '.' THEN held WHEN x = '..' THEN regexp_replace(held, '/[^/]*$', '') ELSE held || '/' || x END)
+    || CASE WHEN regexp_matches(target, '^[^?#]*/[.][.]?([?#]|$)') THEN '/' ELSE '' END ELSE '' END || regexp_extract(target, '^[^?#]*([?][^#]*)', 1) AS b FROM targets WHERE target IS NOT NULL
 ), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a),
 urls AS (
@@ -178,4 +235,4 @@ urls AS (
 )
 SELECT q.page_id, q.host, q.path, v.rule, coalesce(v.said, CASE WHEN x.blocked AND NOT coalesce(x.allowed, false) THEN 'block' ELSE 'allow' END) AS verdict
 FROM q LEFT JOIN verdicts v ON v.node = q.host || q.path || q.query AND v.host = q.host AND v.path = q.path LEFT JOIN passed x ON x.node = q.host || q.path || q.query
-"""
+""".replace("NAMES", "|".join(sorted(_NAMED))).replace("TABLE", ", ".join(f"'{k}': '{v.replace(chr(39), 2 * chr(39))}'" for k, v in _NAMED.items()))

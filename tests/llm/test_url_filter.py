@@ -31,6 +31,11 @@ PAGES = [
     (14, "https://example.com/de/", None),
     (15, "https://notexample.com/de/?x#y", None),
     (16, "https://example.net?/en/", None),
+    (17, "https://i.com/a/b/c", canonical("../x/./y?q=.&#46;/z")),
+    (18, "https://j.net/1", canonical("https:&sol;/i.com/a/&#120;/y?q=../z")),
+    (19, "https://i.com/a/x/y?q=../z", None),
+    (20, "https://k.com/a/", canonical("..")),
+    (21, "https://k.com/", "<meta http-equiv=refresh content='5; url=&#x2F;&#x2f;j.net/..&#47;1'>"),
 ]
 EXPECTED = {
     1: ("a.example.net", "/en/1", "example.net/en/", "allow"),
@@ -49,6 +54,11 @@ EXPECTED = {
     14: ("example.com", "/de/", "example.com/de/", "block"),
     15: ("notexample.com", "/de/", None, "allow"),
     16: ("example.net", "", None, "allow"),
+    17: ("i.com", "/a/b/c", None, "block"),  # by dot segments and references an alias of 18's
+    18: ("j.net", "/1", "net/", "block"),
+    19: ("i.com", "/a/x/y", None, "block"),
+    20: ("k.com", "/a/", None, "block"),
+    21: ("k.com", "/", None, "block"),
 }
 
 
@@ -60,6 +70,14 @@ def test_verdicts(spark):
         assert tuple(r)[1:] == EXPECTED[r["page_id"]], r
 
 
+def test_many_rules_are_joined(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    rows = url_filter.filter_urls(pages, url_filter.rules_table(spark), most_literal=2).select(*COLUMNS).collect()
+    assert sorted((r[0], tuple(r)[1:]) for r in rows) == sorted([*EXPECTED.items(), (13, EXPECTED[13])])
+    none = url_filter.filter_urls(pages, url_filter.rules_table(spark).limit(0)).collect()
+    assert {(r["rule"], r["verdict"]) for r in none} == {(None, "allow")}
+
+
 def test_oracle_sql_says_the_same(spark):
     con = duckdb.connect()
     con.execute("create table pages(page_id bigint, url varchar, html varchar)")
