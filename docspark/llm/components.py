@@ -3,8 +3,9 @@
 Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
 and Beyond", SoCC 2014): each step replaces the edges of a node by edges to the least node of its
 neighbourhood. Neighbourhoods are never gathered: a step is one ``min`` aggregate, which Spark
-combines before the shuffle, and one equi-join back to the edges, whose hot keys AQE can split.
-The edge list stays distributed and is written to the shared folder after every round.
+combines before the shuffle, and one equi-join back to the edges, which deals the edges of a hub (the root of
+a giant component) over salts. The edge list stays distributed and is written to the shared folder after
+every round.
 """
 
 from __future__ import annotations
@@ -12,24 +13,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm.skew import spread_join
 from docspark.storage import Workspace
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least"))
-    hub = least.select("a", F.least("a", "least").alias("m"))
+    hub = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("__n")).select("a", F.least("a", "least").alias("m"), "__n")
     return (
-        both.where("b > a").join(hub, "a")
+        spread_join(both.where("b > a"), hub, "a", ["b"], "__n", 2 * n)
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
         .where("a <> b").distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("__n"))
+    moved = spread_join(down, least, "a", ["b"], "__n", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -46,7 +47,7 @@ def connected_components(edges: DataFrame, work: Workspace, max_rounds: int = 10
         if not state["n"] or (state["n"], state["h"]) == mark:
             break
         mark = (state["n"], state["h"])
-        following = _small_star(_large_star(current))
+        following = _small_star(_large_star(current, state["n"]), state["n"])
         new_path = work.write(following, "edges")
         current = work.read(new_path, start)
         work.drop(path)

@@ -19,12 +19,13 @@ bit away from both, so each is listed under itself and its 64 one-bit neighbours
 least fingerprint listed there. No link is lost, and no pairs are formed.
 
 Exact copies meet before all that (one row per distinct fingerprint), components come from
-:mod:`docspark.llm.components`, and only identifiers and fingerprints are shuffled, never texts.
+:mod:`docspark.llm.components`, and only identifiers and fingerprints are shuffled, never texts. The
+documents of a crowded fingerprint, and the fingerprints of a giant component, are dealt over salts.
 
 Defined cases: fewer than three words are one shingle; no words, or a null text, give fingerprint
 zero, which is linked like any other; null identifiers never name a component unless it has no
 other; repeated rows are repeated in the result; an empty table gives no rows; further columns
-are ignored.
+are ignored; a text of any length is hashed shingle by shingle, in blocks of 65,536 hashes.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from xxhash import xxh64_intdigest
 
 from docspark.llm.arrow import pieces
 from docspark.llm.components import connected_components
+from docspark.llm.skew import spread_join
 from docspark.storage import Workspace
 
 WORDS, SEED, MAX_DISTANCE = 3, 42, 2
@@ -121,13 +123,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, dense: int = 32) -> Dat
     """
     work = Workspace(docs.sparkSession, "simhash")
     prints = work.table(fingerprints(docs, words), "prints")
-    nodes = work.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = work.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
     components = connected_components(links(nodes.select("fp"), work, dense), work)
-    of = nodes.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of = nodes.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
     of = work.table(of, "members")
-    named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = work.table(of.join(named, "root").select("fp", "component_id"), "named")
-    return prints.join(member, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    sizes = of.agg(F.count("*").alias("nodes"), F.sum("copies").alias("rows")).first()
+    named = of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("__n"))
+    member = work.table(spread_join(of, named, "root", ["fp"], "__n", sizes["nodes"]).select("fp", "copies", "component_id"), "named")
+    return spread_join(prints, member, "fp", ["doc_id", "text_hash"], "copies", sizes["rows"] or 0).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
