@@ -61,7 +61,11 @@ def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> li
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     """The fingerprint as an unsigned integer."""
-    hashes = shingle_hashes(text, words, seed)
+    return print_of(shingle_hashes(text, words, seed))
+
+
+def print_of(hashes) -> int:
+    """The fingerprint of unsigned hashes: the bits that over half of them have."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _BLOCK):
         block = np.array(hashes[i : i + _BLOCK], ">u8")

@@ -19,6 +19,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, by: list[str], weigh
 
     Only keys of over ``total / most`` (and ``least``) rows, of which there are under ``most``, are dealt over salts.
     """
+    if total <= least:
+        return left.join(right.drop(weight), on, how)
     is_hot = F.col(weight) > max(least, total // most)
     hot = right.where(is_hot).select(F.col(on).alias("__key"), F.lit(True).alias("__hot"))
     marked = left.join(F.broadcast(hot), F.col(on) == F.col("__key"), "left").drop("__key")

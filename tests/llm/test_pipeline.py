@@ -5,7 +5,7 @@ from collections import defaultdict
 import corpus_pipeline
 from docspark.llm import language_id, pii, simhash
 from docspark.llm.queries import vocabulary
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_jaccard import brute_kept
 from tokenizers import Tokenizer
 
 
@@ -14,8 +14,8 @@ def test_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     profiles = language_id.fit(docs)
     kept = sorted((r["doc_id"], r["text"]) for r in docs.collect() if profiles.detect(r["text"])[0] != "und" and profiles.detect(r["text"])[1] >= 0.05)
-    roots = brute_components([brute_print(t) for _, t in kept])
-    left = {i: t for n, ((i, t), root) in enumerate(zip(kept, roots, strict=True)) if n == root}
+    stay = set(brute_kept(kept))
+    left = {i: t for i, t in kept if i in stay}
     tokenizer = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     held, length = defaultdict(int), defaultdict(int)
     for r in corpus_pipeline.run(spark, sf_dir).collect():
