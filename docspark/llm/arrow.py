@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
+# Workers live on between tasks; the system's allocator gives a batch's buffers back when it is done, Arrow's own keeps them.
+pa.set_memory_pool(pa.system_memory_pool())
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of the batches whose ``column`` holds at most ``max_bytes`` (or one row)."""
     for batch in batches:
         values = batch.column(column)

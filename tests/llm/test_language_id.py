@@ -34,6 +34,48 @@ def test_ngrams_match_brute_force():
     assert Counter(language_id.ngrams(text).tolist()) == {key(g): n for g, n in counted.items()}
 
 
+def brute_detect(lists, text, size):
+    """The definition by dictionaries: ranks by count, then code points; the first language of least distance."""
+    order = lambda counts: sorted(counts, key=lambda g: (-counts[g], [0] * (3 - len(g)) + [ord(c) for c in g]))[:size]
+    own = order(brute_profile(text or "", size))
+    if not own or not lists:
+        return "und", 0.0
+    best = None
+    for lang in sorted(lists):
+        place = {g: i for i, g in enumerate(lists[lang])}
+        distance = sum(abs(place[g] - i) if g in place else size for i, g in enumerate(own))
+        if best is None or distance < best[0]:
+            best = (distance, lang)
+    return best[1], 1 - best[0] / (size * len(own))
+
+
+def test_fitting_and_detection_by_the_definition(spark, sf_dir):
+    """All labelled rows of the training fold (fewer than are drawn from at most), n-grams by dictionaries."""
+    from collections import Counter
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    totals = {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            totals.setdefault(r["lang"], Counter()).update(brute_profile(r["text"], 400))
+    lists = {x: sorted(c, key=lambda g: (-c[g], [0] * (3 - len(g)) + [ord(a) for a in g]))[:400] for x, c in totals.items()}
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op2_language_id(spark, sf_dir).collect()}
+    for r in rows:
+        lang, score = brute_detect(lists, r["text"], 400)
+        assert found[r["doc_id"]][0] == lang and abs(found[r["doc_id"]][1] - score) < 1e-12
+
+
+def test_long_texts_are_counted_in_parts():
+    import numpy as np
+
+    text = ("the quick brown fox, " * 700 + "x" * 5000 + " ") * 3
+    keys, counts = np.unique(language_id.ngrams(text), return_counts=True)
+    parts = list(language_id.blocks(text, 1000))
+    assert "".join(parts) == text and len(parts) > 20
+    found = language_id.added([np.unique(language_id.ngrams(x), return_counts=True) for x in parts])
+    assert (found[0] == keys).all() and (found[1] == counts).all()
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
