@@ -27,14 +27,30 @@ def located(records: DataFrame) -> DataFrame:
     return relational.running_offset(records.where("_error is null").withColumn("base", base).withColumn("counted", counted), ["file"], "rec_no", "counted", "base")
 
 
+def headed(records: DataFrame, context: DataFrame) -> DataFrame:
+    """The topic record ``(file, rec_no)`` of every context entry ``(topic_offset, hash, name)``."""
+    heads = located(records).where(F.col("record_type") == TOPIC)
+    return relational.forward_asof(context_names(context), heads.select("file", "rec_no", "run"), ["file"], "topic_offset", "run", "rec_no")
+
+
+def dump(records: DataFrame, context: DataFrame | None = None, hashes: DataFrame | None = None, limit: int = 40) -> DataFrame:
+    """S25, FL8, L6: records as hexadecimal: those of the topics that ``hashes(hash)`` name, or the first ``limit`` of all."""
+    shown = records.where("_error is null").select("file", "rec_no", "record_type", F.hex("link_data1").alias("link_data1"), F.hex("link_data2").alias("link_data2"))
+    if hashes is None:
+        return shown.orderBy("file", "rec_no").limit(limit)
+    wanted = headed(records, context).join(hashes.select("hash").distinct(), "hash").select("file", F.col("rec_no").alias("head_no"), "hash")
+    numbered = relational.carried(records.where("_error is null").withColumn("__own", F.when(F.col("record_type") == TOPIC, F.col("rec_no"))), ["file"], "rec_no", "__own", "__before")
+    spans = numbered.select("file", "rec_no", F.coalesce("__own", "__before").alias("head_no"))
+    return shown.join(spans, ["file", "rec_no"]).join(wanted, ["file", "head_no"]).drop("head_no")
+
+
 def topics(records: DataFrame, context: DataFrame) -> DataFrame:
     """``(file, topic_no, id, aliases, title, keywords, browse_seq)`` in chain order.
 
     Ties of context offsets go by hash.
     """
     heads = located(records).where(F.col("record_type") == TOPIC)
-    assigned = relational.forward_asof(context_names(context), heads.select("file", "rec_no", "run"), ["file"], "topic_offset", "run", "rec_no")
-    named = relational.first_and_rest(assigned, ["file", "rec_no"], ["topic_offset", "hash"], "name")
+    named = relational.first_and_rest(headed(records, context), ["file", "rec_no"], ["topic_offset", "hash"], "name")
     ordinal = relational.spans(heads.select("file", F.col("rec_no").cast("long").alias("rec_no"), "title"), ["file"], "rec_no", F.lit(True), "topic_no")
     joined = ordinal.join(named, ["file", "rec_no"], "left")
     nothing = F.array().cast("array<string>")
@@ -97,8 +113,8 @@ class HelpFiles:
 
 
 def assemble(archives: DataFrame, format_version: str | None = None, mode: str = "PERMISSIVE") -> HelpFiles:
-    """All tables of ``archives(path, content)``; nothing is decoded before it is used."""
-    t = help_source.tables(archives, format_version, mode)
+    """All tables of ``archives(path, content)``, each archive decoded once."""
+    t = help_source.tables(archives, format_version, mode, ("system", "context", "records", "blocks", "images"))
     topic, body = topics(t["records"], t["context"]), bodies(t["records"], t["blocks"])
     return HelpFiles(summary(t["system"], topic), topic, body, links(body), keyword_index(topic), images(body, t["images"]))
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
 from docspark.functions import text as t
 from docspark.plans.help_file import HelpFiles, assemble
-from docspark.sources import pictures
+from docspark.sources import pictures, tree_sink
 
 # Fixed value: the comment above pictures that stay metafiles.
 WMF_NOTE = ".. WMF (Windows Metafile) — vector image saved unconverted; render to PNG/SVG to display in Sphinx HTML.\n"
@@ -50,6 +51,11 @@ def picture(name: Column, placement: Column, kind: Column) -> Column:
     return F.concat(note, F.lit(".. "), directive, F.lit(":: _images/"), t.image_file(name, t.image_extension(kind)), F.lit("\n"), align, F.lit("\n"))
 
 
+def cell(kind: Column, said: Column) -> Column:
+    """a table cell: its text, a picture's name behind a bar, or a note for a table inside."""
+    return F.when(kind == "image", F.concat(F.lit("|"), said)).when(kind == "table", "(nested table)").otherwise(said)
+
+
 def table(rows: Column) -> Column:
     """A list table of already rendered cells (an array of arrays of strings)."""
     cells = F.flatten(F.transform(rows, lambda row: F.transform(row, lambda cell, i: F.concat(F.when(i == 0, "   * - ").otherwise("     - "), cell, F.lit("\n")))))
@@ -101,15 +107,20 @@ def conf_files(found: HelpFiles) -> DataFrame:
     return found.summary.select("file", F.lit("conf.py").alias("path"), content.alias("content"))
 
 
-@F.udf(returnType=BinaryType())
-def _png(data):
-    return pictures.to_png(bytes(data))
+def _with_png(images: DataFrame) -> DataFrame:
+    """``images(file, filename, format, data)`` with the PNG of bitmaps that have one."""
+
+    def run(batches):
+        for batch in batches:
+            png = [pictures.to_png(data) if kind == "bmp" else None for kind, data in zip(batch.column("format").to_pylist(), batch.column("data").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(png, pa.binary())], ["file", "filename", "format", "data", "png"])
+
+    return images.select("file", "filename", "format", "data").mapInArrow(run, "file string, filename string, format string, data binary, png binary")
 
 
 def image_files(found: HelpFiles) -> DataFrame:
     """K8: metafiles as they are, bitmaps as PNG, others raw under their stem."""
-    png = F.when(F.col("format") == "bmp", _png("data"))
-    own = found.images.withColumn("png", png)
+    own = _with_png(found.images)
     name = F.when(F.col("format") == "wmf", t.image_file(F.col("filename"), F.lit("wmf"))).when(F.col("png").isNotNull(), t.image_file(F.col("filename"), F.lit("png"))).otherwise(t.image_stem(F.col("filename")))
     return own.select("file", F.concat(F.lit("_images/"), name).alias("path"), F.coalesce("png", "data").alias("content"))
 
@@ -139,22 +150,11 @@ def progress(found: HelpFiles) -> DataFrame:
     return named.select("file", F.row_number().over(own.orderBy("topic_no")).alias("i"), F.count("*").over(own).alias("n"), "id")
 
 
-def write(exported: DataFrame, folder: str) -> None:
-    """Write every file below ``folder`` (a file system that all executors see), each under its archive's stem."""
-    import pyarrow.fs
-
-    def run(batches):
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder)
-        for batch in batches:
-            for stem, path, content in zip(*(batch.column(x).to_pylist() for x in ("stem", "path", "content")), strict=True):
-                place = f"{root}/{stem}/{path}"
-                fs.create_dir(place.rpartition("/")[0], recursive=True)
-                with fs.open_output_stream(place) as out:
-                    out.write(content)
-        yield from ()
-
-    stem = F.regexp_replace(F.regexp_replace("file", r"^.*/", ""), r"\.[^.]*$", "")
-    exported.select(stem.alias("stem"), "path", "content").mapInArrow(run, "done boolean").count()
+def write(exported: DataFrame, folder: str, root: str = "") -> None:
+    """K1: write every file below ``folder``, each under its archive's path below ``root`` without the extension."""
+    below = F.when(F.startswith("file", F.lit(root)), F.substring("file", F.lit(len(root) + 1), F.length("file"))).otherwise(F.col("file"))
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace(below, "^[a-z]+:", ""), r"\.[^./]*$", ""), "^/+", "")
+    tree_sink.write(exported.select(F.concat(stem, F.lit("/"), "path").alias("path"), "content"), folder)
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -173,7 +173,8 @@ def main(arguments: list[str] | None = None) -> int:
         for row in progress(found).orderBy("file", "i").toLocalIterator():
             print(f"[{row['i']}/{row['n']}] {row['id']}", file=sys.stderr)
     if not chosen.dry_run:
-        write(files(found), chosen.output)
+        place = Path(chosen.input)
+        write(files(found), chosen.output, f"file:{place.resolve() if place.is_dir() else place.resolve().parent}" if "://" not in chosen.input else chosen.input)
     for row in summary(found).orderBy("file").toLocalIterator():
         print(f"{row['file']}: {row['topics_written']} topics, {row['aliases_written']} aliases, {row['images_written']} images")
     return 0

@@ -1,8 +1,9 @@
 """Decoded tables of help archives as DataFrames.
 
-``tables(spark, paths)`` gives every table lazily. Archives are read by ``binaryFile`` from any store that Spark
-reads, one archive a row, and decoded in the partition that read it; only the parts that a table needs
-are decoded. Relations between the tables (identifiers, links, topics) are left to Spark.
+Archives are read by ``binaryFile`` from any store that Spark reads, one archive a row, and decoded in the
+partition that read it. ``decode`` gives one table lazily, from the parts of an archive that it needs; ``tables``
+decodes every archive once, for all tables, into the shared folder. Relations between the tables
+(identifiers, topics, pages) are left to Spark.
 
 ``mode`` is ``PERMISSIVE`` (a broken archive gives the rows before the fault and one row with ``_error``) or
 ``FAILFAST``.
@@ -22,6 +23,7 @@ from docspark.functions.text import FORMATS
 from docspark.sources import container as c
 from docspark.sources import opcodes, pictures
 from docspark.sources.codecs import HelpError, expand, phrase_table
+from docspark.storage import Workspace
 
 _RUNS = "array<struct<kind:string,text:string,bold:boolean,italic:boolean,target:string,link_kind:string>>"
 
@@ -69,7 +71,22 @@ class Archive:
         return self._once("blocks", lambda: c.blocks(self.container.read("|TOPIC"), self.info))
 
     def records(self) -> Iterator[tuple[c.Record, bytes, int]]:
-        """FL2: records, their expanded text and the characters they count for."""
+        """FL2: records, their expanded text and the characters they count for; an error comes in its place each time."""
+        held, end = self._once("records", lambda: self._chain())
+        yield from held
+        if end is not None:
+            raise end
+
+    def _chain(self) -> tuple[list[tuple[c.Record, bytes, int]], HelpError | None]:
+        out: list[tuple[c.Record, bytes, int]] = []
+        try:
+            for r in self._expanded():
+                out.append(r)
+        except HelpError as e:
+            return out, e
+        return out, None
+
+    def _expanded(self) -> Iterator[tuple[c.Record, bytes, int]]:
         phrases, hall = self.phrases
         for r in c.records(c.stream(self.blocks, self.info.decompress_size), self.info.before_31):
             link2 = expand(r.link2, phrases, hall) if phrases and r.length2 > len(r.link2) else r.link2
@@ -160,45 +177,99 @@ TABLES: dict[str, tuple[str, Callable[[Archive], Iterator[tuple]]]] = {
 _BATCH = 2000
 
 
+def _kind(table: str) -> StructType:
+    return StructType.fromDDL(f"file string, {TABLES[table][0]}, _error string")
+
+
+def _rows(archive: Archive, path: str, table: str, width: int, mode: str) -> Iterator[tuple]:
+    try:
+        for row in TABLES[table][1](archive):
+            yield path, *row, None
+    except HelpError as e:
+        if mode.upper() == "FAILFAST":
+            raise
+        yield path, *[None] * width, str(e)
+
+
+def _archive(content: bytes | None, minor: int | None) -> Archive:
+    """The archive, or one whose every part tells the same fault."""
+    try:
+        return Archive(content or b"", minor)
+    except HelpError as e:
+        broken = Archive.__new__(Archive)
+        broken.container, broken.minor, broken._held = _Broken(e), minor, {}
+        return broken
+
+
+class _Broken:
+    """A container that cannot be opened."""
+
+    def __init__(self, fault: HelpError):
+        self.fault = fault
+
+    def __getattr__(self, name: str):
+        raise self.fault
+
+
+def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    made = []
+    for values, f in zip(zip(*held, strict=True), schema, strict=True):
+        if pa.types.is_list(f.type) and pa.types.is_struct(f.type.value_type):
+            names = [x.name for x in f.type.value_type]
+            values = [None if v is None else [dict(zip(names, x, strict=True)) for x in v] for v in values]
+        made.append(pa.array(values, f.type))
+    return pa.RecordBatch.from_arrays(made, schema=schema)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], schemas: dict[str, pa.Schema], minor: int | None, mode: str) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Batches of rows of the tables in ``schemas``, each archive opened once."""
+    held: dict[str, list[tuple]] = {name: [] for name in schemas}
+    for b in batches:
+        for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+            archive = _archive(content, minor)
+            for name in schemas:
+                for row in _rows(archive, path, name, len(schemas[name]) - 2, mode):
+                    held[name].append(row)
+                    if len(held[name]) >= _BATCH:
+                        yield name, _batch(held[name], schemas[name])
+                        held[name] = []
+    for name, rows in held.items():
+        if rows:
+            yield name, _batch(rows, schemas[name])
+
+
 def decode(archives: DataFrame, table: str, format_version: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
     """``table`` of every row of ``archives(path, content)``, with ``file`` and ``_error``."""
-    columns, rows_of = TABLES[table]
-    schema = StructType.fromDDL(f"file string, {columns}, _error string")
-    minor = FORMATS[format_version] if format_version else None
-    width = len(schema) - 2
-    arrow = to_arrow_schema(schema)
+    minor, kind = FORMATS[format_version] if format_version else None, _kind(table)
+    schemas = {table: to_arrow_schema(kind)}
 
-    def rows(path: str, content: bytes) -> Iterator[tuple]:
-        try:
-            for row in rows_of(Archive(content, minor)):
-                yield path, *row, None
-        except HelpError as e:
-            if mode.upper() == "FAILFAST":
-                raise
-            yield path, *[None] * width, str(e)
+    def run(batches):
+        for _, batch in _decoded(batches, schemas, minor, mode):
+            yield batch
+
+    return archives.select("path", "content").mapInArrow(run, kind)
 
-    def batch(held: list[tuple]) -> pa.RecordBatch:
-        made = []
-        for values, f in zip(zip(*held, strict=True), arrow, strict=True):
-            if pa.types.is_list(f.type) and pa.types.is_struct(f.type.value_type):
-                names = [x.name for x in f.type.value_type]
-                values = [None if v is None else [dict(zip(names, x, strict=True)) for x in v] for v in values]
-            made.append(pa.array(values, f.type))
-        return pa.RecordBatch.from_arrays(made, schema=arrow)
+
+def tables(archives: DataFrame, format_version: str | None = None, mode: str = "PERMISSIVE", names: tuple[str, ...] = tuple(TABLES)) -> dict[str, DataFrame]:
+    """The tables ``names`` of ``archives(path, content)``: every archive is decoded once, into one file a table and task."""
+    minor = FORMATS[format_version] if format_version else None
+    kinds = {name: _kind(name) for name in names}
+    schemas = {name: to_arrow_schema(kind) for name, kind in kinds.items()}
+    schema = StructType.fromDDL("tbl string, " + ", ".join(f"{name} {kind.simpleString()}" for name, kind in kinds.items()))
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
-        held: list[tuple] = []
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                for row in rows(path, content or b""):
-                    held.append(row)
-                    if len(held) >= _BATCH:
-                        yield batch(held)
-                        held = []
-        if held:
-            yield batch(held)
+        for name, batch in _decoded(batches, schemas, minor, mode):
+            n = batch.num_rows
+            made = [pa.array([name] * n, pa.string())]
+            made += [pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema)) if f.name == name else pa.nulls(n, f.type) for f in list(arrow)[1:]]
+            yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
-    return archives.select("path", "content").mapInArrow(run, schema)
+    spark = archives.sparkSession
+    path = Workspace(spark, "help").path
+    archives.select("path", "content").mapInArrow(run, schema).write.partitionBy("tbl").parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    return {name: found.where(F.col("tbl") == name).select(f"{name}.*") for name in names}
 
 
 def read(spark: SparkSession, path: str, table: str, format_version: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
@@ -207,16 +278,6 @@ def read(spark: SparkSession, path: str, table: str, format_version: str | None
     return decode(archives, table, format_version, mode)
 
 
-def tables(archives: DataFrame, format_version: str | None = None, mode: str = "PERMISSIVE") -> dict[str, DataFrame]:
-    """Every table of ``archives(path, content)``, decoded when it is used."""
-    return {name: decode(archives, name, format_version, mode) for name in TABLES}
-
-
-def dump(records: DataFrame, limit: int = 40) -> DataFrame:
-    """Records as hexadecimal, the first ``limit`` of every look."""
-    return records.select("file", "rec_no", "record_type", F.hex("link_data1").alias("link_data1"), F.hex("link_data2").alias("link_data2")).orderBy("file", "rec_no").limit(limit)
-
-
 def contents(spark: SparkSession, path: str) -> DataFrame:
     """Contents files (``.cnt``): directives, headings and links, one line a row."""
     lines = spark.read.format("text").option("pathGlobFilter", "*.{cnt,CNT}").option("wholetext", "true").option("recursiveFileLookup", "true").load(path)

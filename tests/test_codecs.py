@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from docspark.plans import fixture
 from docspark.plans.fixture import literal_lz77
 from docspark.sources import codecs, opcodes, pictures
 from docspark.sources.codecs import HelpError
@@ -27,6 +28,27 @@ def test_lz77_literals(data):
     assert codecs.lz77(literal_lz77(data)) == data
 
 
+_REPEATS = st.lists(st.sampled_from([b"a", b"ab", b"abc abc", bytes(7), b" " * 20, b"\x01\x02", b"the ", b"x" * 200]), max_size=40).map(b"".join)
+
+
+@given(_REPEATS)
+def test_packing_and_back(data):
+    assert codecs.lz77(fixture.packed_lz77(data)) == data and codecs.run_length(fixture.packed_runs(data)) == data
+    for method in range(4):
+        assert codecs.unpack_picture(fixture.packed_picture(data, method), method) == data
+    phrases = [b"the", b"ab", *(bytes([i]) for i in range(1, 16)), *(b"%03d" % i for i in range(500)), b"abc", b"x" * 40]
+    assert codecs.expand_hall(fixture.packed_hall(data, phrases), phrases) == data
+    assert codecs.expand_pairs(fixture.packed_pairs(data, phrases), phrases) == data
+
+
+@pytest.mark.parametrize(("kind", "compressed"), [("inline", False), ("compressed", True), ("indexed", True), ("hall", True)])
+def test_phrase_files(kind, compressed):
+    phrases = [bytes([65 + i % 26]) * (1 + i % 23) for i in range(300)]
+    found, hall = codecs.phrase_table(fixture.phrase_files(kind, phrases), compressed)
+    assert found == phrases and hall == (kind in ("indexed", "hall"))
+    assert codecs.phrase_table(fixture.phrase_files("hall", phrases, lz77=False), True)[0] == phrases
+
+
 @pytest.mark.parametrize(
     ("data", "phrases", "plain"),
     [(b"\x01\0\x01\x02", [b"hello", b" world"], b"hello world"), (b"\x01\x01!", [b"hello"], b"hello !"), (b"\x10\x80\xff\x20", [], b"\x10\x80\xff\x20"), (b"x\x01", [b"a"], b"x\x01")],

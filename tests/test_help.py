@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import relational
 from docspark.plans import help_file, rst
-from docspark.plans.fixture import _tree, archive, literal_lz77
+from docspark.plans.fixture import archive, literal_lz77, number_key, string_key, tree
 from docspark.sources import container, help_source
 from docspark.sources.codecs import HelpError
 from docspark.streaming.watch import arriving
@@ -79,7 +79,7 @@ def test_summary_images_and_tables(found, archives):
     with pytest.raises(Exception, match="HelpError"):
         help_source.decode(archives, "system", mode="FAILFAST").collect()
     assert help_source.decode(archives, "system", "3.0").where("_error is null").agg(F.max("minor_version")).first()[0] == 15
-    assert help_source.dump(tables["records"].where("_error is null")).count() == 40
+    assert help_file.dump(tables["records"]).count() == 40
 
 
 def test_export(found, spark, tmp_path):
@@ -93,8 +93,13 @@ def test_export(found, spark, tmp_path):
     counts = {r["file"]: tuple(r)[1:] for r in rst.summary(found).collect()}
     assert counts == {"dir/a.hlp": (60, 60, 1), "dir/b.hlp": (40, 0, 0), "dir/c.hlp": (50, 0, 0)}
     assert rst.progress(found).where("i = n").count() == 3
-    rst.write(rst.files(found).where("file = 'dir/a.hlp'"), str(tmp_path))
-    assert (tmp_path / "a" / "ctx_000003e8.rst").read_text() == page
+    both = rst.files(found).where("file = 'dir/a.hlp'")
+    rst.write(both.unionByName(both.withColumn("file", F.lit("dir/b/a.hlp"))), str(tmp_path / "out"), "dir/")
+    assert (tmp_path / "out" / "a" / "ctx_000003e8.rst").read_text() == page == (tmp_path / "out" / "b" / "a" / "ctx_000003e8.rst").read_text()
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["a", "b"]
+    with pytest.raises(Exception, match="leaves"):
+        rst.write(both.withColumn("path", F.lit("../x")), str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").rglob("*"))
 
 
 def test_rendering(spark):
@@ -151,13 +156,13 @@ def test_asof_of_one_large_key_takes_linear_time(spark):
 
 def test_trees_and_indexes():
     entries = [struct.pack("<2I", i, 2 * i) for i in range(9000)]
-    assert container.contexts(_tree(entries)) == [(i, 2 * i) for i in range(9000)]
+    assert container.contexts(tree(entries, number_key, page=2048)) == [(i, 2 * i) for i in range(9000)]
     words = [f"w{i:05d}".encode() + b"\0" + struct.pack("<I", 6 * i) for i in range(5)]
     posts = b"".join(struct.pack("<HI", 1, i) for i in range(5))
-    assert container.keywords(_tree(words, 4), posts) == [(f"w{i:05d}", [i]) for i in range(5)]
+    assert container.keywords(tree(words, string_key, 4), posts) == [(f"w{i:05d}", [i]) for i in range(5)]
     with pytest.raises(HelpError):
-        container.keywords(_tree(words, 4), posts[:-1])
-    assert container.titles(_tree([struct.pack("<I", 9) + b"b\0", struct.pack("<I", 3) + b"a\0"], 4)) == [(3, "a"), (9, "b")]
+        container.keywords(tree(words, string_key, 4), posts[:-1])
+    assert container.titles(tree([struct.pack("<I", 9) + b"b\0", struct.pack("<I", 3) + b"a\0"], number_key, 4)) == [(3, "a"), (9, "b")]
     held = container.Container(archive(sample(5)))
     assert len(held.read("|SYSTEM", header=True)) == len(held.read("|SYSTEM")) + 9
     with pytest.raises(HelpError):
