@@ -6,6 +6,8 @@ Arrays leave as delimited strings, so that both engines' values compare.
 from __future__ import annotations
 
 import re
+import struct
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,10 @@ from pyspark.sql.window import Window
 from docspark.functions import numbers as n
 from docspark.functions import text as t
 from docspark.operators import relational as r
-from docspark.plans import help_file, rst
-from docspark.plans.fixture import archive, literal_lz77
-from docspark.sources import codecs
+from docspark.plans import fixture, help_file, rst
+from docspark.plans.fixture import archive
+from docspark.sources import codecs, help_source
+from docspark.sources.pictures import DDB, DIB, METAFILE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,11 +80,18 @@ def neutralize_lines(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", t.neutral_line(line).alias("line"))
 
 
-@query("SELECT doc_id, repeat('=', greatest(strlen(left(text, 40)), 1)::BIGINT) AS underline, coalesce(nullif(left(text, 0), ''), 'id') AS heading, ltrim(left(text, 9), ' ' || chr(9)) AS start FROM documents")
+@query(r"""
+SELECT doc_id, md5(repeat('=', greatest(strlen(text), 1)::BIGINT)) AS underline, CASE WHEN title = '' THEN 'id' ELSE title END AS heading,
+  coalesce(nullif(title, ''), '(untitled)') AS titled, coalesce(nullif(title, ''), '') AS named, md5(ltrim(text, ' ' || chr(9))) AS start
+FROM (SELECT doc_id, text, regexp_extract(text, '([^.]*)\z', 1) AS title FROM documents)""")
 def titles(spark, sf_dir):
-    """F13, F14, F18."""
-    text = F.col("text")
-    return _table(spark, sf_dir, "documents").select("doc_id", t.underline(F.left(text, F.lit(40))).alias("underline"), t.heading(F.left(text, F.lit(0)), F.lit("id")).alias("heading"), t.paragraph_start(F.left(text, F.lit(9))).alias("start"))
+    """whole texts, and as titles what follows their last stop, often nothing."""
+    text, title = F.col("text"), F.regexp_extract("text", r"([^.]*)\z", 1)
+    missing = F.nullif(title, F.lit(""))
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", F.md5(t.underline(text)).alias("underline"), t.heading(title, F.lit("id")).alias("heading"), t.title_or_default(missing).alias("titled"),
+        t.id_or_default(missing).alias("named"), F.md5(t.paragraph_start(text)).alias("start"),
+    )
 
 
 @query("""
@@ -115,13 +125,15 @@ def packed_numbers(spark, sf_dir):
 
 @query("""SELECT p_partkey, p_size & 1 <> 0 AS bold, p_size & 2 <> 0 AS italic, p_size & 4 <> 0 AS underlined,
   CASE WHEN p_size <= 16 OR p_partkey % 10 = 8 THEN 2048 ELSE 4096 END AS block_size, CASE WHEN p_size <= 16 THEN 2048 ELSE 16384 END AS decompress_size,
-  p_size > 16 AND p_partkey % 10 IN (4, 8) AS lz77 FROM part""")
+  p_size > 16 AND p_partkey % 10 IN (4, 8) AS lz77, ([15, 21, 27, NULL])[p_size % 4 + 1] AS minor_version, '|bm' || p_partkey AS bitmap FROM part""")
 def font_flags_and_geometry(spark, sf_dir):
-    """F5, F15."""
+    """F4, F5, F15, F17."""
     size, flags = F.col("p_size"), F.col("p_partkey") % 10
+    label = F.element_at(F.array(*map(F.lit, ("3.0", "3.1", "4.0", "5.0"))), size % 4 + 1)
     return _table(spark, sf_dir, "part").select(
         "p_partkey", t.has_flag(size, 1).alias("bold"), t.has_flag(size, 2).alias("italic"), t.has_flag(size, 4).alias("underlined"),
         n.topic_block_size(size, flags).alias("block_size"), n.decompress_size(size).alias("decompress_size"), n.uses_lz77(size, flags).alias("lz77"),
+        t.minor_version(label).alias("minor_version"), t.bitmap_name(F.col("p_partkey")).alias("bitmap"),
     )
 
 
@@ -198,25 +210,26 @@ def xor_checksum(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bit_xor((F.col("l_partkey") % 65536).cast("int")).alias("checksum"), F.count("*").alias("n"))
 
 
-@query("""SELECT c_nationkey, count(*) FILTER (c_acctbal > 0) AS topics, sum(CASE WHEN c_acctbal > 0 THEN length(c_name) - length(replace(c_name, '0', '')) ELSE 0 END)::BIGINT AS aliases,
-  string_agg(c_name, ',' ORDER BY c_custkey) FILTER (c_acctbal > 0) AS toc FROM customer GROUP BY c_nationkey""")
+@query("""SELECT c_nationkey, c_custkey // 1000 AS part, count(*) FILTER (c_acctbal > 0) AS topics, sum(CASE WHEN c_acctbal > 0 THEN length(c_name) - length(replace(c_name, '0', '')) ELSE 0 END)::BIGINT AS aliases,
+  string_agg(c_name, ',' ORDER BY c_custkey) FILTER (c_acctbal > 0) AS toc FROM customer GROUP BY c_nationkey, c_custkey // 1000""")
 def write_summary(spark, sf_dir):
     """A5, A10, FL4, FL5, K6: counts and an ordered list of what a filter keeps."""
     kept = F.col("c_acctbal") > 0
     zeros = F.length("c_name") - F.length(F.replace("c_name", F.lit("0"), F.lit("")))
     listed = F.sort_array(F.collect_list(F.when(kept, F.struct("c_custkey", "c_name"))))
-    return _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
+    return _table(spark, sf_dir, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 1000).alias("part")).agg(
         F.count_if(kept).alias("topics"), F.sum(F.when(kept, zeros).otherwise(0)).cast("long").alias("aliases"),
         F.nullif(F.array_join(F.transform(listed, lambda x: x["c_name"]), ","), F.lit("")).alias("toc"),
     )
 
 
-@query(f"WITH {_HREFS} SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT o.href || ' ' || o.href FROM h o) OR p_partkey IN (SELECT DISTINCT length(href) FROM h)")
+@query(f"WITH {_HREFS} SELECT p_partkey, p_name FROM part WHERE right(p_name, 2) IN (SELECT right(o.href, 2) FROM h o) OR p_partkey IN (SELECT DISTINCT length(href) FROM h)")
 def referenced_only(spark, sf_dir):
     """Only what is referenced."""
     h = _hrefs(spark, sf_dir)
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    by_name = part.join(h.select(F.concat_ws(" ", "href", "href").alias("p_name")), "p_name", "left_semi").select("p_partkey", "p_name")
+    ending = lambda c: F.right(c, F.lit(2)).alias("ending")
+    by_name = part.withColumn("ending", ending("p_name")).join(h.select(ending("href")).distinct(), "ending", "left_semi").select("p_partkey", "p_name")
     by_size = part.join(h.select(F.length("href").cast("long").alias("p_partkey")), "p_partkey", "left_semi").select("p_partkey", "p_name")
     return by_name.unionByName(by_size).distinct()
 
@@ -337,75 +350,300 @@ _SAME = "SELECT doc_id, md5(text) AS digest FROM documents"
 
 @query(_SAME)
 def lz77_roundtrip(spark, sf_dir):
-    """D1."""
-    return _round_trip(spark, sf_dir, lambda x: codecs.lz77(literal_lz77(x)))
+    """Literals and references."""
+    return _round_trip(spark, sf_dir, lambda x: codecs.lz77(fixture.packed_lz77(x)))
 
 
 @query(_SAME)
 def runlen_roundtrip(spark, sf_dir):
-    """D5, D6."""
-    return _round_trip(spark, sf_dir, lambda x: codecs.unpack_picture(b"".join(bytes([0x80 | len(x[i : i + 127])]) + x[i : i + 127] for i in range(0, len(x), 127)), 1))
+    """Repeats and literals, plain and behind LZ77."""
+    return _round_trip(spark, sf_dir, lambda x: codecs.unpack_picture(fixture.packed_picture(x, 2 * (len(x) % 2) + 1), 2 * (len(x) % 2) + 1))
+
+
+_BYTES = [bytes([b]) for b in range(1, 16)]
+
+
+def frequent(texts: list[str], most: int = 300) -> list[bytes]:
+    """The most frequent letter groups, the shortest first, so that long ones have long numbers."""
+    found = Counter(m[0] for x in texts for m in re.finditer(rb"[a-z]{3,12}", x.encode()))
+    return sorted((w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most]), key=lambda w: (len(w), w))
 
 
 @query(_SAME)
 def phrase_roundtrip(spark, sf_dir):
-    """Two words, and the bytes that would read as tokens, as phrases."""
-    phrases = [b"the", b"ion", *(bytes([b]) for b in range(1, 16))]
-    tokens = {b"the ": b"\x01\x01", b"ion": b"\x01\x02"} | {bytes([b]): bytes([1, 2 * (b + 1)]) for b in range(1, 16)}
-    return _round_trip(spark, sf_dir, lambda x: codecs.expand(re.sub(rb"the |ion|[\x01-\x0f]", lambda m: tokens[m[0]], x), phrases, False))
+    """Every text by its own frequent words, and the bytes that would read as pairs, as phrases."""
+
+    def back(x):
+        phrases = [*_BYTES, *frequent([x.decode()], 100)]
+        return codecs.expand(fixture.packed_pairs(x, phrases), phrases, False)
+
+    return _round_trip(spark, sf_dir, back)
 
 
 @query(_SAME)
 def hall_roundtrip(spark, sf_dir):
-    """Literal runs and a phrase."""
+    """Phrases with numbers of one and two bytes, blanks, NULs and literals."""
+
+    def back(x):
+        phrases = [*(b"%c%c" % (a, b) for a in b"qxz" for b in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), *frequent([x.decode()])]
+        marked = x.replace(b"e", bytes(2)).replace(b" ", b"  ")
+        return codecs.expand(fixture.packed_hall(marked, phrases), phrases, True).replace(b"  ", b" ").replace(bytes(2), b"e")
+
+    return _round_trip(spark, sf_dir, back)
 
-    def packed(x):
-        parts = x.split(b"the ")
-        runs = [b"".join(bytes([(len(p[i : i + 32]) - 1) << 3 | 3]) + p[i : i + 32] for i in range(0, len(p), 32)) for p in parts]
-        return codecs.expand(b"\0".join(runs), [b"the "], True)
 
-    return _round_trip(spark, sf_dir, packed)
+# ---- archives made of the tables, decoded, assembled and exported
 
 
-def archives(spark: SparkSession, sf_dir: str, per_archive: int = 32) -> DataFrame:
-    """``(path, content)``: documents as help archives, a topic a document, a paragraph every 300 characters."""
+def _made(rows: DataFrame, key: str, per_archive: int, make: Callable[[int, list[dict]], bytes]) -> DataFrame:
+    """``(path, content)``: an archive of every ``per_archive`` values of ``key``, made of its rows in order."""
     import pyarrow as pa
 
-    def make(key, table):
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True))
-        topics = [{"title": f"doc {i}", "hash": i + 1, "paragraphs": [[("text", x[k : k + 300])] for k in range(0, len(x), 300)] + [[("link", "next", i + 2)]]} for i, x in rows]
-        number = key[0].as_py()
-        made = archive(topics, title=f"archive {number}", minor=(15, 21, 21)[number % 3], lz77=number % 3 == 1)
-        return pa.table({"path": [f"{number}.hlp"], "content": [made]})
+    def run(group, table):
+        number = group[0].as_py()
+        own = sorted(table.drop_columns(["k"]).to_pylist(), key=lambda r: r[key])
+        return pa.table({"path": [f"{number}.hlp"], "content": [make(number, own)]})
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / per_archive).cast("long").alias("k"))
-    return docs.groupBy("k").applyInArrow(make, "path string, content binary")
+    return rows.withColumn("k", F.floor(F.col(key) / per_archive).cast("long")).groupBy("k").applyInArrow(run, "path string, content binary")
 
 
-@query(_SAME)
-def container_roundtrip(spark, sf_dir):
-    """Rows to archives, and back through every stage."""
-    found = help_file.assemble(archives(spark, sf_dir))
-    said = found.bodies.where("inlines[0].kind = 'text'").select("file", "topic_no", "rec_no", "block_no", F.array_join(F.transform("inlines", lambda x: x["text"]), "").alias("t"))
+def archives(spark: SparkSession, sf_dir: str, per_archive: int = 32, **options) -> DataFrame:
+    """Documents as help archives of all formats: a topic a document, a paragraph every 300 characters, a link to the next one."""
+
+    def make(number, rows):
+        topics = [{"title": f"doc {r['doc_id']}", "hash": r["doc_id"] + 1, "paragraphs": [[("text", r["text"][k : k + 300])] for k in range(0, len(r["text"]), 300)] + [[("bold", "b"), ("link", "next", r["doc_id"] + 2), ("popup", "", r["doc_id"] + 1)]]} for r in rows]
+        return archive(topics, title=f"archive {number}", minor=(15, 21, 21)[number % 3], lz77=number % 3 == 1, copyright="(c) 'x'" if number % 2 else None, starting=None if number % 4 else "ctx_start", **options)
+
+    return _made(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", per_archive, make)
+
+
+def _texts(found: help_file.HelpFiles) -> DataFrame:
+    """Document identifiers and digests of what their topics' text paragraphs say."""
+    said = found.bodies.where("inlines[0].kind = 'text' and not inlines[0].bold").select("file", "topic_no", "rec_no", "block_no", F.array_join(F.transform("inlines", lambda x: x["text"]), "").alias("t"))
     listed = F.sort_array(F.collect_list(F.struct("rec_no", "block_no", "t")))
     texts = said.groupBy("file", "topic_no").agg(F.md5(F.array_join(F.transform(listed, lambda x: x["t"]), "")).alias("digest"))
     named = found.topics.select("file", "topic_no", (F.conv(F.substring("id", 5, 8), 16, 10).cast("long") - 1).alias("doc_id"))
     return named.join(texts, ["file", "topic_no"], "left").select("doc_id", F.coalesce("digest", F.md5(F.lit(""))).alias("digest"))
 
 
-@query("""SELECT 'ctx_' || printf('%08x', doc_id + 2) AS target, 1::BIGINT AS n_links, doc_id + 2 > (SELECT max(doc_id) + 1 FROM documents WHERE doc_id // 32 = d.doc_id // 32) AS dangling
-  FROM documents d WHERE doc_id % 32 <> 31 AND doc_id + 1 IN (SELECT doc_id FROM documents)""")
+@query(_SAME)
+def container_roundtrip(spark, sf_dir):
+    """Rows to archives, and back through every stage."""
+    return _texts(help_file.assemble(archives(spark, sf_dir)))
+
+
+@query(_SAME)
+def phrase_archives(spark, sf_dir):
+    """S13-S18, W2, W3, FL2, D1-D4, J5: archives whose texts are packed by each kind of phrase table."""
+
+    def make(number, rows):
+        kind = ("inline", "compressed", "indexed", "hall")[number % 4]
+        texts = [r["text"] for r in rows]
+        topics = [{"title": "the title", "hash": r["doc_id"] + 1, "paragraphs": [[("text", r["text"][k : k + 300])] for k in range(0, len(r["text"]), 300)]} for r in rows]
+        return archive(topics, minor={"inline": 15, "compressed": 21}.get(kind, 27), lz77=kind == "hall", phrases=(kind, [*_BYTES, *frequent(texts)]))
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "".join(map(chr, range(1, 9))), "").alias("text"))
+    return _texts(help_file.assemble(_made(docs, "doc_id", 16, make)))
+
+
+_LINKS = """l AS (SELECT d.doc_id, CASE WHEN n.doc_id IS NULL THEN printf('0x%08X', d.doc_id + 2) ELSE printf('ctx_%08x', d.doc_id + 2) END AS target, n.doc_id IS NULL AS dangling
+  FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1 AND n.doc_id // 32 = d.doc_id // 32 UNION ALL
+  SELECT doc_id, printf('ctx_%08x', doc_id + 1), false FROM documents)"""
+
+
+@query(f"WITH {_LINKS} SELECT (doc_id // 32) || '.hlp' AS file, target, count(*) AS n_links, count(DISTINCT doc_id) AS n_topics, dangling FROM l GROUP BY ALL")
 def archive_links(spark, sf_dir):
-    """Links of decoded archives, resolved by name."""
+    """All links of decoded archives, and whether they lead to a topic."""
     found = help_file.assemble(archives(spark, sf_dir))
-    known = help_file.backlinks(found.links).join(found.topics.select("file", F.col("id").alias("target")), ["file", "target"])
-    return known.select("target", "n_links", F.lit(False).alias("dangling"))
+    known = found.topics.select("file", F.explode(F.concat(F.array("id"), "aliases")).alias("target"), F.lit(True).alias("known"))
+    back = help_file.backlinks(found.links).join(known, ["file", "target"], "left")
+    return back.select("file", "target", "n_links", "n_topics", F.col("known").isNull().alias("dangling"))
+
+
+@query("""WITH a AS (SELECT doc_id // 32 AS n, min(doc_id) AS least FROM documents GROUP BY n)
+SELECT n || '.hlp' AS file, 'archive ' || n AS title, CASE WHEN n % 2 = 1 THEN '(c) ''x''' END AS copyright,
+  CASE WHEN n % 4 = 0 THEN 'ctx_start' ELSE printf('ctx_%08x', least + 1) END AS root_topic, CASE WHEN n % 3 = 0 THEN 15 ELSE 21 END AS minor_version, 4 AS fonts, '0123' AS styles FROM a""")
+def archive_summary(spark, sf_dir):
+    """The metadata and fonts of archives."""
+    t = help_source.tables(archives(spark, sf_dir), names=("system", "context", "records", "fonts"))
+    said = help_file.summary(t["system"], help_file.topics(t["records"], t["context"]))
+    style = F.col("is_bold").cast("int") + 2 * F.col("is_italic").cast("int") + 4 * F.col("is_underline").cast("int")
+    fonts = t["fonts"].groupBy("file").agg(F.count("*").cast("int").alias("fonts"), F.array_join(F.sort_array(F.collect_list(style.cast("string"))), "").alias("styles"))
+    return said.join(t["system"].select("file", "minor_version"), "file").join(fonts, "file")
+
+
+@query("""SELECT doc_id, 2 + ceil(length(text) / 300.0)::BIGINT AS n_records, upper(hex(encode('doc ' || doc_id))) || '00' AS title FROM documents""")
+def record_dump(spark, sf_dir):
+    """S21, S22, S25, FL8, J2: the raw records of the topics of given context hashes."""
+    t = help_source.tables(archives(spark, sf_dir), names=("context", "records"))
+    hashes = _table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("hash"))
+    shown = help_file.dump(t["records"], t["context"], hashes)
+    return shown.groupBy((F.col("hash") - 1).alias("doc_id")).agg(F.count("*").alias("n_records"), F.min_by("link_data2", "rec_no").alias("title"))
+
+
+_PUNCTUATION = "|".join(re.escape(chr(c)) + "{4,}" for c in range(33, 127) if not chr(c).isalnum()).replace("'", "''")
+
+
+@query(rf"""
+WITH a AS (SELECT doc_id, doc_id // 32 AS n, printf('ctx_%08x', least(h, xor(h, 65535))) AS id, printf('ctx_%08x', greatest(h, xor(h, 65535))) AS alias,
+    regexp_replace(text, '([\\*`|_])', '\\\1', 'g') AS escaped, text FROM (SELECT *, doc_id + 1 AS h FROM documents)),
+k AS (SELECT doc_id, unnest(range(0, length(text), 300)) AS pos FROM a),
+p AS (SELECT k.doc_id, k.pos, ltrim(regexp_replace(substr(a.text, k.pos + 1, 300), '([\\*`|_])', '\\\1', 'g'), ' ' || chr(9)) AS said FROM k JOIN a USING (doc_id)),
+b AS (SELECT doc_id, string_agg(array_to_string(list_transform(string_split(said, chr(10)), lambda x: regexp_replace(x, '^(\s*)((?:{_PUNCTUATION})\s*)$', '\1\\\2')), chr(10)) || chr(10) || chr(10), '' ORDER BY pos) AS body FROM p GROUP BY doc_id),
+{_LINKS.split(' UNION ALL')[0]}),
+f AS (
+  SELECT n, id || '.rst' AS path, '.. _' || id || ':' || chr(10) || chr(10) || 'doc ' || doc_id || chr(10) || repeat('=', length('doc ' || doc_id)::BIGINT) || chr(10) || chr(10) || coalesce(body, '')
+    || '**b**\ :ref:`next <' || target || '>`\ :ref:`ctx\_' || printf('%08x', doc_id + 1) || ' <' || 'ctx_' || printf('%08x', doc_id + 1) || '>`' || chr(10) || chr(10) AS content FROM a LEFT JOIN b USING (doc_id) JOIN l USING (doc_id)
+  UNION ALL SELECT n, alias || '.rst', ':orphan:' || chr(10) || chr(10) || '.. _' || alias || ':' || chr(10) || chr(10) || id || chr(10) || repeat('=', 12) || chr(10) || chr(10) || 'See :ref:`' || id || '`.' || chr(10) FROM a
+  UNION ALL SELECT n, 'index.rst', 'archive ' || n || chr(10) || repeat('=', length('archive ' || n)::BIGINT) || chr(10) || chr(10) || CASE WHEN n % 2 = 1 THEN '(c) ''x''' || chr(10) || chr(10) ELSE '' END
+    || '.. toctree::' || chr(10) || '   :maxdepth: 2' || chr(10) || '   :caption: Contents' || chr(10) || chr(10) || string_agg('   ' || id || chr(10), '' ORDER BY doc_id) || chr(10) FROM a GROUP BY n
+  UNION ALL SELECT n, 'conf.py', '# Configuration file for the Sphinx documentation builder.' || chr(10) || chr(10) || 'project = ''archive ' || n || '''' || chr(10)
+    || CASE WHEN n % 2 = 1 THEN 'copyright = ''(c) \''x\''''' || chr(10) ELSE '' END || 'extensions = []' || chr(10) || 'exclude_patterns = [''_build'']' || chr(10) || chr(10) FROM (SELECT DISTINCT n FROM a))
+SELECT n || '.hlp' AS file, path, md5(content) AS digest FROM f""")
+def rst_files(spark, sf_dir):
+    """K1-K7, W5, F6-F14, F18, FL4, FL5, A3, A10: every whole file of the export."""
+    exported = rst.files(help_file.assemble(archives(spark, sf_dir, aliases=True)))
+    return exported.select("file", "path", F.md5("content").alias("digest"))
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+
+
+@query("""
+WITH p AS (SELECT *, printf('ctx_%08x', p_partkey + 1) AS own FROM part)
+SELECT p_partkey, 0::BIGINT AS n, 'paragraph' AS kind, 'size ;b:' || p_size || ';' || chr(9) || ';i:' || p_brand || '; ;bi:' || p_type || ';jump:' || own || ':' || p_name || ';popup:' || printf('0x%08X', 3735879680 + p_partkey) || ':' || printf('0x%08X', 3735879680 + p_partkey) AS said,
+  NULL AS image, NULL AS placement FROM p UNION ALL
+SELECT p_partkey, 1, 'paragraph', 'see ', NULL, NULL FROM p UNION ALL
+SELECT p_partkey, 2, 'image', NULL, '|bm' || (p_partkey % 1000), (['inline', 'left', 'right'])[p_partkey % 3 + 1] FROM p UNION ALL
+SELECT p_partkey, 3, 'paragraph', ' after', NULL, NULL FROM p UNION ALL
+SELECT p_partkey, 4, 'paragraph', p_name, NULL, NULL FROM p UNION ALL
+SELECT p_partkey, 5, 'paragraph', 'b:' || p_brand || '; x', NULL, NULL FROM p UNION ALL
+SELECT p_partkey, 6, 'paragraph', p_type, NULL, NULL FROM p""")
+def table_records(spark, sf_dir):
+    """O1, O2, O5, O6, O8-O16, J1, J3, J9, D7-D9, FL1, FL7: styled runs, pictures and table cells under every layout field."""
+
+    def make(number, rows):
+        def topic(r):
+            key = r["p_partkey"]
+            styled = [("text", "size "), ("bold", str(r["p_size"])), ("tab",), ("italic", r["p_brand"]), ("break",), ("both", r["p_type"]), ("link", r["p_name"], key + 1), ("popup", "", 0xDEAD0000 + key)]
+            shown = [("text", "see "), ("image", key % 1000, ("inline", "left", "right")[key % 3]), ("text", " after")]
+            flags = [key * 37 * i % 1024 & 0x37F for i in (1, 2, 3)]
+            cells = [([("text", r["p_name"])], flags[0]), ([("bold", r["p_brand"]), ("break",), ("text", "x")], flags[1]), ([], 0), ([("text", r["p_type"])], flags[2])]
+            return {"title": "t", "hash": key + 1, "paragraphs": [styled, shown], "tables": [[]] * (key % 4) + [cells], "layout": flags[0]}
+
+        return archive([topic(r) for r in rows], minor=(15, 21)[number % 2])
+
+    found = help_file.assemble(_made(_parts(spark, sf_dir), "p_partkey", 32, make))
+    style = lambda x: F.when(x["bold"] & x["italic"], "bi:").when(x["bold"], "b:").when(x["italic"], "i:").otherwise("")
+    said = lambda x: F.when(x["kind"] == "link", F.concat_ws(":", x["link_kind"], x["target"], x["text"])).otherwise(F.concat(style(x), x["text"]))
+    number = F.row_number().over(Window.partitionBy("file", "topic_no").orderBy("rec_no", "block_no")) - 1
+    body = found.bodies.select("file", "topic_no", number.cast("long").alias("n"), "kind", F.when(F.col("kind") == "paragraph", F.array_join(F.transform("inlines", said), ";")).alias("said"), "image", "placement")
+    own = found.topics.select("file", "topic_no", (F.conv(F.substring("id", 5, 8), 16, 10).cast("long") - 1).alias("p_partkey"))
+    return body.join(own, ["file", "topic_no"]).select("p_partkey", "n", "kind", "said", "image", "placement")
+
+
+_PIXELS = "rpad(p_name || p_type || p_brand, 128, ' ')"
+
+
+def _pixels(r: dict) -> bytes:
+    return (r["p_name"] + r["p_type"] + r["p_brand"]).ljust(128)[:128].encode()
+
+
+# The bytes that identify each hotspot action, and one that is none.
+_SPOTS = [(200, 0, 0), (204, 4, 0), (226, 0, 0), (227, 0, 0), (230, 4, 0), (231, 4, 0), (234, 0, 0), (235, 0, 0), (238, 4, 0), (239, 4, 0), (1, 2, 3)]
+
+
+def _picture_archives(spark, sf_dir) -> DataFrame:
+    """Parts as pictures of seven kinds with up to two hotspots, a picture that no topic shows, and a file that is none."""
+
+    def make(number, rows):
+        topics, files = [], {}
+        for r in rows:
+            key, data = r["p_partkey"], _pixels(r)
+            spots = fixture.hotspots([(_SPOTS[(key + j) % 11], key % 500, j, r["p_size"], 7, key * 3 + j, f"n{key}", r["p_name"]) for j in range(key % 3)])
+            if key % 7 < 4:
+                made = fixture.picture(DIB, 32, 4, 8, data, key % 7, 2, spots)
+            elif key % 7 == 4:
+                made = fixture.picture(METAFILE, 100, 50, 0, data, 3, 0, spots)
+            elif key % 7 == 5:
+                made = fixture.picture(DDB, 112, 4, 1, data[:56], 1, 0, spots)
+            else:
+                made = struct.pack("<IiiHHIIiiII", 40, 32, 4, 1, 8, 0, 0, 0, 0, 2, 0) + bytes(8) + data
+            files |= {f"|bm{key}": made, f"|bm{key}0000000": data, f"|x{key}": data}
+            topics.append({"title": "t", "hash": key + 1, "paragraphs": [[("image", key % 65536, ("inline", "left", "right")[key % 3])]]})
+        return archive(topics, files=files)
+
+    return _made(_parts(spark, sf_dir).where("p_partkey < 65536"), "p_partkey", 16, make)
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, {_PIXELS} AS x FROM part WHERE p_partkey < 65536),
+d AS (SELECT *, CASE WHEN k < 4 THEN unhex('424DBE000000000000003E000000280000002000000004000000010008000000000080000000000000000000000002000000000000000000000000000000') || encode(x)
+  WHEN k = 4 THEN unhex('D7CDC69A00000000000064003200EC0900000000AB5E') || encode(x)
+  WHEN k = 5 THEN unhex('424D7E000000000000003E0000002800000070000000040000000100010000000000400000000000000000000000020000000000000000000000FFFFFF00')
+    || encode(x[1:14] || '  ' || x[15:28] || '  ' || x[29:42] || '  ' || x[43:56] || '  ')
+  ELSE unhex('424DBE000000000000003E000000280000002000000004000000010008000000000000000000000000000000000002000000000000000000000000000000') || encode(x) END AS data FROM p)
+SELECT p_partkey, CASE WHEN k = 4 THEN 'wmf' ELSE 'bmp' END AS format, md5(data) AS digest, '_images/bm' || p_partkey || CASE WHEN k = 4 THEN '.wmf' ELSE '.png' END AS path,
+  CASE WHEN k = 4 THEN left(hex(data), 58) ELSE '89504E470D0A1A0A0000000D49484452' || CASE WHEN k = 5 THEN '00000070000000040103000000' ELSE '00000020000000040803000000' END END AS head FROM d""")
+def picture_export(spark, sf_dir):
+    """Pictures that topics show, as BMP or metafile, and their exported files."""
+    found = help_file.assemble(_picture_archives(spark, sf_dir))
+    key = F.regexp_extract("filename", "^.bm([0-9]+)$", 1).cast("long")
+    own = found.images.select(key.alias("p_partkey"), "format", F.md5("data").alias("digest"))
+    files = rst.image_files(found).select(F.regexp_extract("path", "bm([0-9]+)[.]", 1).cast("long").alias("p_partkey"), "path", F.hex(F.substring("content", 1, 29)).alias("head"))
+    return own.join(files, "p_partkey")
+
+
+@query("""
+WITH s AS (SELECT *, unnest(range(0, p_partkey % 3)) AS j FROM part WHERE p_partkey < 65536 AND p_partkey % 7 < 6)
+SELECT p_partkey, j::INTEGER AS ord, (p_partkey % 500)::INTEGER AS x, j::INTEGER AS y, p_size AS w, 7 AS h, (['macro_visible', 'macro_invisible', 'popup_visible', 'jump_visible', 'popup_invisible', 'jump_invisible',
+  'external_popup_visible', 'external_jump_visible', 'external_popup_invisible', 'external_jump_invisible', 'unknown'])[(p_partkey + j) % 11 + 1] AS action, p_partkey * 3 + j AS hash, 'n' || p_partkey AS name, p_name AS target FROM s""")
+def picture_hotspots(spark, sf_dir):
+    """The hotspots of pictures."""
+    found = help_source.decode(_picture_archives(spark, sf_dir), "hotspots").where("_error is null")
+    return found.select(F.regexp_extract("image", "([0-9]+)$", 1).cast("long").alias("p_partkey"), "ord", "x", "y", "w", "h", "action", "hash", "name", "target")
+
 
+@query(f"SELECT '|x' || p_partkey AS name, 128::BIGINT AS used_space, md5({_PIXELS}) AS digest FROM part WHERE p_partkey < 65536")
+def internal_files(spark, sf_dir):
+    """The directory, several levels of B-tree high, and its files' bytes."""
+    found = help_source.decode(_picture_archives(spark, sf_dir), "internal_files").where("_error is null and name like '|x%'")
+    return found.select("name", "used_space", F.md5("data").alias("digest"))
 
-@query("""SELECT doc_id, '.. _ctx_' || printf('%08x', doc_id + 1) || ':' || chr(10) || chr(10) || 'doc ' || doc_id || chr(10) || repeat('=', length('doc ' || doc_id)::BIGINT) || chr(10) AS head FROM documents""")
-def topic_rst(spark, sf_dir):
-    """K1-K7: the first lines of every exported page."""
-    pages = rst.files(help_file.assemble(archives(spark, sf_dir))).where("path like 'ctx%'")
-    lines = F.split(F.decode("content", "UTF-8"), "\n")
-    number = F.conv(F.substring("path", 5, 8), 16, 10).cast("long") - 1
-    return pages.select(number.alias("doc_id"), F.concat(F.array_join(F.slice(lines, 1, 4), "\n"), F.lit("\n")).alias("head"))
+
+@query("""
+WITH p AS (SELECT *, p_partkey // 1024 AS k, p_name || ' ' || p_brand || ' ' || p_size AS word FROM part)
+SELECT 'keyword' AS kind, k || '.hlp' AS file, row_number() OVER (PARTITION BY k ORDER BY encode(word)) - 1 AS ord, word, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS numbers FROM p GROUP BY k, word
+UNION ALL SELECT 'title', k || '.hlp', NULL, word, (p_partkey * 3)::VARCHAR FROM p""")
+def keyword_tree(spark, sf_dir):
+    """Keyword postings and titles, in B-trees of several levels."""
+
+    def make(number, rows):
+        word = lambda r: f"{r['p_name']} {r['p_brand']} {r['p_size']}"
+        by: dict[str, list[int]] = {}
+        for r in rows:
+            by.setdefault(word(r), []).append(r["p_partkey"])
+        entries, posts = [], b""
+        for w in sorted(by, key=str.encode):
+            entries.append(w.encode() + b"\0" + struct.pack("<I", len(posts)))
+            posts += struct.pack(f"<H{len(by[w])}I", len(by[w]), *by[w])
+        titles = [struct.pack("<I", 3 * r["p_partkey"]) + word(r).encode() + b"\0" for r in sorted(rows, key=word)]
+        files = {"|KWBTREE": fixture.tree(entries, fixture.string_key, 4, 1024), "|KWDATA": posts, "|TTLBTREE": fixture.tree(titles, fixture.number_key, 4, 1024)}
+        return archive([{"title": "t", "hash": 1}], files=files)
+
+    found = help_source.tables(_made(_parts(spark, sf_dir), "p_partkey", 1024, make), names=("raw_keywords", "titles"))
+    words = found["raw_keywords"].select(F.lit("keyword").alias("kind"), "file", F.col("ord").cast("long").alias("ord"), F.col("keyword").alias("word"), F.array_join(F.transform("topic_offsets", lambda x: x.cast("string")), ",").alias("numbers"))
+    return words.unionByName(found["titles"].select(F.lit("title").alias("kind"), "file", F.lit(None).cast("long").alias("ord"), F.col("title").alias("word"), F.col("topic_offset").cast("string").alias("numbers")))
+
+
+@query("""
+SELECT l_orderkey, '.. list-table::' || chr(10) || '   :widths: auto' || chr(10) || chr(10) || string_agg('   * - ' || l_partkey || chr(10) || '     - |bm' || l_suppkey || chr(10)
+  || CASE WHEN l_returnflag = 'A' THEN '     - (nested table)' || chr(10) ELSE '' END, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS said FROM lineitem GROUP BY l_orderkey""")
+def list_tables(spark, sf_dir):
+    """An order's lines as a list table, with pictures and tables in cells."""
+    text = lambda c: F.col(c).cast("string")
+    cell = lambda kind, said: rst.cell(F.lit(kind), said)
+    cells = F.array(cell("text", text("l_partkey")), cell("image", F.concat(F.lit("bm"), text("l_suppkey"))), F.when(F.col("l_returnflag") == "A", cell("table", F.lit(""))))
+    line = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.filter(cells, lambda x: x.isNotNull()).alias("cells")).alias("line"))
+    return line.groupBy("l_orderkey").agg(rst.table(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["cells"])).alias("said"))
