@@ -267,8 +267,6 @@ def archive(
         if phrases:
             packed = (packed_hall if phrases[0] in ("hall", "indexed") else packed_pairs)(two, phrases[1])
             held = packed if len(packed) < len(two) else two
-            if held is two and phrases[0] in ("inline", "compressed") and re.search(rb"[\x01-\x0f]", two):
-                raise ValueError("a text that only phrases can say is not shorter with them")
         n = 21 + len(one) + len(held)
         if n > room:
             raise ValueError(f"a record of {n} bytes; {room} fit")
