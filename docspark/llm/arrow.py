@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -11,8 +11,17 @@ import pyarrow.compute  # noqa: F401
 pa.set_memory_pool(pa.system_memory_pool())
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of the batches whose ``column`` holds at most ``max_bytes`` (or one row)."""
+#: What operators keep between the tasks of a worker: how to free it, by operator.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Zero-copy slices of the batches whose ``column`` holds at most ``max_bytes`` (or one row).
+
+    A worker that turns to another operator frees the caches of all but ``keep``.
+    """
+    for name in [x for x in caches if x != keep]:
+        caches.pop(name)()
     for batch in batches:
         values = batch.column(column)
         n = batch.num_rows

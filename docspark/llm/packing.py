@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.arrow import pieces
+from docspark.llm.arrow import caches, pieces
 from docspark.llm.chunks import Chunks
 from docspark.storage import Workspace
 
@@ -116,8 +116,9 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: boo
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        tokenizer = chunks(path)
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", 1 << 20, "packing"):
+            tokenizer = chunks(path)
+            caches["packing"] = _loaded.clear
             rows, of, held = [], [], []
             for row, ids in enumerate(document_ids(batch.column("text").to_pylist(), tokenizer)):
                 for k, start in enumerate(range(0, len(ids), capacity)):
