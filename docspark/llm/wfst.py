@@ -1,24 +1,28 @@
 """SentencePiece encoding and decoding as shortest paths through weighted transducers.
 
-Three machines are compiled from a model file and composed with every input:
+Three machines are compiled from a model file into arc tables and composed with every input on the fly:
 
-* the normaliser rewrites characters (dummy prefix, escaped blanks, and replacement rules by longest match);
-* the pieces read a piece's characters and write its id, from and to one state;
+* the normaliser rewrites characters by longest match (the model's compiled character map, or given rules), removes extra
+  blanks if the model does, and writes the dummy prefix and the escaped blanks;
+* the pieces are a tree of characters from and to one state, which writes a piece's id at its last character;
 * byte fallback reads a character that no piece covers and writes its UTF-8 bytes' ids.
 
-For a unigram model an arc weighs minus the piece's score, a fallback more than any piece, and the
-path of least total weight (tropical semiring) is the encoding. A byte-pair model ranks merges and
-not segmentations, so its scores cannot be added up: the least-weight path by them is *not* its encoding.
-Its machine instead remembers the last piece and has an arc to the next piece only where merging
-the characters of both leaves exactly this pair; every other arc has infinite weight. A sequence is the
-merge result of its characters if and only if all neighbours fit in this way, so that one path of
-finite weight is left, which a depth-first search finds. Pairs are tried when they first occur.
+The encoding is the path of least total weight in the tropical semiring. For a unigram model a piece weighs
+minus its score, a fallback more than any piece; arcs are relaxed position by position. A byte-pair model ranks
+merges and not segmentations, so its scores cannot be added up: the least-weight path by them is *not* its
+encoding. Its pieces remember the last piece, and the arc to the next piece weighs zero where merging the
+characters of both leaves exactly this pair, and infinitely much otherwise. A sequence is the merge result of its
+characters if and only if all neighbours fit in this way, so that one path of finite weight is left. With
+all finite weights equal, the shortest-path queue may be a stack, and the search goes depth first, longer
+pieces first. An arc's weight is computed when it is first met and kept.
 
 Words (runs that start with blanks) never share a piece, so a batch's distinct words are encoded
 once (:mod:`docspark.llm.chunks`). Nothing is shuffled.
 
-Defined cases: null and empty texts have no ids and decode to the empty text; decoding gives the text
-back but for a literal U+2581, which becomes a blank; texts may be of any length.
+Defined cases: null and empty texts have no ids and decode to the empty text; decoding gives the normalised text
+back but for a literal U+2581, which becomes a blank; texts may be of any length; of equal unigram weights the
+path with the shorter last piece is taken; repeated rows are encoded as often as they come; an empty table gives
+no rows; only ``doc_id`` and ``text`` are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.arrow import pieces
+from docspark.llm.arrow import caches, pieces
 from docspark.llm.chunks import Chunks
 
 BLANK = "▁"
@@ -41,14 +45,39 @@ UNIGRAM, BPE = 1, 2
 _NORMAL, _USER = 1, 4
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules of a compiled character map: a double-array trie of UTF-8 keys, and the texts that its values point to."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob[4 : 4 + size], "<u4").tolist(), blob[4 + size :]
+    rules: dict[str, str] = {}
+
+    def children(unit: int) -> int:
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
+    todo = [(0, b"")]
+    while todo:
+        at, key = todo.pop()
+        below = at ^ children(units[at])
+        if units[at] >> 8 & 1:  # a key ends here
+            start = units[below] & 0x7FFFFFFF
+            rules[key.decode()] = texts[start : texts.index(0, start)].decode()
+        for c in range(1, 256):
+            if below ^ c < len(units) and units[below ^ c] & 0x800000FF == c:
+                todo.append((below ^ c, key + bytes([c])))
+    return rules
+
+
 class Model:
     """A SentencePiece model's machines."""
 
-    def __init__(self, entries: list[tuple[str, float, int]], kind: int, *, byte_fallback: bool = True, dummy_prefix: bool = True, rules: dict[str, str] | None = None):
+    def __init__(self, entries: list[tuple[str, float, int]], kind: int, *, byte_fallback: bool = True, dummy_prefix: bool = True, rules: dict[str, str] | None = None, one_blank: bool = False):
         self.names = [x for x, _, _ in entries]
         self.kind = kind
         self.dummy_prefix = dummy_prefix
-        self.rules = {" ": BLANK} | (rules or {})
+        self.one_blank = one_blank
+        self._compile_rules(rules or {})
         self.ids = {x: i for i, (x, _, type_) in enumerate(entries) if type_ in (_NORMAL, _USER)}
         self.scores = [s for _, s, _ in entries]
         self.byte_ids = [self.names.index(f"<0x{b:02X}>") for b in range(256)] if byte_fallback else None
@@ -60,7 +89,6 @@ class Model:
             self.ids = {x: i for x, i in self.ids.items() if self.merge(x) == [x]}
         self._fits: dict[int, bool] = {}
         self._compile()
-        self._rewrite = re.compile("|".join(map(re.escape, sorted(self.rules, key=len, reverse=True))))
         many = [x for x, (_, _, type_) in zip(self.names, entries, strict=True) if type_ in (_NORMAL, _USER) and len(x) > 1]
         #: whether blanks stand at the start of pieces only, so that words are independent
         self.by_words = not any(BLANK in x.lstrip(BLANK) for x in many)
@@ -77,17 +105,46 @@ class Model:
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
         norm, trainer = proto.normalizer_spec, proto.trainer_spec
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or trainer.model_type not in (UNIGRAM, BPE):
-            raise ValueError("models with a compiled character map, removed blanks, or whole words or characters are not supported; give rules instead")
+        if trainer.model_type not in (UNIGRAM, BPE) or not norm.escape_whitespaces or trainer.treat_whitespace_as_suffix:
+            raise ValueError("models of whole words or characters, and with blanks that are not escaped or stand behind words, are not supported")
         entries = [(p.piece, p.score, p.type) for p in proto.pieces]
-        return cls(entries, trainer.model_type, byte_fallback=trainer.byte_fallback, dummy_prefix=norm.add_dummy_prefix)
+        rules = character_map(norm.precompiled_charsmap)
+        return cls(entries, trainer.model_type, byte_fallback=trainer.byte_fallback, dummy_prefix=norm.add_dummy_prefix, rules=rules, one_blank=norm.remove_extra_whitespaces)
 
     # the normaliser
 
+    def _compile_rules(self, rules: dict[str, str]) -> None:
+        self._rules: dict = {}
+        for read, written in rules.items():
+            node = self._rules
+            for c in read:
+                node = node.setdefault(c, {})
+            node[""] = written
+        self._first = re.compile("[" + "".join(map(re.escape, sorted({x[0] for x in rules if x}))) + "]") if any(rules) else None
+
+    def _rewritten(self, text: str) -> str:
+        """Every longest match of the rules' tree replaced, from left to right."""
+        if self._first is None:
+            return text
+        out, at = [], 0
+        while (m := self._first.search(text, at)) is not None:
+            out.append(text[at : m.start()])
+            node, k, written, at = self._rules, m.start(), text[m.start()], m.start() + 1
+            while k < len(text) and (node := node.get(text[k])) is not None:
+                k += 1
+                if "" in node:
+                    written, at = node[""], k
+            out.append(written)
+        return "".join(out) + text[at:]
+
     def normalise(self, text: str) -> str:
         """The normaliser's output; no dummy prefix for the empty text."""
-        out = self._rewrite.sub(lambda m: self.rules[m[0]], text)
-        return BLANK + out if out and self.dummy_prefix else out
+        out = self._rewritten(text)
+        if self.one_blank:
+            out = " ".join([x for x in out.split(" ") if x])
+        out = out.replace(" ", BLANK)
+        out = BLANK + out if out and self.dummy_prefix else out
+        return out.rstrip(BLANK) if self.one_blank else out
 
     def split(self, text: str) -> list[str]:
         """The normalised text in independent words."""
@@ -166,17 +223,21 @@ class Model:
         return out
 
     def _lightest(self, word: str) -> list[int]:
-        """The path of least total weight, one state a position."""
-        get, costs, longest, n = self.ids.get, self.costs, self.longest, len(word)
+        """The path of least total weight: the arcs from every position are relaxed in turn."""
+        trie, costs, n = self._trie, self.costs, len(word)
         weight, step = [0.0] + [float("inf")] * n, [(0, 0)] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                i = get(word[start:end])
-                if i is None and end - start > 1:
-                    continue
-                w = weight[start] + (self.fallback_cost if i is None else costs[i])
-                if w < weight[end]:
-                    weight[end], step[end] = w, (start, -1 - ord(word[start]) if i is None else i)
+        for start in range(n):
+            arcs = [(start + 1, -1 - ord(word[start]), self.fallback_cost)]
+            node, k = trie, start
+            while k < n and (node := node.get(word[k])) is not None:
+                k += 1
+                if "" in node:
+                    if k == start + 1:  # a character that a piece covers needs no fallback
+                        arcs.clear()
+                    arcs.append((k, node[""], costs[node[""]]))
+            for end, i, cost in arcs:
+                if weight[start] + cost < weight[end]:
+                    weight[end], step[end] = weight[start] + cost, (start, i)
         out, at = [], n
         while at:
             at, i = step[at]
@@ -229,10 +290,11 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     sub = 1 << 20
 
     def run(batches):
-        m = model(path)
-        is_byte = np.zeros(len(m.names), bool)
-        is_byte[m.byte_ids or []] = True
-        for batch in pieces(batches, "text", sub):
+        for batch in pieces(batches, "text", sub, "wfst"):
+            m = model(path)
+            caches["wfst"] = model.cache_clear
+            is_byte = np.zeros(len(m.names), bool)
+            is_byte[m.byte_ids or []] = True
             texts = [x or "" for x in batch.column("text").to_pylist()]
             ids, counts = m.chunks.encode(texts)
             ends = np.cumsum(counts)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import struct
+import zlib
 from itertools import product
 
 import pytest
@@ -81,7 +84,45 @@ def test_table(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
     assert len(rows) == len(texts)
-    assert all(r["n_ids"] == len(library.encode(texts[r["doc_id"]])) and r["same"] for r in rows)
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]])
+        assert r["same"] and (r["n_ids"], r["ids_crc32"]) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        assert r["n_fallback"] == sum(library.is_byte(i) for i in ids)
+
+
+@pytest.fixture(scope="module")
+def mapped(tmp_path_factory):
+    """A unigram model of few pieces with a public normaliser's compiled character map, and extra blanks removed."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    assert proto.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.add_dummy_prefix = proto.normalizer_spec.remove_extra_whitespaces = proto.normalizer_spec.escape_whitespaces = True
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = wfst.UNIGRAM, True
+    del proto.pieces[:]
+    r = random.Random(7)
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    listed += [(x, -r.uniform(1, 9), 1) for x in ("▁", "a", "b", "c", "ab", "ba", "▁a", "▁ab", "bc", "abc", "fi", "▁fi", "1", "12", "ア", "が", "▁▁")]
+    for name, score, kind in listed:
+        proto.pieces.add(piece=name, score=score, type=kind)
+    path = str(tmp_path_factory.mktemp("model") / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    return wfst.model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def test_compiled_character_map(mapped):
+    m, library = mapped
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.text(alphabet=st.sampled_from(list("abc fi12ﬁ①Ⅻａｱｶﾞ㍿　\u00a0\u200b\t\r\n\u00adéé½xか\u3099\ufeff ")), max_size=30))
+    def same(text):
+        assert m.normalise(text) == library.normalize(text)
+        assert sum(m.costs[i] for i in m.encode(text)) == pytest.approx(sum(m.costs[i] for i in library.encode(text)))
+        assert m.encode(text) == library.encode(text)
+
+    same()
 
 
 def test_defined_cases(spark):
