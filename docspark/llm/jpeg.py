@@ -13,7 +13,10 @@ the first.
 
 Defined cases: bytes that are no complete baseline JPEG (null, empty, cut, progressive, bad codes)
 have no dimensions and no hash but an ``error``; several images behind each other are all read;
-equal bytes give equal values; existing columns of the added names are replaced.
+equal bytes give equal values, repeated rows too; a null or empty text is stored as one row of bytes 255; a text of any
+length is stored and read back frame by frame, so that beside it only one frame is expanded at a time; an
+empty table gives no rows; existing columns of the added names are replaced, others kept (:func:`describe`) or
+ignored (:func:`store_texts`).
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -395,17 +399,61 @@ STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def store_texts(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """Store every text of ``docs(doc_id, text)`` and read it back: sizes, digests, features[, ``media``]."""
     names = [x.split()[0] for x in STORED.split(", ")] + ["media"] * with_media
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())[: len(names) - 1]
 
     def run(batches):
-        for batch in pieces(batches, "text", 2 << 20):
-            texts = batch.column("text").to_pylist()
-            media = store([payload(x) for x in texts])
-            rows = []
-            for text, held, (back, feature) in zip(texts, media, read_back(media), strict=True):
-                n = len((text or "").encode("utf-8", "surrogatepass"))
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(held), hashlib.sha256(held).hexdigest(), feature))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            made = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, *([pa.array(media, pa.binary())] if with_media else [])], names)
+        for batch in pieces(batches, "text"):
+            rows: list[_Stored] = []
+            for new, media, back, feature in _frames(batch.column("text").to_pylist()):
+                if new is not None:
+                    rows.append(_Stored(new, with_media))
+                rows[-1].add(media, back, feature)
+            made = [pa.array(list(x), kind) for x, kind in zip(zip(*[r.values() for r in rows], strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STORED + ", media binary" * with_media)
+
+
+def _frames(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int | None, bytes, bytes, str]]:
+    """``(length of the text or None, stored image, bytes read back, feature)`` of every frame of every text in order; about ``most`` bytes, or one frame, at a time."""
+    held: list[tuple[int | None, bytes]] = []
+
+    def done():
+        media = store([x for _, x in held])
+        for (new, _), image, (back, feature) in zip(held, media, read_back(media), strict=True):
+            yield new, image, back, feature
+        held.clear()
+
+    size = 0
+    for text in texts:
+        data = payload(text)
+        new: int | None = len((text or "").encode("utf-8", "surrogatepass"))
+        for a in range(0, len(data), ROW * FRAME_ROWS):
+            part = data[a : a + ROW * FRAME_ROWS]
+            if held and size + len(part) > most:
+                yield from done()
+                size = 0
+            held.append((new, part))
+            size, new = size + len(part), None
+    yield from done()
+
+
+class _Stored:
+    """One text's row, frame by frame."""
+
+    def __init__(self, n_bytes: int, with_media: bool):
+        self.n_bytes, self.n_back, self.n_media, self.tail, self.features = n_bytes, 0, 0, b"", []
+        self.back, self.media = hashlib.sha256(), hashlib.sha256()
+        self.kept: list[bytes] | None = [] if with_media else None
+
+    def add(self, media: bytes, back: bytes, feature: str) -> None:
+        self.back.update(back)
+        self.media.update(media)
+        self.n_back, self.n_media, self.tail = self.n_back + len(back), self.n_media + len(media), back[-32:]
+        self.features.append(feature)
+        if self.kept is not None:
+            self.kept.append(media)
+
+    def values(self) -> tuple:
+        said = (self.n_bytes, self.n_back, self.back.hexdigest(), zlib.crc32(self.tail), self.n_media, self.media.hexdigest(), "+".join(self.features))
+        return said if self.kept is None else (*said, b"".join(self.kept))

@@ -136,3 +136,27 @@ def test_texts(spark, sf_dir):
     for r in found:
         p = jpeg.payload(texts[r["doc_id"]])
         assert (r["payload_sha256"], r["tail_crc32"]) == (hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        media = jpeg.store([p])[0]
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), brute_feature(p))
+
+
+def brute_feature(payload):
+    """Dimensions and difference hash of a payload of one frame, cell by cell."""
+    rows = [payload[i : i + 576] for i in range(0, len(payload), 576)]
+    bits = ""
+    for i in range(8):
+        a = i * len(rows) // 8
+        own = rows[a : max((i + 1) * len(rows) // 8, a + 1)]
+        means = [sum(sum(r[64 * j : 64 * j + 64]) for r in own) / (64 * len(own)) for j in range(9)]
+        bits += "".join("1" if y > x else "0" for x, y in zip(means, means[1:], strict=False))
+    return f"4608x{8 * len(rows)}:{int(bits, 2):016x}"
+
+
+def test_long_texts_frame_by_frame(spark):
+    text = "".join(chr(32 + i * i % 90) for i in range(576 * 2304 * 2 + 700))
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, text)], "doc_id long, text string").coalesce(1)
+    rows = {r["doc_id"]: r for r in jpeg.store_texts(docs, with_media=True).collect()}
+    p = jpeg.payload(text)
+    assert bytes(rows[1]["media"]) == jpeg.store([p])[0] == bytes(rows[3]["media"])
+    assert rows[1]["payload_sha256"] == hashlib.sha256(p).hexdigest() and rows[1]["tail_crc32"] == zlib.crc32(p[-32:])
+    assert rows[1]["feature"].count("+") == 2 and rows[1]["feature"] == jpeg.read_back([bytes(rows[1]["media"])])[0][1]
