@@ -3,11 +3,13 @@
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, which the driver and all
 executors share, so a lost executor never takes the only copy of an intermediate result along.
 Only a ``local`` master without that setting (tests, a laptop) gets a temporary folder; elsewhere the
-missing setting is an error.
+missing setting is an error. What a run has not deleted itself is deleted when the driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -27,6 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_left: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context, jvm = spark.sparkContext, spark.sparkContext._jvm
+    settings = context._jsc.hadoopConfiguration() if context._jsc is not None else jvm.org.apache.hadoop.conf.Configuration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(settings).delete(place, True)
+
+
+@atexit.register
+def _delete_left() -> None:
+    for path, spark in _left.items():
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            _delete(spark, path)
+
+
 class Workspace:
     """A folder of its own below the shared one for the tables of one run."""
 
@@ -52,6 +71,7 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> str:
         self._made += 1
         path = f"{self.path}/{self._made:03d}-{name}"
+        _left[path] = self.spark
         df.write.parquet(path)
         self._paths.append((None, path))
         return path
@@ -82,6 +102,6 @@ class Workspace:
         self._paths = []
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(self.spark, path)
+        for held in [x for x in _left if x.startswith(path)]:
+            del _left[held]
