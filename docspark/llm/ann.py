@@ -430,7 +430,7 @@ def _of_dimension(own: DataFrame, is_query: Column, k: int, dim: int, degree: in
 
 
 def nearest(
-    rows: DataFrame, is_query: Column, k: int = 10, *, degree: int = 24, sample: int = 12, leaf: int = 64, delta: float = 0.04, rounds: int | None = None, beam: int | None = None, rescore: int = 60
+    rows: DataFrame, is_query: Column, k: int = 10, *, degree: int = 32, sample: int = 12, leaf: int = 64, delta: float = 0.04, rounds: int | None = None, beam: int | None = None, rescore: int = 60
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found rows of every row of ``rows(vec_id, embedding)`` where ``is_query`` (on ``vec_id``) holds."""
     work = Workspace(rows.sparkSession, "ann")
