@@ -24,7 +24,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -92,8 +92,9 @@ class _Words:
         return found
 
 
-def chunks(path: str) -> Chunks:
-    """The tokenizer, loaded once a worker."""
+def chunks(path: str | Callable[[], str]) -> Chunks:
+    """The tokenizer, loaded once a worker; a function gives the path where it is called."""
+    path = path() if callable(path) else path
     if path not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -111,7 +112,7 @@ def document_ids(texts: list[str | None], tokenizer: Chunks) -> Iterator[np.ndar
         at += n
 
 
-def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def tokenise(docs: DataFrame, path: str | Callable[[], str], capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces ``(doc_id, piece, start, length, ids_crc32[, ids])`` of ``docs(doc_id, text)``."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
@@ -202,13 +203,13 @@ def pack(parts: DataFrame, work: Workspace, capacity: int = CAPACITY, group_rows
     return out.drop("final")
 
 
-def best_fit(docs: DataFrame, path: str, capacity: int = CAPACITY, **options) -> DataFrame:
+def best_fit(docs: DataFrame, path: str | Callable[[], str], capacity: int = CAPACITY, **options) -> DataFrame:
     """The packed pieces of ``docs``."""
     work = Workspace(docs.sparkSession, "packing")
     return pack(work.table(tokenise(docs, path, capacity), "pieces"), work, capacity, **options)
 
 
-def sequences(docs: DataFrame, packed: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def sequences(docs: DataFrame, packed: DataFrame, path: str | Callable[[], str], capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences themselves: ``(sequence_id, doc_ids, ids)``; ``doc_id`` must be a key of ``docs``."""
     joined = tokenise(docs, path, capacity, with_ids=True).select("doc_id", "piece", "ids").join(packed, ["doc_id", "piece"])
     held = joined.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))

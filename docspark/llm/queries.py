@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import importlib.util
-from pathlib import Path
+from collections.abc import Callable
+from functools import partial
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +17,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vocabulary(name: str) -> str:
-    """A public tokenizer file, found where its package is installed."""
-    return str(Path(importlib.util.find_spec("public_tokenizers").origin).parent / name)
+    """A public tokenizer file, where its package is installed here."""
+    return str(public_tokenizers.path(name))
+
+
+def vocabulary_there(name: str) -> Callable[[], str]:
+    """The same, found by each worker where it runs."""
+    return partial(public_tokenizers.path, name)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 1: every document encoded by the byte-pair model and decoded again."""
-    return wfst.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return wfst.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_there("piece_bpe_32k.model"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6: all documents in sequences of at most 4096 tokens."""
-    return packing.best_fit(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return packing.best_fit(_table(spark, sf_dir, "documents"), vocabulary_there("word_bpe_49k.json"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -284,14 +285,17 @@ def model(path: str) -> Model:
 CODED = "doc_id long, n_ids long, n_fallback long, ids_crc32 long, decoded_sha256 string, same boolean"
 
 
-def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """Encode and decode every whole text of ``docs(doc_id, text)``: counts, checksums[, ``ids``, ``decoded``]."""
+def encode_documents(docs: DataFrame, path: str | Callable[[], str], with_ids: bool = False) -> DataFrame:
+    """Encode and decode every whole text of ``docs(doc_id, text)``: counts, checksums[, ``ids``, ``decoded``].
+
+    ``path`` is the model's path, or a function that each worker calls for it.
+    """
     names = [x.split()[0] for x in CODED.split(", ")] + ["ids", "decoded"] * with_ids
     sub = 1 << 20
 
     def run(batches):
         for batch in pieces(batches, "text", sub, "wfst"):
-            m = model(path)
+            m = model(path() if callable(path) else path)
             caches["wfst"] = model.cache_clear
             is_byte = np.zeros(len(m.names), bool)
             is_byte[m.byte_ids or []] = True
