@@ -402,7 +402,7 @@ def store_texts(docs: DataFrame, with_media: bool = False) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())[: len(names) - 1]
 
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2 << 20):
             rows: list[_Stored] = []
             for new, media, back, feature in _frames(batch.column("text").to_pylist()):
                 if new is not None:
@@ -414,7 +414,7 @@ def store_texts(docs: DataFrame, with_media: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STORED + ", media binary" * with_media)
 
 
-def _frames(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int | None, bytes, bytes, str]]:
+def _frames(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int | None, bytes, bytes, str]]:
     """``(length of the text or None, stored image, bytes read back, feature)`` of every frame of every text in order; about ``most`` bytes, or one frame, at a time."""
     held: list[tuple[int | None, bytes]] = []
 

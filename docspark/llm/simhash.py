@@ -40,7 +40,7 @@ from xxhash import xxh64_intdigest
 
 from docspark.llm.arrow import pieces
 from docspark.llm.components import connected_components
-from docspark.llm.skew import spread_join
+from docspark.llm.skew import salted_join, spread_join
 from docspark.storage import Workspace
 
 WORDS, SEED, MAX_DISTANCE = 3, 42, 2
@@ -112,7 +112,7 @@ def links(nodes: DataFrame, work: Workspace, dense: int = 32) -> DataFrame:
     a, b = sparse.alias("a"), sparse.alias("b")
     found = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & once & near)
     found = found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    crowd = _cells(nodes).join(sizes.where(F.col("n") > dense).select("cell"), "cell").select("fp").distinct()
+    crowd = salted_join(_cells(nodes), sizes.where(F.col("n") > dense).select("cell"), ["cell"], ["fp"], "left_semi").select("fp").distinct()
     flips = F.concat(F.array("fp"), F.expr("transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))"))
     listed = work.table(crowd.select("fp", F.explode(flips).alias("word")), "dense")
     hubs = listed.groupBy("word").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
