@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import ann, html_extract, jpeg, language_id, packing, pii, simhash, url_filter, warc, wfst
+from docspark.llm import ann, html_extract, jpeg, language_id, lexical, order_minhash, packing, pii, simhash, url_filter, warc, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: every document's fingerprint, that of its edited text, and their likeness."""
+    found = order_minhash.compare_edited(_table(spark, sf_dir, "documents"))
+    own, edited, following = F.col("own"), F.col("edited"), F.col("next")
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", order_minhash.fingerprint(own).alias("fingerprint"), order_minhash.fingerprint(edited).alias("edited_fingerprint"),
+        order_minhash.likeness(own, edited).alias("near_edited"), order_minhash.likeness(own, following).alias("near_next"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: the ten best documents of every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -96,10 +111,13 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_pii": op10_pii,
+    "op11_order_minhash": op11_order_minhash,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 #: DuckDB SQL for the operators that SQL can express.
 ORACLE: dict[str, str] = {
     "op4_url_filters": url_filter.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
 }
