@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import ann, html_extract, jpeg, language_id, lexical, order_minhash, packing, pii, simhash, url_filter, warc, wfst
+from docspark.llm import ann, conversation, html_extract, jpeg, language_id, lexical, order_minhash, packing, pii, simhash, url_filter, warc, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: every damaged conversation's cheapest repair."""
+    return conversation.digests(conversation.repair(conversation.damage(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -113,6 +118,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_order_minhash": op11_order_minhash,
     "op12_lexical_search": op12_lexical_search,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB SQL for the operators that SQL can express.
