@@ -114,13 +114,13 @@ def edited_texts(docs: DataFrame, work: Workspace) -> DataFrame:
     links = work.table(links.drop("copies"), "links")
     # the fingerprints of a text cost far more than its bytes: tasks of about 32 million code points
     parts = max(4 * work.spark.sparkContext.defaultParallelism, (size["chars"] or 0) >> 25)
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    starts = texts.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.col("text").alias("start"))
-    starts = links.join(starts, same("next_id", "of_id") & same("next_hash", "of_hash")).drop("of_id", "of_hash").withColumn("start", F.expr("left(start, cast(n div 3 as int))"))
-    starts = starts.withColumn("key", F.xxhash64(*_KEY)).repartition(parts, "key")
-    own = texts.select(F.xxhash64(*_KEY).alias("key"), F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "text").repartition(parts, "key")
-    both = starts.join(own, "key").where(same("doc_id", "own_id") & same("text_hash", "own_hash"))
-    return both.select(*links.columns, "text", F.concat(F.expr("left(text, cast(n - n div 3 as int))"), "start").alias("edited"))
+    key = ["nameless", "id", "hash"]
+    by = lambda i, h: [F.col(i).isNull().alias("nameless"), F.coalesce(i, F.lit(0).cast("long")).alias("id"), F.col(h).alias("hash")]
+    # both joins read one and the same shuffle of the texts
+    own = texts.select(*by(*_KEY), "text").repartition(parts, *key)
+    starts = links.select(*links.columns, *by("next_id", "next_hash")).repartition(parts, *key).join(own, key)
+    starts = starts.select(*links.columns, *by(*_KEY), F.expr("left(text, cast(n div 3 as int))").alias("start")).repartition(parts, *key)
+    return starts.join(own, key).select(*links.columns, "text", F.concat(F.expr("left(text, cast(n - n div 3 as int))"), "start").alias("edited"))
 
 
 def fingerprints(docs: DataFrame, k: int = K, length: int = LENGTH, orders: int = ORDERS) -> DataFrame:
