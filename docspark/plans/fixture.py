@@ -246,12 +246,13 @@ def hotspots(spots: list[tuple]) -> bytes:
 
 
 def archive(
-    topics: list[dict], title: str = "A title", minor: int = 21, lz77: bool = False, files: dict[str, bytes] | None = None, aliases: bool = False,
-    phrases: tuple[str, list[bytes]] | None = None, copyright: str | None = None, starting: str | None = None,
+    topics: list[dict], title: str = "A title", minor: int = 21, lz77: bool = False, files: dict[str, bytes | None] | None = None, aliases: bool = False,
+    phrases: tuple[str, list[bytes]] | None = None, copyright: str | None = None, starting: str | None = None, said_minor: int | None = None, loop: bool = False,
 ) -> bytes:
     """An archive of ``{"title": str, "hash": int, "paragraphs": [runs], "tables": [cells], "layout": flags}``.
 
-    Every paragraph and table is a record of its own; ``phrases`` are the kind of phrase table and its phrases.
+    Every paragraph and table is a record of its own; ``phrases`` are the kind of phrase table and its phrases; ``said_minor`` is what
+    the metadata claims instead of ``minor``; with ``loop`` the last record leads to the first; ``files`` replace those of their names, or take them away (null).
     """
     before_31, size = minor <= 16, 2048 if minor <= 16 else 16384
     room = (2036 if before_31 else 4084) * (8 if lz77 else 9) // 9
@@ -278,7 +279,8 @@ def archive(
     for i, (kind, _, _, count, t) in enumerate(plan):
         at, block = placed[i]
         following = placed[i + 1][0] if i + 1 < len(plan) else None
-        link = (0x7FFFFFFF if before_31 else 0xFFFFFFFF) if following is None else following - at if before_31 else following + 12
+        end = 12 if loop else 0x7FFFFFFF if before_31 else 0xFFFFFFFF
+        link = end if following is None else following - at if before_31 else following + 12
         struct.pack_into("<I", bodies[block], at - block * size + 12, link)
         if kind == TOPIC:
             contexts.append((t["hash"], running))
@@ -288,8 +290,11 @@ def archive(
         if not before_31 and following is not None and following // 16384 != at // 16384:
             running = following // 16384 * 32768
     fixed = 2048 if before_31 else 4096
-    held = b"".join((struct.pack("<3I", 0, 0, 0) + (packed_lz77(bytes(b)) if lz77 else bytes(b))).ljust(fixed, b"\0") for b in bodies)
-    system = struct.pack("<3H", 0x036C, minor, 0) + (struct.pack("<IH", 0, 4 if lz77 else 0) if minor >= 10 else b"")
+    firsts, lasts = [0xFFFFFFFF] * len(bodies), [0xFFFFFFFF] * len(bodies)
+    for at, block in placed:
+        firsts[block], lasts[block] = min(firsts[block], at + 12), at + 12
+    held = b"".join((struct.pack("<3I", last, first, last) + (packed_lz77(bytes(b)) if lz77 else bytes(b))).ljust(fixed, b"\0") for b, first, last in zip(bodies, firsts, lasts, strict=True))
+    system = struct.pack("<3H", 0x036C, said_minor or minor, 0) + (struct.pack("<IH", 0, 4 if lz77 else 0) if (said_minor or minor) >= 10 else b"")
     for kind, said in ((1, title), (2, copyright), (4, starting)):
         if said is not None:
             system += struct.pack("<2H", kind, len(said.encode()) + 1) + said.encode() + b"\0"
@@ -297,6 +302,8 @@ def archive(
     every = {"|SYSTEM": system, "|TOPIC": held, "|FONT": fonts, "|CONTEXT": tree([struct.pack("<2I", h, o) for h, o in sorted(contexts)], number_key), **(phrase_files(*phrases) if phrases else {}), **(files or {})}
     out, places = bytearray(8), []
     for name, data in every.items():
+        if data is None:
+            continue
         places.append((name, len(out)))
         out += struct.pack("<2IB", len(data) + 9, len(data), 0) + data
     start = len(out)

@@ -110,13 +110,23 @@ class HelpFiles:
     links: DataFrame
     keyword_index: DataFrame
     images: DataFrame
+    errors: DataFrame
+
+
+def errors(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(file, part, message)`` of everything that could not be read, from the same pass as the tables."""
+    every = None
+    for part, table in tables.items():
+        own = table.where("_error is not null").select("file", F.lit(part).alias("part"), F.col("_error").alias("message"))
+        every = own if every is None else every.unionByName(own)
+    return every
 
 
 def assemble(archives: DataFrame, format_version: str | None = None, mode: str = "PERMISSIVE") -> HelpFiles:
     """All tables of ``archives(path, content)``, each archive decoded once."""
     t = help_source.tables(archives, format_version, mode, ("system", "context", "records", "blocks", "images"))
     topic, body = topics(t["records"], t["context"]), bodies(t["records"], t["blocks"])
-    return HelpFiles(summary(t["system"], topic), topic, body, links(body), keyword_index(topic), images(body, t["images"]))
+    return HelpFiles(summary(t["system"], topic), topic, body, links(body), keyword_index(topic), images(body, t["images"]), errors(t))
 
 
 def register(found: HelpFiles, prefix: str = "help_") -> None:

@@ -158,7 +158,7 @@ def write(exported: DataFrame, folder: str, root: str = "") -> None:
 
 
 def main(arguments: list[str] | None = None) -> int:
-    """K9: the command line."""
+    """The command line; what can be read is exported, what cannot is told, and makes the status 1."""
     parser = argparse.ArgumentParser(prog="docspark", description="Export help archives as reStructuredText.")
     parser.add_argument("input", help="an archive or a folder of archives")
     parser.add_argument("output", help="the folder to write to")
@@ -177,7 +177,11 @@ def main(arguments: list[str] | None = None) -> int:
         write(files(found), chosen.output, f"file:{place.resolve() if place.is_dir() else place.resolve().parent}" if "://" not in chosen.input else chosen.input)
     for row in summary(found).orderBy("file").toLocalIterator():
         print(f"{row['file']}: {row['topics_written']} topics, {row['aliases_written']} aliases, {row['images_written']} images")
-    return 0
+    broken = 0
+    for row in found.errors.groupBy("file", "message").agg(F.min("part").alias("part")).orderBy("file", "part").toLocalIterator():
+        broken += 1
+        print(f"{row['file']}: {row['part']}: {row['message']}", file=sys.stderr)
+    return 1 if broken else 0
 
 
 if __name__ == "__main__":

@@ -10,17 +10,19 @@ import struct
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions import numbers as n
 from docspark.functions import text as t
+from docspark.operators import decoding
 from docspark.operators import relational as r
 from docspark.plans import fixture, help_file, rst
 from docspark.plans.fixture import archive
 from docspark.sources import codecs, help_source
 from docspark.sources.pictures import DDB, DIB, METAFILE
+from docspark.storage import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -369,27 +371,35 @@ def frequent(texts: list[str], most: int = 300) -> list[bytes]:
     return sorted((w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most]), key=lambda w: (len(w), w))
 
 
-@query(_SAME)
-def phrase_roundtrip(spark, sf_dir):
-    """Every text by its own frequent words, and the bytes that would read as pairs, as phrases."""
+def _by_phrases(spark, sf_dir, hall: bool, packed: Callable[[bytes, list[bytes]], bytes], phrases: Callable[[str], list[bytes]]) -> DataFrame:
+    """``(doc_id, link2)``: every text packed by its own phrase table, and its tokens joined with that table again."""
+    import pyarrow as pa
 
-    def back(x):
-        phrases = [*_BYTES, *frequent([x.decode()], 100)]
-        return codecs.expand(fixture.packed_pairs(x, phrases), phrases, False)
+    def run(batches):
+        for b in batches:
+            tables = [phrases(x) for x in b.column("text").to_pylist()]
+            held = [packed(x.encode(), p) for x, p in zip(b.column("text").to_pylist(), tables, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(held, pa.binary()), pa.array(tables, pa.list_(pa.binary()))], ["doc_id", "link2", "bytes"])
 
-    return _round_trip(spark, sf_dir, back)
+    made = _table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id bigint, link2 binary, bytes array<binary>")
+    made = Workspace(spark, "phrases").table(made, "packed").withColumns({"file": F.col("doc_id").cast("string"), "rec_no": F.col("doc_id")})
+    rows = made.select("file", "rec_no", "link2", F.lit(hall).alias("hall"), F.size("bytes").alias("phrases"))
+    return decoding.expanded(rows, made.select("file", F.posexplode("bytes").alias("idx", "bytes"))).select(F.col("rec_no").alias("doc_id"), F.col("link2").cast("string").alias("text"))
 
 
 @query(_SAME)
-def hall_roundtrip(spark, sf_dir):
-    """Phrases with numbers of one and two bytes, blanks, NULs and literals."""
+def phrase_roundtrip(spark, sf_dir):
+    """Every text by its own frequent words, and the bytes that would read as pairs, as phrases; tokens joined with the table."""
+    found = _by_phrases(spark, sf_dir, False, fixture.packed_pairs, lambda x: [*_BYTES, *frequent([x], 100)])
+    return found.select("doc_id", F.md5("text").alias("digest"))
 
-    def back(x):
-        phrases = [*(b"%c%c" % (a, b) for a in b"qxz" for b in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), *frequent([x.decode()])]
-        marked = x.replace(b"e", bytes(2)).replace(b" ", b"  ")
-        return codecs.expand(fixture.packed_hall(marked, phrases), phrases, True).replace(b"  ", b" ").replace(bytes(2), b"e")
 
-    return _round_trip(spark, sf_dir, back)
+@query(_SAME)
+def hall_roundtrip(spark, sf_dir):
+    """Phrases with numbers of one and two bytes, blanks, NULs and literals; tokens joined with the table."""
+    pairs = [b"%c%c" % (a, b) for a in b"qxz" for b in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    found = _by_phrases(spark, sf_dir, True, lambda x, phrases: fixture.packed_hall(x.replace(b"e", bytes(2)).replace(b" ", b"  "), phrases), lambda x: [*pairs, *frequent([x])])
+    return found.select("doc_id", F.md5(F.replace(F.replace("text", F.lit("  "), F.lit(" ")), F.lit("\0\0"), F.lit("e"))).alias("digest"))
 
 
 # ---- archives made of the tables, decoded, assembled and exported
@@ -442,8 +452,59 @@ def phrase_archives(spark, sf_dir):
         topics = [{"title": "the title", "hash": r["doc_id"] + 1, "paragraphs": [[("text", r["text"][k : k + 300])] for k in range(0, len(r["text"]), 300)]} for r in rows]
         return archive(topics, minor={"inline": 15, "compressed": 21}.get(kind, 27), lz77=kind == "hall", phrases=(kind, [*_BYTES, *frequent(texts)]))
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "".join(map(chr, range(1, 9))), "").alias("text"))
-    return _texts(help_file.assemble(_made(docs, "doc_id", 16, make)))
+    return _texts(help_file.assemble(_made(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 16, make)))
+
+
+def _as_version(number: int) -> str:
+    return ("3.0", "3.1", "4.0")[number % 3]
+
+
+@query("""SELECT doc_id, md5(text) AS digest, (ARRAY['3.0', '3.1', '4.0'])[doc_id // 32 % 3 + 1] AS version, (ARRAY[15, 21, 27])[doc_id // 32 % 3 + 1] AS minor_version FROM documents""")
+def version_override(spark, sf_dir):
+    """Archives that name another version than they are written in, read as what they are."""
+
+    def make(number, rows):
+        topics = [{"title": "t", "hash": r["doc_id"] + 1, "paragraphs": [[("text", r["text"][k : k + 300])] for k in range(0, len(r["text"]), 300)]} for r in rows]
+        return archive(topics, minor=(15, 21, 27)[number % 3], said_minor=(27, 16, 12)[number % 3])
+
+    every = _made(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 32, make).withColumn("number", F.regexp_extract("path", "^([0-9]+)", 1).cast("int"))
+    found = None
+    for k in range(3):
+        own = every.where(F.col("number") % 3 == k)
+        part = _texts(help_file.assemble(own, _as_version(k)))
+        minor = help_source.decode(own, "system", _as_version(k)).agg(F.min("minor_version").alias("minor_version"))
+        part = part.withColumn("version", F.lit(_as_version(k))).crossJoin(F.broadcast(minor))  # one row
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id // 32 AS n, row_number() OVER (PARTITION BY doc_id // 32 ORDER BY doc_id) - 1 AS i, text FROM documents),
+k AS (SELECT n, (ARRAY['no magic', 'short', 'no topics', 'bad phrase', 'loop', 'cut file', 'fine', 'bad fonts'])[n % 8 + 1] AS kind, min(doc_id) AS least, count(*) AS topics FROM d GROUP BY n)
+SELECT n || '.hlp' AS file, kind, CASE WHEN kind IN ('fine', 'bad fonts', 'loop') THEN topics WHEN kind = 'bad phrase' THEN 1 ELSE 0 END AS topics,
+  CASE kind WHEN 'no magic' THEN 'bad magic 0x00000000' WHEN 'short' THEN 'under 8 bytes' WHEN 'no topics' THEN 'no internal file |TOPIC' WHEN 'bad phrase' THEN 'phrase 15 of 1'
+    WHEN 'loop' THEN 'record chain returns to 0' WHEN 'cut file' THEN 'no metadata' WHEN 'bad fonts' THEN 'font table under 8 bytes' END AS message FROM k""")
+def archive_errors(spark, sf_dir):
+    """M23, FL6, FL9, T24: what is wrong with broken archives of every kind, beside what can be read of them."""
+
+    def make(number, rows):
+        kind = ("no magic", "short", "no topics", "bad phrase", "loop", "cut file", "fine", "bad fonts")[number % 8]
+        topics = [{"title": f"doc {r['doc_id']}", "hash": r["doc_id"] + 1, "paragraphs": [[("text", "a phrase " * 9)]]} for r in rows]
+        if kind == "no magic":
+            return bytes(40)
+        if kind == "short":
+            return b"\x3f\x5f"
+        files = {"no topics": {"|TOPIC": None}, "bad phrase": {"|Phrases": struct.pack("<3H", 1, 0, 2) + b"th"}, "cut file": {"|SYSTEM": b"\0\0"}, "bad fonts": {"|FONT": b"1234"}}.get(kind, {})
+        return archive(topics, files=files, phrases=("inline", [*_BYTES, b"a phrase "]) if kind == "bad phrase" else None, minor=15 if kind == "bad phrase" else 21, loop=kind == "loop")
+
+    made = _made(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 32, make)
+    found = help_file.assemble(made)
+    n = F.regexp_extract("file", "^([0-9]+)", 1).cast("int")
+    kinds = F.array(*map(F.lit, ("no magic", "short", "no topics", "bad phrase", "loop", "cut file", "fine", "bad fonts")))
+    topics = found.topics.groupBy("file").agg(F.count("*").alias("topics"))
+    errors = found.errors.groupBy("file").agg(F.min("message").alias("message"))
+    every = made.select(F.col("path").alias("file")).join(topics, "file", "left").join(errors, "file", "left")
+    return every.select("file", F.get(kinds, n % 8).alias("kind"), F.coalesce("topics", F.lit(0).cast("long")).alias("topics"), "message")
 
 
 _LINKS = """l AS (SELECT d.doc_id, CASE WHEN n.doc_id IS NULL THEN printf('0x%08X', d.doc_id + 2) ELSE printf('ctx_%08x', d.doc_id + 2) END AS target, n.doc_id IS NULL AS dangling
@@ -481,6 +542,14 @@ def record_dump(spark, sf_dir):
     return shown.groupBy((F.col("hash") - 1).alias("doc_id")).agg(F.count("*").alias("n_records"), F.min_by("link_data2", "rec_no").alias("title"))
 
 
+@query("""WITH r AS (SELECT doc_id // 32 AS n, doc_id, unnest(range(0, 2 + ceil(length(text) / 300.0)::BIGINT)) AS i FROM documents),
+s AS (SELECT n || '.hlp' AS file, (row_number() OVER (PARTITION BY n ORDER BY doc_id, i) - 1)::INTEGER AS rec_no, CASE WHEN i = 0 THEN 2 ELSE 32 END AS record_type FROM r)
+SELECT * FROM s ORDER BY file, rec_no LIMIT 40""")
+def record_head(spark, sf_dir):
+    """The first records of all archives, as the record dump shows them without hashes."""
+    return help_file.dump(help_source.tables(archives(spark, sf_dir), names=("records",))["records"]).select("file", "rec_no", "record_type")
+
+
 _PUNCTUATION = "|".join(re.escape(chr(c)) + "{4,}" for c in range(33, 127) if not chr(c).isalnum()).replace("'", "''")
 
 
@@ -570,46 +639,51 @@ def _picture_archives(spark, sf_dir) -> DataFrame:
                 made = fixture.picture(DDB, 112, 4, 1, data[:56], 1, 0, spots)
             else:
                 made = struct.pack("<IiiHHIIiiII", 40, 32, 4, 1, 8, 0, 0, 0, 0, 2, 0) + bytes(8) + data
-            files |= {f"|bm{key}": made, f"|bm{key}0000000": data, f"|x{key}": data}
-            topics.append({"title": "t", "hash": key + 1, "paragraphs": [[("image", key % 65536, ("inline", "left", "right")[key % 3])]]})
+            n = key % 16
+            files |= {f"|bm{n}": made, f"|bm{n}0000000": data, f"|x{key}": data}
+            topics.append({"title": "t", "hash": key + 1, "paragraphs": [[("image", n, ("inline", "left", "right")[key % 3])]]})
         return archive(topics, files=files)
 
-    return _made(_parts(spark, sf_dir).where("p_partkey < 65536"), "p_partkey", 16, make)
+    return _made(_parts(spark, sf_dir), "p_partkey", 16, make)
+
+
+def _picture_key(file: str, name: Column) -> Column:
+    """The part of a picture: its archive's number and its own."""
+    return F.regexp_extract(file, "^([0-9]+)", 1).cast("long") * 16 + F.regexp_extract(name, "([0-9]+)", 1).cast("long")
 
 
 @query(f"""
-WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, {_PIXELS} AS x FROM part WHERE p_partkey < 65536),
+WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, {_PIXELS} AS x FROM part),
 d AS (SELECT *, CASE WHEN k < 4 THEN unhex('424DBE000000000000003E000000280000002000000004000000010008000000000080000000000000000000000002000000000000000000000000000000') || encode(x)
   WHEN k = 4 THEN unhex('D7CDC69A00000000000064003200EC0900000000AB5E') || encode(x)
   WHEN k = 5 THEN unhex('424D7E000000000000003E0000002800000070000000040000000100010000000000400000000000000000000000020000000000000000000000FFFFFF00')
     || encode(x[1:14] || '  ' || x[15:28] || '  ' || x[29:42] || '  ' || x[43:56] || '  ')
   ELSE unhex('424DBE000000000000003E000000280000002000000004000000010008000000000000000000000000000000000002000000000000000000000000000000') || encode(x) END AS data FROM p)
-SELECT p_partkey, CASE WHEN k = 4 THEN 'wmf' ELSE 'bmp' END AS format, md5(data) AS digest, '_images/bm' || p_partkey || CASE WHEN k = 4 THEN '.wmf' ELSE '.png' END AS path,
+SELECT p_partkey, CASE WHEN k = 4 THEN 'wmf' ELSE 'bmp' END AS format, md5(data) AS digest, '_images/bm' || (p_partkey % 16) || CASE WHEN k = 4 THEN '.wmf' ELSE '.png' END AS path,
   CASE WHEN k = 4 THEN left(hex(data), 58) ELSE '89504E470D0A1A0A0000000D49484452' || CASE WHEN k = 5 THEN '00000070000000040103000000' ELSE '00000020000000040803000000' END END AS head FROM d""")
 def picture_export(spark, sf_dir):
     """Pictures that topics show, as BMP or metafile, and their exported files."""
     found = help_file.assemble(_picture_archives(spark, sf_dir))
-    key = F.regexp_extract("filename", "^.bm([0-9]+)$", 1).cast("long")
-    own = found.images.select(key.alias("p_partkey"), "format", F.md5("data").alias("digest"))
-    files = rst.image_files(found).select(F.regexp_extract("path", "bm([0-9]+)[.]", 1).cast("long").alias("p_partkey"), "path", F.hex(F.substring("content", 1, 29)).alias("head"))
+    own = found.images.select(_picture_key("file", F.col("filename")).alias("p_partkey"), "format", F.md5("data").alias("digest"))
+    files = rst.image_files(found).select(_picture_key("file", F.col("path")).alias("p_partkey"), "path", F.hex(F.substring("content", 1, 29)).alias("head"))
     return own.join(files, "p_partkey")
 
 
 @query("""
-WITH s AS (SELECT *, unnest(range(0, p_partkey % 3)) AS j FROM part WHERE p_partkey < 65536 AND p_partkey % 7 < 6)
+WITH s AS (SELECT *, unnest(range(0, p_partkey % 3)) AS j FROM part WHERE p_partkey % 7 < 6)
 SELECT p_partkey, j::INTEGER AS ord, (p_partkey % 500)::INTEGER AS x, j::INTEGER AS y, p_size AS w, 7 AS h, (['macro_visible', 'macro_invisible', 'popup_visible', 'jump_visible', 'popup_invisible', 'jump_invisible',
   'external_popup_visible', 'external_jump_visible', 'external_popup_invisible', 'external_jump_invisible', 'unknown'])[(p_partkey + j) % 11 + 1] AS action, p_partkey * 3 + j AS hash, 'n' || p_partkey AS name, p_name AS target FROM s""")
 def picture_hotspots(spark, sf_dir):
     """The hotspots of pictures."""
     found = help_source.decode(_picture_archives(spark, sf_dir), "hotspots").where("_error is null")
-    return found.select(F.regexp_extract("image", "([0-9]+)$", 1).cast("long").alias("p_partkey"), "ord", "x", "y", "w", "h", "action", "hash", "name", "target")
+    return found.select(_picture_key("file", F.col("image")).alias("p_partkey"), "ord", "x", "y", "w", "h", "action", "hash", "name", "target")
 
 
-@query(f"SELECT '|x' || p_partkey AS name, 128::BIGINT AS used_space, md5({_PIXELS}) AS digest FROM part WHERE p_partkey < 65536")
+@query(f"SELECT '|x' || p_partkey AS name, 128::BIGINT AS used_space, md5({_PIXELS}) AS digest, md5(unhex('890000008000000000') || encode({_PIXELS})) AS raw FROM part")
 def internal_files(spark, sf_dir):
-    """The directory, several levels of B-tree high, and its files' bytes."""
+    """The directory, several levels of B-tree high, and its files' bytes."""
     found = help_source.decode(_picture_archives(spark, sf_dir), "internal_files").where("_error is null and name like '|x%'")
-    return found.select("name", "used_space", F.md5("data").alias("digest"))
+    return found.select("name", "used_space", F.md5("data").alias("digest"), F.md5(F.concat("header", "data")).alias("raw"))
 
 
 @query("""

@@ -1,8 +1,10 @@
-"""Byte codecs of help archives (D1-D6, D11, S14-S18): pure functions from bytes to bytes."""
+"""Byte codecs of help archives (D1-D6, D11, S14-S18): pure functions over bytes."""
 
 from __future__ import annotations
 
+import re
 import struct
+from collections.abc import Iterator
 
 
 class HelpError(ValueError):
@@ -62,53 +64,52 @@ def unpack_picture(data: bytes, method: int) -> bytes:
     return run_length(plain) if method & 1 else plain
 
 
-def expand_pairs(data: bytes, phrases: list[bytes]) -> bytes:
+#: A piece of packed text: a phrase's number, or bytes as they are, or what is wrong with the rest.
+Token = tuple[int | None, bytes | None, str | None]
+
+
+def _pairs(data: bytes) -> Iterator[Token]:
     """D3: a byte of 1 to 15 and its successor name a phrase, odd values with a blank behind it."""
-    out, at = bytearray(), 0
-    while at < len(data):
-        b = data[at]
-        at += 1
-        if not 1 <= b <= 15 or at == len(data):
-            out.append(b)
-            continue
-        value = 256 * (b - 1) + data[at]
-        at += 1
-        if value >> 1 >= len(phrases):
-            raise HelpError(f"phrase {value >> 1} of {len(phrases)}")
-        out += phrases[value >> 1] + b" " * (value & 1)
-    return bytes(out)
+    for m in _PAIR.finditer(data):
+        if m[1]:
+            value = 256 * (m[1][0] - 1) + m[1][1]
+            yield value >> 1, None, None
+            if value & 1:
+                yield None, b" ", None
+        else:
+            yield None, m[0], None
 
 
-def expand_hall(data: bytes, phrases: list[bytes]) -> bytes:
+_PAIR = re.compile(rb"(?s)([\x01-\x0f].)|[^\x01-\x0f]+|.")
+
+
+def _hall(data: bytes) -> Iterator[Token]:
     """The low bits of a byte select a phrase, a literal run, blanks or NULs."""
-    out, at = bytearray(), 0
+    at = 0
     while at < len(data):
-        b = data[at]
+        b, n = data[at], (data[at] >> 3) + 1
         at += 1
-        if b & 1 == 0 or b & 3 == 1:
-            number = b >> 1
-            if b & 1:
-                if at == len(data):
-                    raise HelpError("phrase number without its second byte")
-                number = 128 + (b >> 2) * 256 + data[at]
-                at += 1
-            if number >= len(phrases):
-                raise HelpError(f"phrase {number} of {len(phrases)}")
-            out += phrases[number]
+        if b & 1 == 0:
+            yield b >> 1, None, None
+        elif b & 3 == 1:
+            if at == len(data):
+                yield None, None, "phrase number without its second byte"
+                return
+            yield 128 + (b >> 2) * 256 + data[at], None, None
+            at += 1
         elif b & 7 == 3:
-            n = (b >> 3) + 1
             if at + n > len(data):
-                raise HelpError("cut literal run")
-            out += data[at : at + n]
+                yield None, None, "cut literal run"
+                return
+            yield None, data[at : at + n], None
             at += n
         else:
-            out += (b" " if b & 15 == 7 else b"\0") * ((b >> 4) + 1)
-    return bytes(out)
+            yield None, (b" " if b & 15 == 7 else b"\0") * ((b >> 4) + 1), None
 
 
-def expand(data: bytes, phrases: list[bytes], hall: bool) -> bytes:
-    """By the kind of phrase table."""
-    return expand_hall(data, phrases) if hall else expand_pairs(data, phrases)
+def tokens(data: bytes, hall: bool) -> Iterator[Token]:
+    """The tokens of packed text, by the kind of phrase table."""
+    return _hall(data) if hall else _pairs(data)
 
 
 def _slices(offsets: list[int], data: bytes) -> list[bytes]:

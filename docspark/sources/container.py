@@ -220,53 +220,33 @@ def fonts(data: bytes) -> list[tuple[int, int, int, str]]:
     return out
 
 
-def blocks(data: bytes, info: System) -> list[tuple[int, int, int, bytes]]:
+def blocks(data: bytes, size: int, packed: bool) -> list[tuple[int, int, int, bytes]]:
     """Fixed-size blocks of the topic file, each with three positions and its (decompressed) body."""
     out = []
-    for at in range(0, len(data), info.block_size):
-        held = data[at : at + info.block_size]
+    for at in range(0, len(data), size):
+        held = data[at : at + size]
         if len(held) < 12:
             break
         body = held[12:]
-        out.append((*struct.unpack_from("<3I", held), lz77(body) if info.lz77 else body))
+        out.append((*struct.unpack_from("<3I", held), lz77(body) if packed else body))
     return out
 
 
-@dataclass(frozen=True)
-class Record:
-    """A topic record, its text not yet expanded."""
-
-    number: int
-    kind: int
-    link1: bytes
-    link2: bytes
-    length2: int
-    next: int
-    offset: int
-
+def walk(data: bytes, start: int, own: int, entry: int, before_31: bool) -> tuple[list[tuple[int, int, int, int, int, int]], int | None]:
+    """The records ``(position, size, length2, next, length1, kind)`` from ``entry`` on, while they begin within ``own`` bytes of ``data``, which is at ``start``.
 
-def records(stream: bytes, before_31: bool) -> Iterator[Record]:
-    """The chain of records. An offset that was already visited ends it with an error."""
-    at, count, seen = 0, 0, set()
-    while at + 21 <= len(stream):
-        if at in seen:
-            raise HelpError(f"record chain returns to {at}")
+    Behind them: where the chain goes on (elsewhere, or at one of these records), or null at its end.
+    """
+    at, out, seen = entry, [], set()
+    while start <= at < start + own and at not in seen:
+        if at - start + 21 > len(data):
+            return out, None
         seen.add(at)
-        size, length2, _, following, length1, kind = struct.unpack_from("<5IB", stream, at)
+        size, length2, _, following, length1, kind = struct.unpack_from("<5IB", data, at - start)
         if size < 21:
-            return
-        end = min(at + size, len(stream))
-        cut = min(at + max(length1, 21), end)
-        yield Record(count, kind, stream[at + 21 : cut], stream[cut:end], length2, following, at)
-        count += 1
-        if before_31:
-            at += following
-        elif 12 <= following < 1 << 31:
-            at = following - 12
-        else:
-            return
-
-
-def stream(listed: list[tuple[int, int, int, bytes]], size: int) -> bytes:
-    """Block bodies behind each other, shorter ones filled up with zeros."""
-    return b"".join(body.ljust(size, b"\0") for *_, body in listed)
+            return out, None
+        out.append((at, size, length2, following, length1, kind))
+        if not before_31 and not 12 <= following < 1 << 31:
+            return out, None
+        at = at + following if before_31 else following - 12
+    return out, at

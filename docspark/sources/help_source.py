@@ -20,20 +20,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from docspark.functions.text import FORMATS
+from docspark.operators import decoding
 from docspark.sources import container as c
-from docspark.sources import opcodes, pictures
-from docspark.sources.codecs import HelpError, expand, phrase_table
+from docspark.sources import pictures
+from docspark.sources.codecs import HelpError, phrase_table
 from docspark.storage import Workspace
 
-_RUNS = "array<struct<kind:string,text:string,bold:boolean,italic:boolean,target:string,link_kind:string>>"
-
 
 class Archive:
     """One archive, its parts decoded when first needed."""
 
-    def __init__(self, data: bytes, minor: int | None):
+    def __init__(self, data: bytes, minor: int | None, segment_blocks: int):
         self.container = c.Container(data)
-        self.minor = minor
+        self.minor, self.segment_blocks = minor, segment_blocks
         self._held: dict[str, object] = {}
 
     def _once(self, name: str, make: Callable):
@@ -68,34 +67,12 @@ class Archive:
 
     @property
     def blocks(self) -> list[tuple]:
-        return self._once("blocks", lambda: c.blocks(self.container.read("|TOPIC"), self.info))
-
-    def records(self) -> Iterator[tuple[c.Record, bytes, int]]:
-        """FL2: records, their expanded text and the characters they count for; an error comes in its place each time."""
-        held, end = self._once("records", lambda: self._chain())
-        yield from held
-        if end is not None:
-            raise end
-
-    def _chain(self) -> tuple[list[tuple[c.Record, bytes, int]], HelpError | None]:
-        out: list[tuple[c.Record, bytes, int]] = []
-        try:
-            for r in self._expanded():
-                out.append(r)
-        except HelpError as e:
-            return out, e
-        return out, None
-
-    def _expanded(self) -> Iterator[tuple[c.Record, bytes, int]]:
-        phrases, hall = self.phrases
-        for r in c.records(c.stream(self.blocks, self.info.decompress_size), self.info.before_31):
-            link2 = expand(r.link2, phrases, hall) if phrases and r.length2 > len(r.link2) else r.link2
-            yield r, link2, opcodes.offset_delta(r.link1) if r.kind in (c.TEXT, c.TABLE) else 0
+        return self._once("blocks", lambda: c.blocks(self.container.read("|TOPIC"), self.info.block_size, self.info.lz77))
 
 
 def _internal_files(a: Archive) -> Iterator[tuple]:
     for f in a.container.files():
-        yield f.ordinal, f.name, f.offset, len(f.data), f.data
+        yield f.ordinal, f.name, f.offset, len(f.data), f.raw[: c.FILE_HEADER], f.data
 
 
 def _system(a: Archive) -> Iterator[tuple]:
@@ -134,17 +111,12 @@ def _topic_blocks(a: Archive) -> Iterator[tuple]:
         yield (i, *held)
 
 
-def _records(a: Archive) -> Iterator[tuple]:
-    for r, link2, delta in a.records():
-        title = c.text(link2.split(b"\0")[0]) or None if r.kind == c.TOPIC else None  # S22
-        yield r.number, r.kind, r.link1, link2, r.length2, r.next, r.offset, delta, a.info.before_31, title
-
-
-def _blocks(a: Archive) -> Iterator[tuple]:
-    names = {value: f"ctx_{value:08x}" for value, _ in a.contexts}  # A2, J1
-    for r, link2, _ in a.records():
-        for i, b in enumerate(opcodes.parse(r.kind, r.link1, link2, a.fonts, names)):
-            yield r.number, i, "image" if b.image else "paragraph", b.runs, b.image[0] if b.image else None, b.image[1] if b.image else None
+def _segments(a: Archive) -> Iterator[tuple]:
+    """Slices of the topic file, with one block of the next slice each."""
+    info, data = a.info, a.container.read("|TOPIC")
+    step = a.segment_blocks * info.block_size
+    for seg, at in enumerate(range(0, len(data), step)):
+        yield seg, a.segment_blocks, data[at : at + step + info.block_size], info.block_size, info.decompress_size, info.lz77, info.before_31, a.phrases[1], len(a.phrases[0])
 
 
 def _images(a: Archive) -> Iterator[tuple]:
@@ -161,7 +133,7 @@ def _hotspots(a: Archive) -> Iterator[tuple]:
 
 #: Every table: its columns behind ``file``, and what decodes it.
 TABLES: dict[str, tuple[str, Callable[[Archive], Iterator[tuple]]]] = {
-    "internal_files": ("ord int, name string, offset bigint, used_space bigint, data binary", _internal_files),
+    "internal_files": ("ord int, name string, offset bigint, used_space bigint, header binary, data binary", _internal_files),
     "system": ("minor_version int, flags int, flags_ex int, title string, copyright string, root_topic_offset bigint, starting_topic string, hall boolean", _system),
     "phrases": ("idx int, bytes binary", _phrases),
     "fonts": ("idx int, attributes int, half_points int, font_family int, name string, is_bold boolean, is_italic boolean, is_underline boolean", _fonts),
@@ -169,16 +141,22 @@ TABLES: dict[str, tuple[str, Callable[[Archive], Iterator[tuple]]]] = {
     "titles": ("topic_offset bigint, title string", _titles),
     "raw_keywords": ("ord int, keyword string, topic_offsets array<bigint>", _keywords),
     "topic_blocks": ("block_no int, last_topic_link bigint, first_topic_link bigint, last_topic_header bigint, data binary", _topic_blocks),
-    "records": ("rec_no int, record_type int, link_data1 binary, link_data2 binary, data_len2 bigint, next_block bigint, stream_offset bigint, delta int, before_31 boolean, title string", _records),
-    "blocks": (f"rec_no int, block_no int, kind string, inlines {_RUNS}, image string, placement string", _blocks),
+    "segments": ("seg int, own_blocks int, raw binary, block_size int, decompress_size int, lz77 boolean, before_31 boolean, hall boolean, phrases int", _segments),
     "images": ("filename string, format string, data binary", _images),
     "hotspots": ("image string, ord int, x int, y int, w int, h int, action string, id0 int, id1 int, id2 int, hash bigint, name string, target string", _hotspots),
 }
-_BATCH = 2000
+#: Tables that Spark makes of others (:mod:`docspark.operators.decoding`): their columns, and what they are made of.
+DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
+    "records": ("rec_no int, record_type int, link_data1 binary, link_data2 binary, data_len2 bigint, next_block bigint, stream_offset bigint, delta int, before_31 boolean, title string", ("segments", "phrases")),
+    "blocks": (f"rec_no int, block_no int, kind string, inlines {decoding.RUNS}, image string, placement string", ("segments", "phrases", "fonts", "context")),
+}
+#: Blocks of a topic file that one task decompresses and walks: 1 MB of them, up to 4 MB when unpacked.
+SEGMENT_BLOCKS = 256
+_BATCH_ROWS, _BATCH_BYTES = 2000, 8 << 20
 
 
 def _kind(table: str) -> StructType:
-    return StructType.fromDDL(f"file string, {TABLES[table][0]}, _error string")
+    return StructType.fromDDL(f"file string, {(TABLES | DERIVED)[table][0]}, _error string")
 
 
 def _rows(archive: Archive, path: str, table: str, width: int, mode: str) -> Iterator[tuple]:
@@ -191,13 +169,13 @@ def _rows(archive: Archive, path: str, table: str, width: int, mode: str) -> Ite
         yield path, *[None] * width, str(e)
 
 
-def _archive(content: bytes | None, minor: int | None) -> Archive:
+def _archive(content: bytes | None, minor: int | None, segment_blocks: int) -> Archive:
     """The archive, or one whose every part tells the same fault."""
     try:
-        return Archive(content or b"", minor)
+        return Archive(content or b"", minor, segment_blocks)
     except HelpError as e:
         broken = Archive.__new__(Archive)
-        broken.container, broken.minor, broken._held = _Broken(e), minor, {}
+        broken.container, broken.minor, broken.segment_blocks, broken._held = _Broken(e), minor, segment_blocks, {}
         return broken
 
 
@@ -221,25 +199,31 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], schemas: dict[str, pa.Schema], minor: int | None, mode: str) -> Iterator[tuple[str, pa.RecordBatch]]:
+def _decoded(batches: Iterator[pa.RecordBatch], schemas: dict[str, pa.Schema], minor: int | None, mode: str, segment_blocks: int = SEGMENT_BLOCKS) -> Iterator[tuple[str, pa.RecordBatch]]:
     """Batches of rows of the tables in ``schemas``, each archive opened once."""
     held: dict[str, list[tuple]] = {name: [] for name in schemas}
+    size = dict.fromkeys(schemas, 0)
     for b in batches:
         for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-            archive = _archive(content, minor)
+            archive = _archive(content, minor, segment_blocks)
             for name in schemas:
                 for row in _rows(archive, path, name, len(schemas[name]) - 2, mode):
                     held[name].append(row)
-                    if len(held[name]) >= _BATCH:
+                    size[name] += sum(len(x) for x in row if isinstance(x, bytes))
+                    if len(held[name]) >= _BATCH_ROWS or size[name] >= _BATCH_BYTES:
                         yield name, _batch(held[name], schemas[name])
-                        held[name] = []
+                        held[name], size[name] = [], 0
     for name, rows in held.items():
         if rows:
             yield name, _batch(rows, schemas[name])
 
 
 def decode(archives: DataFrame, table: str, format_version: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
-    """``table`` of every row of ``archives(path, content)``, with ``file`` and ``_error``."""
+    """``table`` of every row of ``archives(path, content)``, with ``file`` and ``_error``. Records and blocks take several passes, so no stream has them."""
+    if table in DERIVED:
+        if archives.isStreaming:
+            raise ValueError(f"{table} are made in several passes over stored archives")
+        return tables(archives, format_version, mode, (table,))[table]
     minor, kind = FORMATS[format_version] if format_version else None, _kind(table)
     schemas = {table: to_arrow_schema(kind)}
 
@@ -250,28 +234,49 @@ def decode(archives: DataFrame, table: str, format_version: str | None = None, m
     return archives.select("path", "content").mapInArrow(run, kind)
 
 
-def tables(archives: DataFrame, format_version: str | None = None, mode: str = "PERMISSIVE", names: tuple[str, ...] = tuple(TABLES)) -> dict[str, DataFrame]:
-    """The tables ``names`` of ``archives(path, content)``: every archive is decoded once, into one file a table and task."""
-    minor = FORMATS[format_version] if format_version else None
+def _parts(archives: DataFrame, minor: int | None, mode: str, names: tuple[str, ...], segment_blocks: int, work: Workspace) -> dict[str, DataFrame]:
+    """The tables ``names``: every archive is opened once, and gives one file a table and task."""
     kinds = {name: _kind(name) for name in names}
     schemas = {name: to_arrow_schema(kind) for name, kind in kinds.items()}
     schema = StructType.fromDDL("tbl string, " + ", ".join(f"{name} {kind.simpleString()}" for name, kind in kinds.items()))
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for name, batch in _decoded(batches, schemas, minor, mode):
+        for name, batch in _decoded(batches, schemas, minor, mode, segment_blocks):
             n = batch.num_rows
             made = [pa.array([name] * n, pa.string())]
             made += [pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema)) if f.name == name else pa.nulls(n, f.type) for f in list(arrow)[1:]]
             yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
-    spark = archives.sparkSession
-    path = Workspace(spark, "help").path
-    archives.select("path", "content").mapInArrow(run, schema).write.partitionBy("tbl").parquet(path)
-    found = spark.read.schema(schema).parquet(path)
+    found = work.table(archives.select("path", "content").mapInArrow(run, schema), "parts", by=["tbl"])
     return {name: found.where(F.col("tbl") == name).select(f"{name}.*") for name in names}
 
 
+def _with_faults(rows: DataFrame, faults: DataFrame, table: str, mode: str) -> DataFrame:
+    """``rows`` of a derived table, and a row with ``_error`` for each of ``faults(file, message)``."""
+    kind = _kind(table)
+    message = F.col("message") if mode.upper() != "FAILFAST" else F.raise_error(F.concat(F.lit("HelpError: "), "message"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[1:-1]]
+    return rows.select(*kind.names[:-1], F.lit(None).cast("string").alias("_error")).unionByName(faults.select("file", *nothing, message.cast("string").alias("_error")))
+
+
+def tables(archives: DataFrame, format_version: str | None = None, mode: str = "PERMISSIVE", names: tuple[str, ...] = (*TABLES, *DERIVED), segment_blocks: int = SEGMENT_BLOCKS) -> dict[str, DataFrame]:
+    """The tables ``names`` of ``archives(path, content)``: every archive is opened once, records and blocks are made of its parts by Spark."""
+    work = Workspace(archives.sparkSession, "help")
+    wanted = dict.fromkeys(x for name in names for x in (DERIVED[name][1] if name in DERIVED else (name,)))
+    found = _parts(archives, FORMATS[format_version] if format_version else None, mode, tuple(wanted), segment_blocks, work)
+    if any(name in DERIVED for name in names):
+        record, first = decoding.records(found["segments"].where("_error is null"), found["phrases"], work)
+        faults = found["segments"].where("_error is not null").select("file", F.col("_error").alias("message")).unionByName(first.select("file", "message"))
+        found["records"] = _with_faults(record, faults, "records", mode)
+        if "blocks" in names:
+            unread = found["fonts"].where("_error is not null").select("file", F.col("_error").alias("message")).unionByName(found["context"].where("_error is not null").select("file", F.col("_error").alias("message")))
+            own = record.join(unread.select("file").distinct(), "file", "left_anti")
+            every = faults.unionByName(unread).groupBy("file").agg(F.min("message").alias("message"))
+            found["blocks"] = _with_faults(work.table(decoding.blocks(own, found["fonts"], found["context"]), "blocks"), every, "blocks", mode)
+    return {name: found[name] for name in names}
+
+
 def read(spark: SparkSession, path: str, table: str, format_version: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
     """``table`` of every ``.hlp`` file below ``path``."""
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.{hlp,HLP}").option("recursiveFileLookup", "true").load(path)

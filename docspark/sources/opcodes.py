@@ -1,28 +1,25 @@
-"""The command streams of topic records (O1-O16): flat inline runs instead of nested ones."""
+"""The command streams of topic records (O1-O7, O14): from bytes to a list of commands; what they mean is joined in Spark."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
-from docspark.sources.container import TABLE, TEXT, text
+from docspark.sources.container import TABLE, TEXT
 
-_WHITE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
-_STYLED = re.compile(f"({_WHITE})(.*?)({_WHITE})\\Z", re.S)
+# Fixed values of the format: command bytes.
+FONT, BLANK, PARAGRAPH, TAB, LINK_END, END = 0x80, 0x81, 0x82, 0x83, 0x89, 0xFF
+PICTURES, JUMPS, POPUPS = (0x86, 0x87, 0x88), (0xE3, 0xCC), (0xE6, 0xC8)
+#: The end of a table's cell, or of a record, which ends a paragraph; no command byte.
+CELL = -1
+#: Commands that say the next segment of text and no more than one character behind it; all that take a segment, links aside.
+SAY = (BLANK, PARAGRAPH, TAB)
+TAKE = (FONT, *SAY, *PICTURES, END)
 
 
 class Cut(Exception):
     """The commands end within an operand."""
 
 
-@dataclass
-class Block:
-    """A paragraph of ``(kind, text, bold, italic, target, link_kind)`` runs, or a picture."""
-
-    runs: list[tuple] = field(default_factory=list)
-    image: tuple[str, str] | None = None
-
-
 class Bytes:
     """A position in a byte string; a cut number has the bytes that are left and moves to the end."""
 
@@ -93,105 +90,49 @@ def _skip_layout(at: Bytes) -> None:
                 at.scan_word()
 
 
-class Interpreter:
-    """Runs commands over a record's text segments."""
-
-    def __init__(self, segments: list[str], fonts: list[tuple], names: dict[int, str]):
-        self.segments, self.next_segment = segments, 0
-        self.fonts, self.names = fonts, names
-        self.bold = self.italic = False
-        self.link: tuple[str, str] | None = None
-        self.runs: list[tuple] = []
-        self.blocks: list[Block] = []
-
-    def _segment(self) -> str:
-        self.next_segment += 1
-        return self.segments[self.next_segment - 1] if self.next_segment <= len(self.segments) else ""
-
-    def _plain(self, said: str) -> None:
-        if not said:
-            return
-        if self.runs and self.runs[-1][0] == "text" and not (self.runs[-1][2] or self.runs[-1][3]):
-            self.runs[-1] = ("text", self.runs[-1][1] + said, False, False, None, None)
-        else:
-            self.runs.append(("text", said, False, False, None, None))
-
-    def _say(self, said: str) -> None:
-        if not said:
-            return
-        if not (self.bold or self.italic):
-            self._plain(said)
-        else:
-            lead, core, tail = _STYLED.match(said).groups()
-            self._plain(lead)
-            if core:
-                self.runs.append(("text", core, self.bold, self.italic, None, None))
-            self._plain(tail)
-
-    def end_paragraph(self) -> None:
-        if self.runs:
-            self.blocks.append(Block(self.runs))
-            self.runs = []
-
-    def _picture(self, at: Bytes, placement: str) -> None:
-        """The picture's operand; embedded and unknown ones give no block."""
-        if not at.has(2):
-            return
-        kind = at.take(1)
-        size = at.scan_long()
-        body = at.at
-        if kind == 0x22:
-            at.scan_word()
-        if kind in (0x22, 0x03) and at.has(4) and at.take(2) == 0:
-            self.end_paragraph()
-            self.blocks.append(Block(image=(f"|bm{at.take(2)}", placement)))
-        at.at = min(body + size, len(at.data))
-
-    def run(self, at: Bytes) -> None:
-        """Up to the end command."""
-        while at.at < len(at.data):
-            code = at.take(1)
-            if code == 0x80:
-                self._say(self._segment())
-                number = at.take(2) if at.has(2) else 0
-                attributes = self.fonts[number][0] if number < len(self.fonts) else 0
-                self.bold, self.italic = bool(attributes & 1), bool(attributes & 2)
-            elif code in (0x81, 0x82, 0x83):
-                self._say(self._segment())
-                if code == 0x82:
-                    self.end_paragraph()
-                else:
-                    self._plain(" " if code == 0x81 else "\t")
-            elif code in (0x86, 0x87, 0x88):
-                self._segment()
-                self._picture(at, {0x86: "inline", 0x87: "left", 0x88: "right"}[code])
-            elif code == 0x89 and self.link:
-                target, kind = self.link
-                self.runs.append(("link", self._segment() or target, False, False, target, kind))
-                self.link = None
-            elif code in (0xE3, 0xCC, 0xE6, 0xC8):
-                self._segment()
-                value = at.take(4)
-                self.link = self.names.get(value, f"0x{value:08X}"), "jump" if code in (0xE3, 0xCC) else "popup"
-            elif code == 0xFF:
-                self._segment()
+def _picture(at: Bytes) -> int | None:
+    """The number of the picture that the operand names; embedded and unknown ones have none."""
+    if not at.has(2):
+        return None
+    kind, size = at.take(1), at.scan_long()
+    body, number = at.at, None
+    if kind == 0x22:
+        at.scan_word()
+    if kind in (0x22, 0x03) and at.has(4) and at.take(2) == 0:
+        number = at.take(2)
+    at.at = min(body + size, len(at.data))
+    return number
+
+
+def _stream(at: Bytes) -> Iterator[tuple[int, int | None]]:
+    """Commands with their operand, up to the end command; unknown bytes are skipped."""
+    while at.at < len(at.data):
+        code = at.take(1)
+        if code == FONT:
+            yield code, at.take(2) if at.has(2) else 0
+        elif code in PICTURES:
+            yield code, _picture(at)
+        elif code in JUMPS or code in POPUPS:
+            yield code, at.take(4)
+        elif code in (*SAY, LINK_END, END):
+            yield code, None
+            if code == END:
                 return
 
 
-def parse(kind: int, link1: bytes, link2: bytes, fonts: list[tuple], names: dict[int, str]) -> list[Block]:
-    """O1, O2: the blocks of a text or table record; one state runs through all cells of a table."""
+def commands(kind: int, link1: bytes) -> Iterator[tuple[int, int | None]]:
+    """The commands of a text or table record, each cell closed by ``CELL``."""
     if not link1 or kind not in (TEXT, TABLE):
-        return []
-    machine = Interpreter([text(x) for x in link2.split(b"\0")], fonts, names)
+        return
     at = Bytes(link1)
     at.scan_long()
     at.scan_word()
     if kind == TEXT:
         at.skip(4)
         _skip_layout(at)
-        machine.run(at)
-        machine.end_paragraph()
-        return machine.blocks
+        yield from _stream(at)
+        yield CELL, None
+        return
     columns, flags = at.take(1), at.take(1)
     if flags & 3 in (0, 2):
         at.skip(2)
@@ -204,6 +145,5 @@ def parse(kind: int, link1: bytes, link2: bytes, fonts: list[tuple], names: dict
         if not at.has(2):
             break
         _skip_layout(at)
-        machine.run(at)
-        machine.end_paragraph()
-    return machine.blocks
+        yield from _stream(at)
+        yield CELL, None

@@ -59,20 +59,20 @@ class Workspace:
         """How many files a table of about ``rows`` rows has at most."""
         return max(2 * self.spark.sparkContext.defaultParallelism, rows // 250_000)
 
-    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """Write ``df`` and read it back: its lineage ends at the written files.
+    def table(self, df: DataFrame, name: str, rows: int | None = None, by: list[str] | None = None) -> DataFrame:
+        """Write ``df`` and read it back: its lineage ends at the written files, which lie in a folder for each value of ``by``.
 
         A table of about ``rows`` rows is written as few files: one a task slot, or one every 250,000 rows.
         """
         if rows is not None:
             df = df.coalesce(self.files(rows))
-        return self.read(self.write(df, name), df)
+        return self.read(self.write(df, name, by), df)
 
-    def write(self, df: DataFrame, name: str) -> str:
+    def write(self, df: DataFrame, name: str, by: list[str] | None = None) -> str:
         self._made += 1
         path = f"{self.path}/{self._made:03d}-{name}"
         _left[path] = self.spark
-        df.write.parquet(path)
+        df.write.partitionBy(*by or []).parquet(path)
         self._paths.append((None, path))
         return path
 

@@ -9,9 +9,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from docspark.operators import decoding
 from docspark.plans import fixture
 from docspark.plans.fixture import literal_lz77
-from docspark.sources import codecs, opcodes, pictures
+from docspark.sources import codecs, container, opcodes, pictures
 from docspark.sources.codecs import HelpError
 
 
@@ -28,6 +29,10 @@ def test_lz77_literals(data):
     assert codecs.lz77(literal_lz77(data)) == data
 
 
+def spoken(data, phrases, hall):
+    return b"".join(piece if idx is None else phrases[idx] for idx, piece, _ in codecs.tokens(data, hall))
+
+
 _REPEATS = st.lists(st.sampled_from([b"a", b"ab", b"abc abc", bytes(7), b" " * 20, b"\x01\x02", b"the ", b"x" * 200]), max_size=40).map(b"".join)
 
 
@@ -37,8 +42,8 @@ def test_packing_and_back(data):
     for method in range(4):
         assert codecs.unpack_picture(fixture.packed_picture(data, method), method) == data
     phrases = [b"the", b"ab", *(bytes([i]) for i in range(1, 16)), *(b"%03d" % i for i in range(500)), b"abc", b"x" * 40]
-    assert codecs.expand_hall(fixture.packed_hall(data, phrases), phrases) == data
-    assert codecs.expand_pairs(fixture.packed_pairs(data, phrases), phrases) == data
+    assert spoken(fixture.packed_hall(data, phrases), phrases, True) == data
+    assert spoken(fixture.packed_pairs(data, phrases), phrases, False) == data
 
 
 @pytest.mark.parametrize(("kind", "compressed"), [("inline", False), ("compressed", True), ("indexed", True), ("hall", True)])
@@ -54,17 +59,16 @@ def test_phrase_files(kind, compressed):
     [(b"\x01\0\x01\x02", [b"hello", b" world"], b"hello world"), (b"\x01\x01!", [b"hello"], b"hello !"), (b"\x10\x80\xff\x20", [], b"\x10\x80\xff\x20"), (b"x\x01", [b"a"], b"x\x01")],
 )
 def test_pairs(data, phrases, plain):
-    assert codecs.expand_pairs(data, phrases) == plain
+    assert spoken(data, phrases, False) == plain
 
 
 @pytest.mark.parametrize(("data", "plain"), [(b"\0\x02", b"helloworld"), (b"\x0bAB", b"AB"), (b"\x07\x17", b"   "), (b"\x0f\x1f", bytes(3))])
 def test_hall(data, plain):
-    assert codecs.expand_hall(data, [b"hello", b"world"]) == plain
+    assert spoken(data, [b"hello", b"world"], True) == plain
 
 
 def test_phrase_tables():
-    with pytest.raises(HelpError):
-        codecs.expand_pairs(b"\x01\0", [])
+    assert list(codecs.tokens(b"\x01", True)) == [(None, None, "phrase number without its second byte")] and list(codecs.tokens(b"\x0ba", True)) == [(None, None, "cut literal run")]
     assert codecs.phrases_inline(struct.pack("<4H", 2, 0, 2, 5) + b"abcde") == [b"ab", b"cde"]
     assert codecs.phrases_compressed(struct.pack("<2HI3H", 2, 0x100, 5, 6, 8, 11) + literal_lz77(b"abcde")) == [b"ab", b"cde"]
     assert codecs.phrases_indexed(struct.pack("<H", 2) + b"abcde", struct.pack("<3H", 0, 2, 5)) == [b"ab", b"cde"]
@@ -93,28 +97,45 @@ def test_packed_numbers():
 HEAD = bytes(9)
 
 
-def run(commands, said, fonts=(), names=None, kind=0x20):
-    return [(b.image or [(r[0], r[1], r[2], r[3], r[4], r[5]) for r in b.runs]) for b in opcodes.parse(kind, HEAD + commands, said, list(fonts), names or {})]
-
-
 def plain(text):
     return ("text", text, False, False, None, None)
 
 
-def test_commands():
-    assert run(b"\x80\0\0\x82", b"hello\0\0") == [[plain("hello")]]
-    assert run(b"\x80\0\0\x82" * 2, b"first\0\0\0second\0\0\0") == [[plain("first")], [plain("second")]]
-    link = run(b"\x80\4\0\xe3\xef\xbe\xad\xde\x89\x80\0\0\x82", b"\0\0click here\0\0\0")
-    assert link == [[("link", "click here", False, False, "0xDEADBEEF", "jump")]]
-    assert run(b"\xe6\x78\x56\x34\x12\x89\x82", b"\0\0\0", names={0x12345678: "ctx_12345678"}) == [[("link", "ctx_12345678", False, False, "ctx_12345678", "popup")]]
-    bold = [(0, 20, 0, ""), (1, 20, 0, "")]
-    assert run(b"\x80\1\0\x80\0\0\x82", b"\0printf\0 function\0", bold) == [[("text", "printf", True, False, None, None), plain(" function")]]
-    assert run(b"\x80\1\0\x82", b"\0 x \0", bold) == [[plain(" "), ("text", "x", True, False, None, None), plain(" ")]]
-    assert run(b"\x80\0\0\xff\x80\0\0", b"visible\0invisible\0") == [[plain("visible")]]
-    assert run(b"\x80\0\0\x86\x22\x08\x80\x02\0\0\7\0\x82\xff", b"\0\0\0") == [("|bm7", "inline")]
-    assert run(b"\x87\x22\x08\x80\x02\0\0\3\0\x82\xff", b"\0\0") == [("|bm3", "left")]
-    assert run(b"\x86\x22\x08\x80\x02\1\0\0\0\x82\xff", b"\0\0\0") == []
-    assert run(b"\x81\x83\x82", b"a\0b\0c\0") == [[plain("a b\tc")]]
+BOLD = [0, 1]
+#: Commands, text, fonts' attributes, context names, and what they show.
+SHOWN = [
+    (b"\x80\0\0\x82", b"hello\0\0", [], [], [[plain("hello")]]),
+    (b"\x80\0\0\x82" * 2, b"first\0\0\0second\0\0\0", [], [], [[plain("first")], [plain("second")]]),
+    (b"\x80\4\0\xe3\xef\xbe\xad\xde\x89\x80\0\0\x82", b"\0\0click here\0\0\0", [], [], [[("link", "click here", False, False, "0xDEADBEEF", "jump")]]),
+    (b"\xe6\x78\x56\x34\x12\x89\x82", b"\0\0\0", [], [0x12345678], [[("link", "ctx_12345678", False, False, "ctx_12345678", "popup")]]),
+    (b"\x80\1\0\x80\0\0\x82", b"\0printf\0 function\0", BOLD, [], [[("text", "printf", True, False, None, None), plain(" function")]]),
+    (b"\x80\1\0\x82", b"\0 x \0", BOLD, [], [[plain(" "), ("text", "x", True, False, None, None), plain(" ")]]),
+    (b"\x80\1\0\x82\x81\x82", b"\0 \0y\0z\0", BOLD, [], [[plain(" ")], [("text", "y", True, False, None, None), plain(" "), ("text", "z", True, False, None, None)]]),
+    (b"\x80\0\0\xff\x80\0\0", b"visible\0invisible\0", [], [], [[plain("visible")]]),
+    (b"\x80\0\0\x86\x22\x08\x80\x02\0\0\7\0\x82\xff", b"\0\0\0", [], [], [("|bm7", "inline")]),
+    (b"\x87\x22\x08\x80\x02\0\0\3\0\x82\xff", b"\0\0", [], [], [("|bm3", "left")]),
+    (b"\x86\x22\x08\x80\x02\1\0\0\0\x82\xff", b"\0\0\0", [], [], []),
+    (b"\x81\x83\x82", b"a\0b\0c\0", [], [], [[plain("a b\tc")]]),
+    (b"\x89\x82\xe3\1\0\0\0\x81\x89\x89\x82", b"a\0drop\0in\0to\0b\0", [], [1], [[plain("a")], [plain("in "), ("link", "to", False, False, "ctx_00000001", "jump"), plain("b")]]),
+    (b"\xe3\1", b"a\0", [], [], []),
+    (b"\x82\x82\x82", b"a\0\xff\xfe\0", [], [], [[plain("a")], [plain("\ufffd\ufffd")]]),
+]
+
+
+def test_commands(spark):
+    """Events as rows: the blocks of every record of one table."""
+    rows = [(str(i), 0, 0x20, HEAD + commands, said) for i, (commands, said, *_) in enumerate(SHOWN)]
+    fonts = [(str(i), k, a, None) for i, (_, _, attributes, _, _) in enumerate(SHOWN) for k, a in enumerate(attributes)]
+    names = [(str(i), k, h, 0, None) for i, (_, _, _, hashes, _) in enumerate(SHOWN) for k, h in enumerate(hashes)]
+    found = decoding.blocks(
+        spark.createDataFrame(rows, "file string, rec_no int, record_type int, link_data1 binary, link_data2 binary"),
+        spark.createDataFrame(fonts, "file string, idx int, attributes int, _error string"),
+        spark.createDataFrame(names, "file string, ord int, hash long, topic_offset long, _error string"),
+    ).collect()
+    for i, (*_, expected) in enumerate(SHOWN):
+        own = sorted((r for r in found if r["file"] == str(i)), key=lambda r: r["block_no"])
+        assert [r["block_no"] for r in own] == list(range(len(expected))), i
+        assert [(r["image"], r["placement"]) if r["kind"] == "image" else [tuple(x) for x in r["inlines"]] for r in own] == expected, i
 
 
 def dib(bits=8, packed=0, pixels=b"\1\2\3\4" * 2, used=2, spots=b""):
@@ -161,4 +182,6 @@ def test_hotspots():
 @given(st.binary(max_size=80))
 def test_any_bytes_end(data):
     codecs.lz77(data), codecs.run_length(data), pictures.hotspots(data), pictures.picture_file(data)
-    opcodes.parse(0x20, data, data, [], {}), opcodes.parse(0x23, data, data, [], {})
+    list(opcodes.commands(0x20, data)), list(opcodes.commands(0x23, data)), list(codecs.tokens(data, True))
+    assert b"".join(x or b"" for _, x, _ in codecs.tokens(bytes(b | 16 for b in data), False)) == bytes(b | 16 for b in data)
+    container.walk(data, 0, len(data), 0, True), container.walk(data, 0, len(data), 0, False)

@@ -167,8 +167,7 @@ def test_trees_and_indexes():
     assert len(held.read("|SYSTEM", header=True)) == len(held.read("|SYSTEM")) + 9
     with pytest.raises(HelpError):
         held.read("|NONE")
-    with pytest.raises(HelpError, match="returns"):
-        list(container.records(struct.pack("<5IB", 21, 0, 0, 0, 21, 2), True))
+    assert container.walk(struct.pack("<5IB", 21, 0, 0, 0, 21, 2), 0, 21, 0, True) == ([(0, 21, 0, 0, 21, 2)], 0)
 
 
 def test_phrases_expand_in_records(spark):
