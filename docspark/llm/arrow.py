@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.sql import SparkSession
 
 # Workers live on between tasks; the system's allocator gives a batch's buffers back when it is done, Arrow's own keeps them.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -37,6 +39,23 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
                 start, held = row, 0
             held += size
         yield batch.slice(start)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Hand what the worker has freed back to the system: it may wait long for its next task, beside others."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark send whole texts by ``rows`` at once, unless the session names a number itself: Spark bounds a batch by rows only."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(rows))
+
+
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def put(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:

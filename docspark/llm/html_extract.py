@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.llm.arrow import pieces, put
+from docspark.llm.names import free
 from docspark.storage import Workspace
 
 # Element kinds of HTML.
@@ -377,9 +378,10 @@ def _with_winners(pages: DataFrame, broadcast_chars: int, salts: int) -> DataFra
     size = found.agg(F.sum(F.length("host") + F.length(F.array_join("winners", "|")) + 64)).first()[0] or 0
     if size <= broadcast_chars:
         return pages.join(F.broadcast(found), "host", "left")
-    dealt = pages.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    copied = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copied, ["host", "__salt"], "left").drop("__salt")
+    (salt,) = free([*pages.columns, *found.columns], "salt")
+    dealt = pages.withColumn(salt, F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    copied = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, ["host", salt], "left").drop(salt)
 
 
 def main_text(pages: DataFrame, broadcast_chars: int = 8 << 20, salts: int = 64) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.llm.arrow import extended, pieces, put
+from docspark.llm.names import free
 
 UNDETERMINED = "und"
 _BLANK = 32
@@ -170,5 +171,6 @@ def detect(docs: DataFrame, profiles: Profiles, lang_col: str = "lang_pred", sco
 
 def keep_identified(docs: DataFrame, profiles: Profiles, min_score: float = 0.0) -> DataFrame:
     """The rows of ``docs`` with a language of at least ``min_score``, in their own columns; ``und`` rows go."""
-    judged = detect(docs, profiles, "__lang", "__score")
-    return judged.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score)).select(*docs.columns)
+    lang, score = free(docs.columns, "lang_pred", "score")
+    judged = detect(docs, profiles, lang, score)
+    return judged.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).select(*docs.columns)

@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.arrow import extended, pieces, put
+from docspark.llm.names import free
 from docspark.llm.skew import salted_join
 from docspark.storage import Workspace
 
@@ -303,21 +304,22 @@ def redact_documents(docs: DataFrame, **options) -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "pii")
     added = work.table(discover(work.table(scan(docs), "scan"), work, **options), "added")
-    key = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64("text")})
-    joined = key.join(added.select(F.col("doc_id").alias("__a"), F.col("text_hash").alias("__b"), "added"), F.col("__id").eqNullSafe(F.col("__a")) & (F.col("__hash") == F.col("__b")), "left")
-    joined = joined.drop("__id", "__hash", "__a", "__b").withColumnRenamed("added", "__added")
+    own_id, own_hash, of_id, of_hash, more = free(docs.columns, "own_id", "own_hash", "of_id", "of_hash", "added")
+    key = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64("text")})
+    of = added.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.col("added").alias(more))
+    joined = key.join(of, F.col(own_id).eqNullSafe(F.col(of_id)) & (F.col(own_hash) == F.col(of_hash)), "left").drop(own_id, own_hash, of_id, of_hash)
     counted = "n_chars" in docs.columns
 
     def run(batches):
         for batch in pieces(batches, "text"):
             texts = []
-            for text, more in zip(batch.column("text").to_pylist(), batch.column("__added").to_pylist(), strict=True):
-                texts.append(None if text is None else redact(text, base_spans(text) + [(s["kind"], s["start"], s["stop"]) for s in more or ()]))
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(more).to_pylist(), strict=True):
+                texts.append(None if text is None else redact(text, base_spans(text) + [(s["kind"], s["start"], s["stop"]) for s in spans or ()]))
             made = {"text": pa.array(texts, pa.string())}
             if counted:
                 made["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield put(batch, made).select(out)
 
-    out = [c for c in joined.columns if c not in ("text", "n_chars", "__added")] + ["text"] + ["n_chars"] * counted
-    schema = extended(joined.drop("__added"), {"text": "string"} | ({"n_chars": "bigint"} if counted else {}))
+    out = [c for c in joined.columns if c not in ("text", "n_chars", more)] + ["text"] + ["n_chars"] * counted
+    schema = extended(joined.drop(more), {"text": "string"} | ({"n_chars": "bigint"} if counted else {}))
     return joined.mapInArrow(run, schema).select(*docs.columns)

@@ -40,6 +40,7 @@ from xxhash import xxh64_intdigest
 
 from docspark.llm.arrow import pieces
 from docspark.llm.components import connected_components
+from docspark.llm.names import free
 from docspark.llm.skew import salted_join, spread_join
 from docspark.storage import Workspace
 
@@ -147,12 +148,13 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     Rows of equal identifier and text are repeats, of which one stays.
     """
+    kept_id, kept_hash = free(docs.columns, "kept_id", "kept_hash")
     found = near_duplicates(docs, words)
     group = F.coalesce("component_id", "fp")  # a group without any identifier goes by a fingerprint
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash"))
     kept = found.groupBy(F.col("component_id").isNull().alias("nameless"), group.alias("g")).agg(best.alias("b"), F.count("*").alias("n"))
-    kept = Workspace(docs.sparkSession, "simhash").table(kept.select(F.col("b.doc_id").alias("__id"), F.col("b.text_hash").alias("__hash"), "n"), "kept")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    kept = Workspace(docs.sparkSession, "simhash").table(kept.select(F.col("b.doc_id").alias(kept_id), F.col("b.text_hash").alias(kept_hash), "n"), "kept")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(kept_id)) & (F.xxhash64(docs["text"]) == F.col(kept_hash))
     out = docs.join(kept, same, "left_semi")
-    repeats = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash")).groupBy("__id", "__hash").count().where("count > 1")
+    repeats = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash")).groupBy("id", "hash").count().where("count > 1")
     return out.dropDuplicates(["doc_id", "text"]) if repeats.limit(1).count() else out

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.components import connected_components
+from docspark.llm.names import free
 from docspark.llm.skew import salted_join
 from docspark.storage import Workspace
 
@@ -134,23 +135,24 @@ def _rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return fitting.groupBy("host").agg(F.sort_array(F.collect_set(kind)).alias("rules"))
 
 
-def _judged(rows: DataFrame, rules: DataFrame, most_literal: int) -> DataFrame:
-    """``rows(host, path, ...)`` with the fitting rule and its action, null where none fits.
+def _judged(rows: DataFrame, rules: DataFrame, most_literal: int, action: str = "action") -> DataFrame:
+    """``rows(host, path, ...)`` with the fitting rule and its ``action``, null where none fits.
 
     Up to ``most_literal`` rules become part of the expression and no row moves; more of them are joined by
     host, a host's rows dealt over salts.
     """
+    suffixes, best_rule, fitting = free(rows.columns, "suffixes", "best", "fitting")
     few = rules.select("host", "path", "action").where("host is not null and path is not null").limit(most_literal + 1).collect()
     if len(few) <= most_literal:
         listed = sorted({(-len(r["host"] + r["path"]), r["action"] != "allow", r["host"], r["path"], r["action"]) for r in few})
         every = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("shorter", "block", "rule_host", "rule_path", "action"), r, strict=True)]) for r in listed])
-        fits = lambda r: F.array_contains(F.col("__suffixes"), r["rule_host"]) & F.startswith(F.col("path"), r["rule_path"])
+        fits = lambda r: F.array_contains(F.col(suffixes), r["rule_host"]) & F.startswith(F.col("path"), r["rule_path"])
         best = F.get(F.filter(every, fits), F.lit(0)) if listed else F.lit(None).cast("struct<rule_host:string,rule_path:string,action:string>")
-        joined = rows.withColumn("__suffixes", F.when(F.col("host") != "", F.expr(_SUFFIXES)).otherwise(F.array().cast("array<string>"))).withColumn("__best", best).drop("__suffixes")
+        joined = rows.withColumn(suffixes, F.when(F.col("host") != "", F.expr(_SUFFIXES)).otherwise(F.array().cast("array<string>"))).withColumn(best_rule, best).drop(suffixes)
     else:
-        of = _rules_of_hosts(rows.select("host").distinct(), rules)
-        joined = salted_join(rows, of, ["host"], [F.monotonically_increasing_id()], "left").withColumn("__best", F.expr("get(filter(rules, r -> startswith(path, r.rule_path)), 0)")).drop("rules")
-    return joined.withColumn("rule", F.concat("__best.rule_host", "__best.rule_path")).withColumn("__action", F.col("__best.action")).drop("__best")
+        of = _rules_of_hosts(rows.select("host").distinct(), rules).withColumnRenamed("rules", fitting)
+        joined = salted_join(rows, of, ["host"], [F.monotonically_increasing_id()], "left").withColumn(best_rule, F.expr(f"get(filter(`{fitting}`, r -> startswith(path, r.rule_path)), 0)")).drop(fitting)
+    return joined.withColumn("rule", F.concat(f"{best_rule}.rule_host", f"{best_rule}.rule_path")).withColumn(action, F.col(f"{best_rule}.action")).drop(best_rule)
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, most_literal: int = 200) -> DataFrame:
@@ -165,21 +167,22 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
         more = redirects.select(address(F.col("source")).alias("a"), address(F.col("target")).alias("b"))
         edges = more if edges is None else edges.unionByName(more)
     own = pages.drop(*ADDED).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    judged = _judged(own, rules, most_literal)
+    action, node, blocking = free([*own.columns, "rule"], "action", "node", "blocking")
+    judged = _judged(own, rules, most_literal, action)
     if edges is None:
-        verdict = F.coalesce("__action", F.lit("allow"))
-        return judged.withColumn("verdict", verdict).drop("__action")
+        verdict = F.coalesce(action, F.lit("allow"))
+        return judged.withColumn("verdict", verdict).drop(action)
     edges = work.table(edges.where("a is not null and b is not null").distinct(), "edges")
     member = connected_components(edges, work)
     cut = F.regexp_extract("node", r"^([^/?]*)([^?]*)", 1).alias("host"), F.regexp_extract("node", r"^([^/?]*)([^?]*)", 2).alias("path")
     known = _judged(member.select("node", "root", *cut), rules, most_literal)
-    passed = known.groupBy("root").agg(F.bool_or(F.col("__action") == "allow").alias("allowed"), F.bool_or(F.col("__action") == "block").alias("blocked"))
+    passed = known.groupBy("root").agg(F.bool_or(F.col("action") == "allow").alias("allowed"), F.bool_or(F.col("action") == "block").alias("blocked"))
     passed = passed.where("blocked and not coalesce(allowed, false)").select("root")
-    blocked = work.table(salted_join(member, passed, ["root"], ["node"], "left_semi").select(F.col("node").alias("__node")), "blocked")
-    out = judged.withColumn("__node", address(F.col("url")))
-    out = salted_join(out, blocked.withColumn("__blocked", F.lit(True)), ["__node"], [F.monotonically_increasing_id()], "left")
-    verdict = F.coalesce("__action", F.when(F.col("__blocked"), "block").otherwise("allow"))
-    return out.withColumn("verdict", verdict).drop("__node", "__action", "__blocked")
+    blocked = work.table(salted_join(member, passed, ["root"], ["node"], "left_semi").select(F.col("node").alias(node)), "blocked")
+    out = judged.withColumn(node, address(F.col("url")))
+    out = salted_join(out, blocked.withColumn(blocking, F.lit(True)), [node], [F.monotonically_increasing_id()], "left")
+    verdict = F.coalesce(action, F.when(F.col(blocking), "block").otherwise("allow"))
+    return out.withColumn("verdict", verdict).drop(node, action, blocking)
 
 
 #: Rules (host, path, action) of the registered query.

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 import corpus_pipeline
-from docspark.llm import language_id, pii, simhash
+import pytest
+from docspark.llm import language_id, pii, simhash, url_filter
 from docspark.llm.queries import vocabulary
 from tests.llm.test_jaccard import brute_kept
 from tokenizers import Tokenizer
@@ -41,3 +43,38 @@ def test_stages_keep_columns_and_defined_cases(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         nothing = stage(spark, nothing, sf_dir)
     assert nothing.collect() == []
+
+
+CLASHES = ["__lang", "__score", "lang_pred", "score", "__id", "__hash", "own_id", "added", "__added", "__node", "node", "root", "token", "tokens", "rules", "salt", "__salt", "gone_id", "gone_hash", "prefix", "fp", "sketch", "KEY"]
+
+
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES) - 1))
+def test_stages_keep_columns_of_any_name(spark, sf_dir, number):
+    """Helper columns give way to the table's own."""
+    r = random.Random(number)
+    rows = [(i, " ".join(r.choice(["the", "and", "cat", "sat", "here", "well"]) for _ in range(30)) + " a@b.example.org", "en", "s", 5, *(f"{c}{i}" for c in CLASHES)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    found = corpus_pipeline.STAGES[number][1](spark, docs, sf_dir)
+    assert found.columns == docs.columns
+    kept = found.collect()
+    assert len(kept) == 12
+    for row in kept:
+        assert [row[c] for c in CLASHES] == [f"{c}{row['doc_id']}" for c in CLASHES]
+
+
+def test_url_filter_keeps_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "<link rel=canonical href=/y>", *CLASHES)], "page_id long, url string, html string, " + ", ".join(f"`{c}` string" for c in [*CLASHES]))
+    for literal in (200, 0):
+        row = url_filter.filter_urls(pages, url_filter.rules_table(spark), most_literal=literal).first()
+        assert row["verdict"] == "block" and row["rule"] == "net/" and [row[c] for c in CLASHES] == CLASHES
+
+
+def test_stages_read_very_long_texts(spark, sf_dir):
+    """Half a million words in one row, with an address at its end."""
+    text = "the cat sat on the mat and the dog ran " * 50_000 + "to a@b.example.org"
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, text + " now", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir).cache()
+    (row,) = docs.collect()
+    assert row["doc_id"] == 1 and row["text"].endswith("to [EMAIL]") and len(row["text"]) == len(text) - len("a@b.example.org") + len("[EMAIL]")
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).agg({"length": "sum"}).first()[0] > 400_000
