@@ -1,24 +1,28 @@
 """Main text of web pages by consensus host paths.
 
-Every page's containers are scored by the text they hold outside links, and the page votes for the
-generalised paths (tags with their sorted classes, digits removed) of the tightest sibling containers that
-hold its text. Spark adds the votes up per host; a page's text is then what lies in containers of the
-winning vote that it has (most votes first), so that a short page, whose own best container might be a
-notice, is read like the rest of its site. A page without any winning path uses its own vote.
+A page is parsed once, into its text blocks with their containers' generalised path (tags with their sorted classes, digits removed) and its
+vote: the container that holds the article. Containers are scored by the text below them outside links; the tightest one with most of it leads to the
+nearest article or main element around it, or, without one, to the outermost container around it below the body. All that lies in there is the text, of any
+size; the score only tells where the article is.
+
+Spark adds up per host how often a path is voted for and on how many pages it occurs at all. A page's text is then what lies below
+the path, of the host's most voted ones and the page's own vote, that is most often the article where it occurs: a short page, whose own best container might be a
+notice, is read like the rest of its site, and on a host of several templates each page is read by its own. The blocks of that
+path are picked by column functions, so pages are neither parsed nor shipped twice.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and styles are
-left out wherever they stand: by their tags and roles, and where a class or id of a container, list or
-paragraph consists of their words only (``comment-list``, not ``hljs-comment`` or ``related-work``). Where
-the only article or main element, or without any such element over half of the text, lies in a container
+left out wherever they stand: by their tags and roles (an article's own header stays), and where a class or id of a container, list or
+paragraph consists of their words only (``comment-list``, not ``hljs-comment`` or ``related-work``); outside article and main elements also containers whose
+text is mostly links. Where the only article or main element, or without any such element over half of the text, lies in a container
 marked like that, the container is a mere wrapper and stays; reader comments never do. Blocks come in page
 order; inside a block, character references are decoded and white space becomes one blank.
 
-Votes are pre-aggregated per task, the winners are one row per host with at most ``winners`` votes
-(a top-k). Pages meet them without a shuffle while the winners' measured size is small, else in one salted join.
+Votes are combined before they are shuffled; winners are one row per host with at most ``winners`` votes
+(a top-k). Pages meet winners and scores without a shuffle while their measured size is small, else in salted joins.
 
 Defined cases: a null or empty page has the empty text; a null url belongs to the empty host; tags may
 be unclosed, nested wrongly or cut, of any length and depth, in linear time; a "<" that opens no tag is text; equal
-votes go to the one that sorts first; repeated rows vote and are extracted as often as they come; an empty
+scores go to the path with more votes, then to the one that sorts first; repeated rows vote and are extracted as often as they come; an empty
 table gives no rows; existing columns named like the added ones are replaced, further columns are ignored.
 """
 
@@ -30,12 +34,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.llm.arrow import pieces, put
-from docspark.llm.names import free
+from docspark.llm.skew import salted_join
 from docspark.storage import Workspace
 
 # Element kinds of HTML.
@@ -67,6 +71,7 @@ _BESIDE = frozenset(
     "area articles bar block bottom box button buttons container content first form global group icons inner item items last left link links list main "
     "mobile outer overlay page panel post posts primary reader readers right row secondary section site slot sticky stories thread title top unit user wrap wrapper".split()
 )
+_MENUS = frozenset("center div section".split())
 _MARKED_TAGS = frozenset("article blockquote center details div dl figure li ol p section table ul".split())
 
 _NAME = re.compile(r"/?[A-Za-z][^\s/<>]*")
@@ -103,12 +108,6 @@ class Page:
             self.labels.append(label)
         return found
 
-    def find(self, path: str) -> int | None:
-        at: int | None = 0
-        for label in path.split(">"):
-            at = self._nodes.get((at, label)) if at is not None else None
-        return at
-
     def path(self, node: int) -> str:
         out = []
         while node:
@@ -116,12 +115,16 @@ class Page:
             node = self.parents[node]
         return ">".join(reversed(out))
 
-    def under(self, nodes: set[int]) -> list[str]:
-        """The texts of the blocks below any of ``nodes``."""
-        inside = [False] * len(self.labels)
-        for i in range(len(self.labels)):
-            inside[i] = i in nodes or (i > 0 and inside[self.parents[i]])
-        return [b.text for b in self.blocks if inside[b.node]]
+    def sums(self) -> tuple[list[int], list[int]]:
+        """By node, the characters outside and inside links below it."""
+        plain, linked = [0] * len(self.labels), [0] * len(self.labels)
+        for b in self.blocks:
+            plain[b.node] += len(b.text) - b.linked
+            linked[b.node] += b.linked
+        for i in range(len(self.labels) - 1, 0, -1):
+            plain[self.parents[i]] += plain[i]
+            linked[self.parents[i]] += linked[i]
+        return plain, linked
 
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
@@ -130,15 +133,15 @@ def _label(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def _marks(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
-    """Whether tag, role, class or id mark an element as no article, and as comments of readers."""
+def _marks(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, bool]:
+    """Whether tag, role, class or id mark an element as no article, and as comments of readers; an article's header is its own."""
     words: set[str] = set()
     if tag in _MARKED_TAGS:
         for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
             parts = {x for x in _PARTS.split(token) if x}
             if parts & _MARKS and parts <= _MARKS | _BESIDE:
                 words |= parts
-    return bool(words) or tag in _WRAPPERS or attributes.get("role", "").lower() in _ROLES, bool(words & _READERS)
+    return bool(words) or (tag in _WRAPPERS and not (in_article and tag == "header")) or attributes.get("role", "").lower() in _ROLES, bool(words & _READERS)
 
 
 @dataclass(slots=True)
@@ -263,7 +266,7 @@ def blocks(html_text: str | None) -> Page:
             say(" ")
         node, mark = above.node, above.marked
         if not dropped and tag not in ("html", "body", "main"):
-            is_marked, of_readers = _marks(tag, found)
+            is_marked, of_readers = _marks(tag, found, bool(where.get("article")))
             if is_marked:
                 marked.append([mark, of_readers, False, 0])
                 mark = len(marked) - 1
@@ -280,6 +283,7 @@ def blocks(html_text: str | None) -> Page:
     say(text[at:])
     flush()
     _leave_out(page, marked, bare)
+    _leave_out_menus(page)
     return page
 
 
@@ -305,98 +309,133 @@ def _leave_out(page: Page, marked: list[list], bare: bool) -> None:
     page.blocks = [b for b in page.blocks if b.marked < 0 or kept[b.marked]]
 
 
-def vote(page: Page, share: float = 0.75, sibling: float = 0.05) -> set[int]:
-    """The tightest containers that hold the page's text outside links.
+def _tag(page: Page, node: int) -> str:
+    return page.labels[node].split(".")[0]
 
-    From the page inwards, the container with over ``share`` of the text is entered, unless there is text right beside
-    it; its siblings with over ``sibling`` of the text, not mostly links, belong to the article too.
-    """
-    own, links = [0] * len(page.labels), [0] * len(page.labels)
-    for b in page.blocks:
-        own[b.node] += len(b.text) - b.linked
-        links[b.node] += b.linked
-    n, linked = list(own), list(links)
+
+def _leave_out_menus(page: Page) -> None:
+    """Remove the blocks in containers that are mostly links, but for those in articles and for pages of nothing else."""
+    plain, linked = page.sums()
+    if not plain[0]:
+        return
+    menu, inside = [False] * len(plain), [False] * len(plain)
+    for i in range(1, len(plain)):
+        above, tag = page.parents[i], _tag(page, i)
+        inside[i] = inside[above] or tag in ("article", "main")
+        menu[i] = not inside[i] and (menu[above] or (tag in _MENUS and linked[i] > plain[i]))
+    page.blocks = [b for b in page.blocks if not menu[b.node]]
+
+
+def vote(page: Page, most: float = 0.75) -> int:
+    """The container of the article: around the tightest one with over ``most`` of the text outside links."""
+    plain, _ = page.sums()
     below: dict[int, list[int]] = {}
-    for i in range(len(n) - 1, 0, -1):
-        n[page.parents[i]] += n[i]
-        linked[page.parents[i]] += linked[i]
+    for i in range(1, len(plain)):
         below.setdefault(page.parents[i], []).append(i)
-    best, total = 0, n[0]
-    while below.get(best) and total:
-        tag = page.labels[best].split(".")[0]
-        if tag == "article" or (tag not in ("", "body", "html") and own[best] > sibling / 2 * total):
+    best = 0
+    while plain[0] and below.get(best):
+        inner = min(below[best], key=lambda i: (-plain[i], page.labels[i]))
+        if plain[inner] <= most * plain[0]:
             break
-        inner = min(below[best], key=lambda i: (-n[i], page.labels[i]))
-        beside = [i for i in below[best] if i != inner and n[i] > sibling * total and n[i] > linked[i]]
-        if n[inner] + sum(n[i] for i in beside) <= share * total:
-            break
-        if beside and page.labels[inner].split(".")[0] not in ("article", "main"):
-            return {inner, *beside}
         best = inner
-    return {best}
+    up = best
+    while up:
+        if _tag(page, up) in ("article", "main"):
+            return up
+        up = page.parents[up]
+    # sections are parts of one text, and so is what lies beside it in containers below the body
+    while best and _tag(page, best) not in ("html", "body") and (_tag(page, best) == "section" or (page.parents[best] and _tag(page, page.parents[best]) not in ("html", "body"))):
+        best = page.parents[best]
+    return best
+
+
+def parse(html_text: str | None) -> tuple[str, list[tuple[str, str]]]:
+    """The path that a page votes for (empty: all of it), and its blocks as path and text."""
+    page = blocks(html_text)
+    paths: dict[int, str] = {}
+    found = []
+    for b in page.blocks:
+        if b.node not in paths:
+            paths[b.node] = page.path(b.node)
+        found.append((paths[b.node], b.text))
+    return page.path(vote(page)), found
 
 
-def extract(page: Page, winners: list[str]) -> str:
-    """The text under the first winning vote that the page has, else under its own."""
-    for paths in winners:
-        nodes = {i for path in paths.split("|") if (i := page.find(path)) is not None}
-        if nodes and (found := page.under(nodes)):
-            return "\n".join(found)
-    return "\n".join(page.under(vote(page)))
+_PARSED = "page_id bigint, url string, host string, ballot string, blocks array<struct<path:string,text:string>>"
 
 
-def ballot(page: Page) -> str:
-    """The page's vote as paths, joined by ``|``; empty where the whole page is all there is."""
-    return "|".join(sorted(page.path(i) for i in vote(page) if i))
+def parsed(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, host, ballot, blocks)`` of every row of ``pages(page_id, url, html)``."""
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[^:/?#]*://([^/?#]*)", 1), F.lit("")))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    listed = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "html"):
+            ballots, offsets, paths, texts = [], [0], [], []
+            for page in batch.column("html").to_pylist():
+                ballot, found = parse(page)
+                ballots.append(ballot)
+                paths += [path for path, _ in found]
+                texts += [text for _, text in found]
+                offsets.append(len(paths))
+            held = pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], fields=list(listed.value_type))
+            made = {"ballot": pa.array(ballots, pa.string()), "blocks": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), held)}
+            yield put(batch.select(["page_id", "url", "host"]), made)
+
+    return pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(run, _PARSED.replace("page_id bigint", f"page_id {kind}"))
+
 
+def _prefixes(path: Column) -> Column:
+    """A path and those of all containers around it."""
+    parts = F.split(path, ">")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), ">"))
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "html"):
-        said = [(h or "", ballot(blocks(x))) for h, x in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)]
-        kept = [x for x in said if x[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.string()), pa.array([x[1] for x in kept], pa.string())], ["host", "vote"])
 
+def scores(pages: DataFrame) -> DataFrame:
+    """``(host, path, votes, score)`` of ``pages(host, ballot, blocks)``: how often a path is the article where it occurs."""
+    votes = pages.where("ballot <> ''").groupBy("host", F.col("ballot").alias("path")).agg(F.count("*").alias("votes"))
+    own = F.array_distinct(F.transform("blocks", lambda b: b["path"]))
+    there = pages.select("host", F.explode(F.array_distinct(F.flatten(F.transform(own, _prefixes)))).alias("path")).where("path <> ''")
+    there = there.groupBy("host", "path").agg(F.count("*").alias("pages"))
+    return votes.join(there, ["host", "path"]).select("host", "path", "votes", (F.col("votes") / F.col("pages")).alias("score"))
 
-def winning_paths(pages: DataFrame, winners: int = 4, least_share: float = 0.1) -> DataFrame:
-    """``(host, winners)``: votes with at least ``least_share`` of the host's, most first, of ``pages(host, html)``."""
-    votes = pages.select("host", "html").mapInArrow(_votes, "host string, vote string").groupBy("host", "vote").agg(F.count("*").alias("n"))
-    all_votes = Window.partitionBy("host")
-    order = all_votes.orderBy(F.desc("n"), "vote")
-    ranked = votes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= winners)
-    totals = votes.groupBy("host").agg(F.sum("n").alias("total"))
-    kept = ranked.join(totals, "host").where(F.col("n") >= least_share * F.col("total"))
-    return kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "vote"))).alias("w")).select("host", F.col("w.vote").alias("winners"))
 
+def winning_paths(scored: DataFrame, winners: int = 4, least_share: float = 0.1) -> DataFrame:
+    """``(host, winners)``: the paths with at least ``least_share`` of the host's votes, most first."""
+    order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= winners)
+    totals = scored.groupBy("host").agg(F.sum("votes").alias("total"))
+    kept = ranked.join(totals, "host").where(F.col("votes") >= least_share * F.col("total"))
+    return kept.groupBy("host").agg(F.collect_list(F.struct(F.col("score"), F.col("votes"), F.col("path"))).alias("winners"))
 
-def _with_winners(pages: DataFrame, broadcast_chars: int, salts: int) -> DataFrame:
-    """``pages`` with their host's ``winners``.
 
-    Winners of up to ``broadcast_chars`` characters in all go to every task. Beyond that they are joined by host, and a
-    host's pages are dealt over ``salts`` keys, so that one host's pages never meet in one task.
+def _met(pages: DataFrame, found: DataFrame, on: list[str], size: Column, broadcast_chars: int, salts: int) -> DataFrame:
+    """``pages`` with what ``found``, one row a key, says.
+
+    Up to ``broadcast_chars`` characters in all go to every task. Beyond that the tables are joined, and a key's pages are dealt
+    over ``salts`` tasks, so that one host's pages never meet in one.
     """
-    found = Workspace(pages.sparkSession, "html").table(winning_paths(pages), "winners")
-    size = found.agg(F.sum(F.length("host") + F.length(F.array_join("winners", "|")) + 64)).first()[0] or 0
-    if size <= broadcast_chars:
-        return pages.join(F.broadcast(found), "host", "left")
-    (salt,) = free([*pages.columns, *found.columns], "salt")
-    dealt = pages.withColumn(salt, F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    copied = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copied, ["host", salt], "left").drop(salt)
+    total = found.agg(F.sum(size + 64)).first()[0] or 0
+    if total <= broadcast_chars:
+        return pages.join(F.broadcast(found), on, "left")
+    return salted_join(pages, found, on, ["page_id", "url"], "left", salts)
 
 
 def main_text(pages: DataFrame, broadcast_chars: int = 8 << 20, salts: int = 64) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row of ``pages(page_id, url, html)``."""
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[^:/?#]*://([^/?#]*)", 1), F.lit("")))
-    own = pages.select("page_id", "url", "html", host.alias("host"))
-    joined = _with_winners(own, broadcast_chars, salts).select("page_id", "url", "html", "winners")
-
-    def run(batches):
-        for batch in pieces(batches, "html"):
-            texts = [
-                extract(blocks(page), winners or [])
-                for page, winners in zip(batch.column("html").to_pylist(), batch.column("winners").to_pylist(), strict=True)
-            ]
-            yield put(batch.select(["page_id", "url"]), {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
-
-    kinds = dict(pages.select("page_id", "url").dtypes)
-    return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    work = Workspace(pages.sparkSession, "html")
+    read = work.table(parsed(pages), "parsed")
+    scored = work.table(scores(read), "scores")
+    winners = work.table(winning_paths(scored), "winners")
+    own = scored.select("host", F.col("path").alias("ballot"), F.struct("score", "votes", "path").alias("own"))
+    joined = _met(read, winners, ["host"], F.length(F.array_join(F.transform("winners", lambda w: w["path"]), "|")), broadcast_chars, salts)
+    joined = _met(joined, own, ["host", "ballot"], F.length("ballot"), broadcast_chars, salts)
+    below = lambda path, at: (at == "") | (path == at) | F.startswith(path, F.concat(at, F.lit(">")))
+    kind = "array<struct<score:double,votes:bigint,path:string>>"
+    all_ = F.concat(F.coalesce("winners", F.array().cast(kind)), F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.array().cast(kind)))
+    there = F.filter(all_, lambda w: F.exists("blocks", lambda b: below(b["path"], w["path"])))
+    better = F.array_sort(there, lambda x, y: F.when(x["score"] != y["score"], F.when(x["score"] > y["score"], -1).otherwise(1)).when(x["votes"] != y["votes"], F.when(x["votes"] > y["votes"], -1).otherwise(1)).when(x["path"] < y["path"], -1).when(x["path"] > y["path"], 1).otherwise(0))
+    chosen = joined.withColumn("at", F.coalesce(F.get(better, F.lit(0))["path"], F.col("ballot")))
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: below(b["path"], F.col("at"))), lambda b: b["text"]), "\n")
+    return chosen.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

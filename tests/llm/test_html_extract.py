@@ -8,6 +8,12 @@ import pytest
 from docspark.llm import html_extract
 from docspark.llm.queries import op5_html_extraction
 
+def alone(html_text):
+    """A page's text by its own vote."""
+    at, found = html_extract.parse(html_text)
+    return "\n".join(text for path, text in found if not at or path == at or path.startswith(at + ">"))
+
+
 TEXT = "A sentence of the article, long enough to count. " * 4
 
 
@@ -27,8 +33,7 @@ def page(body, extra=""):
     ],
 )
 def test_blocks(body, expected):
-    found = html_extract.blocks(page(body))
-    assert html_extract.extract(found, ["html>body>article", "body>article"]) == expected
+    assert alone(page(body)) == expected
 
 
 def test_cut_page():
@@ -55,16 +60,24 @@ def test_cut_page():
         (f"<section class='intro'><p>Intro, a tenth.{'x' * 100}</p></section><section class='body'><p>{TEXT * 5}</p></section>", f"Intro, a tenth.{'x' * 100}\n{(TEXT * 5).strip()}"),
         (f"<div id='c'><h1>Head</h1><p>Some lead text, more than nothing.</p><div class='body'><p>{TEXT * 5}</p></div></div>", f"Head\nSome lead text, more than nothing.\n{(TEXT * 5).strip()}"),
         (f"{'<div>' * 3000}<p>{TEXT}</p>{'</div>' * 3000}", TEXT.strip()),
+        (f"<main><div class='lead'>The lead.</div><div class='body'><p>{TEXT * 20}</p></div><div class='coda'>The coda.</div></main>", f"The lead.\n{(TEXT * 20).strip()}\nThe coda."),
+        (f"<main><h1>Title</h1><section><p>{TEXT * 20}</p></section></main>", f"Title\n{(TEXT * 20).strip()}"),
+        (f"<article><header><h1>The headline</h1><p>By someone</p></header><p>{TEXT}</p></article>", f"The headline\nBy someone\n{TEXT.strip()}"),
+        (f"<div class='page'><div class='lead'>The lead.</div><div class='body'><p>{TEXT * 20}</p></div><div class='coda'>x</div></div>", f"The lead.\n{(TEXT * 20).strip()}\nx"),
+        (f"<header><h1>Site</h1></header><article><p>{TEXT}</p></article>", TEXT.strip()),
+        (f"<div class='wrap'><div class='top'><a href=a>one</a> <a href=b>two</a></div><div class='text'><p>{TEXT}</p></div></div>", TEXT.strip()),
+        (f"<article><div><a href=x>a link of the article</a></div><p>{TEXT}</p></article>", f"a link of the article\n{TEXT.strip()}"),
+        ("<div><a href=x>only</a></div><div><a href=y>links</a></div>", "only\nlinks"),
         ("<article><p>x</p><noscript><p>no</p></noscript><ul class='share-buttons'><li>share</ul><p>y</p></article>", "x\ny"),
     ],
 )
 def test_nothing_else_is_dropped(body, expected):
-    assert html_extract.extract(html_extract.blocks(page(body)), []) == expected
+    assert alone(page(body)) == expected
 
 
 def test_open_head_and_quotes_without_end():
-    assert html_extract.extract(html_extract.blocks(f"<head><title>T</title><body><article><p>{TEXT}</article>"), []) == TEXT.strip()
-    assert html_extract.extract(html_extract.blocks(f"<article><p title=\"x>one</p><p>{TEXT}</article>"), []) == f"one\n{TEXT.strip()}"
+    assert alone((f"<head><title>T</title><body><article><p>{TEXT}</article>")) == TEXT.strip()
+    assert alone((f"<article><p title=\"x>one</p><p>{TEXT}</article>")) == f"one\n{TEXT.strip()}"
 
 
 def test_consensus_reads_a_short_page_like_its_host(spark):
@@ -83,6 +96,16 @@ def test_consensus_reads_a_short_page_like_its_host(spark):
     assert html_extract.main_text(pages.limit(0)).collect() == []
 
 
+def test_each_page_of_a_mixed_host_is_read_by_its_own_template(spark):
+    """Four pages have their article beside a container that is the article of six others; one page's template is its own."""
+    post, words = "<div class='post'><p>{}</p></div>", "word " * 400
+    rows = [(i, "http://h/", page(post.format(TEXT))) for i in range(6)]
+    rows += [(10 + i, "http://h/", page(post.format("Read next: x") + f"<div class='story'><p>{words}</p></div>")) for i in range(4)]
+    rows += [(20, "http://h/", page(post.format("Read next: y") + f"<div class='single'><p>{words}</p></div>"))]
+    said = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {said[i] for i in range(6)} == {TEXT.strip()} and {said[i] for i in (10, 11, 12, 13, 20)} == {words.strip()}
+
+
 def test_query_against_the_pages_articles(spark, sf_dir):
     rows = {r["page_id"]: r for r in op5_html_extraction(spark, sf_dir).collect()}
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
@@ -96,4 +119,4 @@ def test_query_against_the_pages_articles(spark, sf_dir):
 
 def test_long_and_odd_pages_take_linear_time():
     for odd in ("<" * 50_000, "<a" * 50_000, '<a b="' * 20_000, "<!--" * 20_000, "&" * 50_000, "<p>" * 50_000, "<script>" * 20_000, '<a b="' * 20_000 + ">", "<div class=ad>" * 20_000 + "x", "<div>" * 40_000 + "x", "<b>" * 20_000 + "</div>" * 20_000):
-        html_extract.extract(html_extract.blocks(odd), [])
+        html_extract.parse(odd)
