@@ -109,19 +109,24 @@ def _absolute(base: Column, href: Column) -> Column:
     )
 
 
-def page_edges(pages: DataFrame) -> DataFrame:
-    """``(a, b)``: addresses of pages of ``pages(url, html)`` and of their canonical and refresh targets."""
+def page_targets(pages: DataFrame) -> DataFrame:
+    """``(url, raw)``: pages of ``pages(url, html)`` and what their canonical and refresh tags name, as written there."""
     tags = pages.where(F.col("html").isNotNull() & (F.instr("url", "://") > 0)).select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), 0)).alias("tag"))
     canonical = F.array_contains(F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+"), "canonical")
     refresh = F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh"
     moved = F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?i)^\s*[0-9.]*\s*[;,]\s*(?:url\s*=\s*)?['\"]?([^'\"]*)", 1)
     href = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, moved)
+    return tags.select("url", href.alias("raw")).where("raw is not null")
+
+
+def target_edges(targets: DataFrame, references: bool = True, dots: bool = True) -> DataFrame:
+    """``(a, b)``: the addresses of both ends of ``targets(url, raw)``; steps that no row needs can be left out of the plan."""
     # one column a step: each step reads the one before several times
-    found = tags.select("url", href.alias("raw")).where("raw is not null").select("url", _unescaped(F.col("raw")).alias("href"))
+    found = targets.select("url", (_unescaped(F.col("raw")) if references else F.trim("raw")).alias("href"))
     whole = found.select(address(F.col("url")).alias("a"), _absolute(F.col("url"), F.col("href")).alias("target")).where("target is not null")
     cut = whole.select("a", "target", host_of(F.col("target")).alias("host"), path_of(F.col("target")).alias("path"))
     query = F.regexp_extract("target", r"^.*?://[^?#]*(\?[^#]*)", 1)
-    return cut.where("host <> ''").select("a", F.concat("host", _without_dots(F.col("path")), query).alias("b"))
+    return cut.where("host <> ''").select("a", F.concat("host", _without_dots(F.col("path")) if dots else F.col("path"), query).alias("b"))
 
 
 _SUFFIXES = "transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))"
@@ -162,7 +167,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     edges between urls.
     """
     work = Workspace(pages.sparkSession, "urls")
-    edges = page_edges(pages) if "html" in pages.columns else None
+    edges = None
+    if "html" in pages.columns:
+        targets = work.table(page_targets(pages), "targets")
+        said = targets.agg(F.count("*").alias("n"), F.bool_or(F.instr("raw", "&") > 0).alias("references"), F.bool_or((F.instr("raw", ".") > 0) | (F.instr("url", "/.") > 0)).alias("dots")).first()
+        edges = target_edges(targets, said["references"], said["references"] or said["dots"]) if said["n"] else None
     if redirects is not None:
         more = redirects.select(address(F.col("source")).alias("a"), address(F.col("target")).alias("b"))
         edges = more if edges is None else edges.unionByName(more)

@@ -16,6 +16,10 @@ characters if and only if all neighbours fit in this way, so that one path of fi
 all finite weights equal, the shortest-path queue may be a stack, and the search goes depth first, longer
 pieces first. An arc's weight is computed when it is first met and kept.
 
+What runs where: ``op1_sentencepiece`` encodes by the public byte-pair model, so its path is found by that depth-first search over arcs of weight
+zero or infinity; weights are added up and relaxed in order (the tropical search) for unigram models only. The normaliser's table is applied to the
+text before the search, not composed state by state.
+
 Words (runs that start with blanks) never share a piece, so a batch's distinct words are encoded
 once (:mod:`docspark.llm.chunks`). Nothing is shuffled.
 

@@ -45,14 +45,14 @@ def test_query(spark):
 
 
 def test_rounds_make_the_graph(spark):
-    """On 20,000 vectors without structure the start alone does not do, its rounds do."""
+    """On 20,000 vectors without structure, with the query's own settings: the rounds find most of what the start alone misses."""
     x = np.random.default_rng(3).standard_normal((20_000, 48))
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
     expected = brute(list(range(len(x))), x, range(0, len(x), 200))
-    found = {rounds: ann.nearest(table, F.col("vec_id") % 200 == 0, rounds=rounds, beam=120).collect() for rounds in (0, None)}
+    found = {rounds: ann.nearest(table, F.col("vec_id") % 200 == 0, rounds=rounds).collect() for rounds in (0, None)}
     assert scores_are_exact(found[None], list(range(len(x))), x)
-    assert recall(found[0], expected) < 0.75
-    assert recall(found[None], expected) >= 0.9
+    assert recall(found[None], expected) >= 0.95
+    assert 1 - recall(found[None], expected) <= (1 - recall(found[0], expected)) / 3
 
 
 def test_endless_rounds_are_an_error(spark):
