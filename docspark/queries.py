@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions import numbers as n
+from docspark.functions import table_functions
 from docspark.functions import text as t
-from docspark.operators import decoding
+from docspark.operators import decoding, postings, scan
 from docspark.operators import relational as r
 from docspark.plans import fixture, help_file, rst
 from docspark.plans.fixture import archive
-from docspark.sources import codecs, help_source
+from docspark.sources import codecs, help_source, index_source, tree_sink
 from docspark.sources.pictures import DDB, DIB, METAFILE
 from docspark.storage import Workspace
 
@@ -286,6 +287,75 @@ def topic_assign_asof(spark, sf_dir):
     return r.forward_asof(entries, marks, ["day"], "at", "run", "mark").select("event_id", "mark")
 
 
+_LINE = """w AS (SELECT *, event_id % 50 AS delta, CASE WHEN event_id % 17 = 0 THEN (event_id % 5) * 1000 END AS base FROM events),
+g AS (SELECT *, coalesce(count(base) OVER e, 0) AS g, coalesce(last_value(base IGNORE NULLS) OVER e, 0) AS b FROM w WINDOW e AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+run AS (SELECT *, least(b + coalesce(sum(delta) OVER (PARTITION BY g ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4294967295)::BIGINT AS run FROM g)"""
+
+
+def _one_line(spark, sf_dir) -> DataFrame:
+    base = F.when(F.col("event_id") % 17 == 0, F.col("event_id") % 5 * 1000)
+    w = _table(spark, sf_dir, "events").select(F.lit(0).alias("k"), "event_id", "event_type", (F.col("event_id") % 50).alias("delta"), base.alias("base"))
+    return scan.running_offset(w, ["k"], "event_id", "delta", "base", Workspace(spark, "line"))
+
+
+@query(f"""WITH {_LINE}, marks AS (SELECT event_id AS mark, max(run) OVER (ORDER BY event_id) AS reach FROM run WHERE event_type = 'signup'),
+first AS (SELECT reach, min(mark) AS mark FROM marks GROUP BY reach), entries AS (SELECT event_id, (event_id * 37) % 9000 AS at FROM run WHERE event_type <> 'signup'),
+met AS (SELECT e.event_id, m.mark FROM entries e ASOF JOIN first m ON e.at <= m.reach)
+SELECT event_id, run, mark FROM run LEFT JOIN met USING (event_id)""")
+def one_key_asof(spark, sf_dir):
+    """A running offset and a forward as-of over all events as one key, in parts of equal size."""
+    run = Workspace(spark, "line").table(_one_line(spark, sf_dir), "run")
+    marks = run.where("event_type = 'signup'").select("k", F.col("event_id").alias("mark"), "run")
+    entries = run.where("event_type <> 'signup'").select("k", "event_id", (F.col("event_id") * 37 % 9000).alias("at"))
+    met = scan.forward_asof(entries, marks, ["k"], "at", "run", "mark", Workspace(spark, "asof")).select("event_id", "mark")
+    return run.select("event_id", "run").join(met, "event_id", "left")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey * 8 + l_linenumber AS i, l_quantity::BIGINT AS n, l_returnflag AS flag, md5(concat_ws(',', l_partkey, l_suppkey)) AS x FROM lineitem),
+u AS (SELECT i, min(n) AS n, min(flag) AS flag FROM l GROUP BY i),
+s AS (SELECT *, count(*) FILTER (flag = 'R') OVER o - 1 AS span, sum(n) OVER o AS stop, last_value(CASE WHEN flag = 'A' THEN i END IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM u WINDOW o AS (ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT i, span, stop::BIGINT AS stop, before FROM s WHERE span >= 0""")
+def one_key_spans(spark, sf_dir):
+    """Spans, ends and carried values over all order lines as one key."""
+    line = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("i"), F.col("l_quantity").cast("long").alias("n"), F.col("l_returnflag").alias("flag"))
+    rows = line.groupBy("i").agg(F.min("n").alias("n"), F.min("flag").alias("flag")).withColumn("k", F.lit("all"))
+    whole = scan.ordered(rows, ["k"], ["i"], Workspace(spark, "line"))
+    found = scan.scan(whole, ["k"], ["i"], "span", "sum", (F.col("flag") == "R").cast("long"), True)
+    found = scan.scan(found, ["k"], ["i"], "stop", "sum", F.col("n"), True)
+    found = scan.scan(found, ["k"], ["i"], "before", "last", F.when(F.col("flag") == "A", F.col("i")))
+    return found.withColumn("span", F.col("span") - 1).where("span >= 0").select("i", "span", "stop", "before")
+
+
+def _posted(spark, sf_dir) -> DataFrame:
+    line = _table(spark, sf_dir, "lineitem").select(F.array(F.concat(F.lit("flag "), "l_returnflag"), F.concat(F.lit("mode "), "l_linestatus"), F.concat(F.lit("supplier "), "l_suppkey")).alias("words"), F.col("l_orderkey").alias("entry"))
+    return line.select(F.explode("words").alias("word"), "entry")
+
+
+_POSTED = """w AS (SELECT DISTINCT unnest(['flag ' || l_returnflag, 'mode ' || l_linestatus, 'supplier ' || l_suppkey]) AS word, l_orderkey AS entry FROM lineitem)"""
+
+
+@query(f"""WITH {_POSTED}, n AS (SELECT *, (row_number() OVER (PARTITION BY word ORDER BY entry) - 1) // 256 AS block_no FROM w)
+SELECT word, block_no, min(entry) AS first, max(entry) AS last, count(*)::INTEGER AS count, md5(string_agg(entry::VARCHAR, ',' ORDER BY entry)) AS digest FROM n GROUP BY word, block_no""")
+def posting_blocks(spark, sf_dir):
+    """A1: posting lists in blocks of 256, whose words may be in a third of all rows."""
+    made = postings.blocked(_posted(spark, sf_dir), Workspace(spark, "postings"), 256)
+    return made.select("word", "block_no", "first", "last", "count", F.md5(F.array_join(F.transform("entries", lambda x: x.cast("string")), ",")).alias("digest"))
+
+
+@query(f"""WITH {_POSTED}, q AS (SELECT DISTINCT l_suppkey AS query, 'supplier ' || l_suppkey AS a, 'mode ' || l_linestatus AS b, 'flag R' AS c, l_linestatus FROM lineitem)
+SELECT q.query || ' ' || q.l_linestatus AS query, x.entry FROM q JOIN w x ON x.word = q.a JOIN w y ON y.word = q.b AND y.entry = x.entry JOIN w z ON z.word = q.c AND z.entry = x.entry""")
+def posting_search(spark, sf_dir):
+    """Orders that have all of three words, by the rarest word's postings and the blocks they fall into."""
+    work = Workspace(spark, "postings")
+    blocks = work.table(postings.blocked(_posted(spark, sf_dir), work, 256), "blocks")
+    line = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linestatus").distinct()
+    words = F.array(F.concat(F.lit("supplier "), "l_suppkey"), F.concat(F.lit("mode "), "l_linestatus"), F.lit("flag R"))
+    asked = line.select(F.concat_ws(" ", F.col("l_suppkey").cast("string"), "l_linestatus").alias("query"), F.explode(words).alias("word"))
+    return postings.with_all(blocks, asked, work)[0]
+
+
 @query("""
 WITH s AS (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS span FROM conversations)
 SELECT conv_id, span, md5(string_agg(text, '|' ORDER BY turn)) AS body FROM s WHERE span >= 0 GROUP BY conv_id, span""")
@@ -692,6 +762,41 @@ SELECT 'keyword' AS kind, k || '.hlp' AS file, row_number() OVER (PARTITION BY k
 UNION ALL SELECT 'title', k || '.hlp', NULL, word, (p_partkey * 3)::VARCHAR FROM p""")
 def keyword_tree(spark, sf_dir):
     """Keyword postings and titles, in B-trees of several levels."""
+    found = help_source.tables(_keyword_archives(spark, sf_dir), names=("raw_keywords", "titles"))
+    words = found["raw_keywords"].select(F.lit("keyword").alias("kind"), "file", F.col("ord").cast("long").alias("ord"), F.col("keyword").alias("word"), F.array_join(F.transform("topic_offsets", lambda x: x.cast("string")), ",").alias("numbers"))
+    return words.unionByName(found["titles"].select(F.lit("title").alias("kind"), "file", F.lit(None).cast("long").alias("ord"), F.col("title").alias("word"), F.col("topic_offset").cast("string").alias("numbers")))
+
+
+@query("""
+WITH p AS (SELECT p_partkey // 1024 || '.hlp' AS file, p_partkey, p_name || ' ' || p_brand || ' ' || p_size AS word FROM part)
+SELECT 'keyword' AS kind, file, word, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS numbers FROM p WHERE word >= 'c' AND word < 'e' GROUP BY file, word
+UNION ALL SELECT 'title', file, word, (p_partkey * 3)::VARCHAR FROM p WHERE p_partkey * 3 BETWEEN 100 AND 4000
+UNION ALL SELECT 'files', file, '|CONTEXT', NULL FROM p GROUP BY file""")
+def index_seek(spark, sf_dir):
+    """Archives as files, of whose trees only the pages that a condition needs are read."""
+    folder = Workspace(spark, "archives").folder("files")
+    tree_sink.write(_keyword_archives(spark, sf_dir), folder)
+    name = F.regexp_extract("file", "([^/]+)$", 1).alias("file")
+    words = index_source.read(spark, folder, "keywords").where("keyword >= 'c' and keyword < 'e'")
+    titles = index_source.read(spark, folder, "titles").where("topic_offset between 100 and 4000")
+    files = index_source.read(spark, folder, "files").where("name = '|CONTEXT'")
+    found = words.select(F.lit("keyword").alias("kind"), name, F.col("keyword").alias("word"), F.array_join(F.transform("topic_offsets", lambda x: x.cast("string")), ",").alias("numbers"))
+    found = found.unionByName(titles.select(F.lit("title").alias("kind"), name, F.col("title").alias("word"), F.col("topic_offset").cast("string").alias("numbers")))
+    return found.unionByName(files.select(F.lit("files").alias("kind"), name, F.col("name").alias("word"), F.lit(None).cast("string").alias("numbers")))
+
+
+@query("""SELECT doc_id // 32 || '.hlp' AS file, count(*) AS entries, sum(doc_id + 1)::BIGINT AS hashes, CASE WHEN doc_id // 32 % 3 = 0 THEN 15 ELSE 21 END AS minor_version FROM documents GROUP BY ALL""")
+def decoded_in_sql(spark, sf_dir):
+    """2.14, S8, S9: the decoders as a table function in SQL text."""
+    table_functions.register(spark)
+    archives(spark, sf_dir).createOrReplaceTempView("help_archives")
+    return spark.sql("""
+        WITH c AS (SELECT t.file, count(*) AS entries, sum(t.hash) AS hashes FROM help_archives, LATERAL help_table(path, content, 'context') t WHERE t._error IS NULL GROUP BY t.file)
+        SELECT c.*, s.minor_version FROM c JOIN (SELECT t.* FROM help_archives, LATERAL help_table(path, content, 'system') t) s ON s.file = c.file""")
+
+
+def _keyword_archives(spark, sf_dir) -> DataFrame:
+    """Parts' words as keywords with posting lists, and as titles, in trees with pages of 1024 bytes."""
 
     def make(number, rows):
         word = lambda r: f"{r['p_name']} {r['p_brand']} {r['p_size']}"
@@ -706,9 +811,7 @@ def keyword_tree(spark, sf_dir):
         files = {"|KWBTREE": fixture.tree(entries, fixture.string_key, 4, 1024), "|KWDATA": posts, "|TTLBTREE": fixture.tree(titles, fixture.number_key, 4, 1024)}
         return archive([{"title": "t", "hash": 1}], files=files)
 
-    found = help_source.tables(_made(_parts(spark, sf_dir), "p_partkey", 1024, make), names=("raw_keywords", "titles"))
-    words = found["raw_keywords"].select(F.lit("keyword").alias("kind"), "file", F.col("ord").cast("long").alias("ord"), F.col("keyword").alias("word"), F.array_join(F.transform("topic_offsets", lambda x: x.cast("string")), ",").alias("numbers"))
-    return words.unionByName(found["titles"].select(F.lit("title").alias("kind"), "file", F.lit(None).cast("long").alias("ord"), F.col("title").alias("word"), F.col("topic_offset").cast("string").alias("numbers")))
+    return _made(_parts(spark, sf_dir), "p_partkey", 1024, make)
 
 
 @query("""

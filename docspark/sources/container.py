@@ -37,16 +37,16 @@ def terminated(data: bytes, at: int) -> tuple[str, int]:
 Entry = Callable[[bytes, int], tuple[tuple, int]]
 
 
-def _named_offset(data: bytes, at: int) -> tuple[tuple, int]:
+def named_offset(data: bytes, at: int) -> tuple[tuple, int]:
     name, at = terminated(data, at)
     return (name, number(data, at, 4)), at + 4
 
 
-def _hash_offset(data: bytes, at: int) -> tuple[tuple, int]:
+def hash_offset(data: bytes, at: int) -> tuple[tuple, int]:
     return (number(data, at, 4), number(data, at + 4, 4)), at + 8
 
 
-def _offset_title(data: bytes, at: int) -> tuple[tuple, int]:
+def offset_title(data: bytes, at: int) -> tuple[tuple, int]:
     title, end = terminated(data, at + 4)
     return (number(data, at, 4), title), end
 
@@ -103,7 +103,7 @@ class Container:
         if number(data, 0, 4) != MAGIC:
             raise HelpError(f"bad magic {number(data, 0, 4):#010x}")
         self.data = data
-        listed = tree(data[number(data, 4, 4) + FILE_HEADER :], 8, _named_offset, _after_string)
+        listed = tree(data[number(data, 4, 4) + FILE_HEADER :], 8, named_offset, _after_string)
         #: names in directory order, repeats included
         self.listed: list[tuple[str, int]] = [*listed]
         self.offsets = dict(self.listed)
@@ -185,18 +185,18 @@ def system(data: bytes, minor: int | None = None) -> System:
 def contexts(data: bytes) -> list[tuple[int, int]]:
     """``(hash, topic offset)``; inner keys are two bytes longer with flag 0x0400."""
     key = 6 if number(data, 2, 2) & 0x0400 else 4
-    return [*tree(data, 8, _hash_offset, lambda _, at: at + key)]
+    return [*tree(data, 8, hash_offset, lambda _, at: at + key)]
 
 
 def titles(data: bytes, leaf_header: int = 4) -> list[tuple[int, str]]:
     """``(topic offset, title)`` by offset."""
-    return sorted(tree(data, leaf_header, _offset_title, lambda _, at: at + 4), key=lambda x: x[0])
+    return sorted(tree(data, leaf_header, offset_title, lambda _, at: at + 4), key=lambda x: x[0])
 
 
 def keywords(index: bytes, postings: bytes, leaf_header: int = 4) -> list[tuple[str, list[int]]]:
     """Keywords and the topic offsets in their posting lists."""
     out = []
-    for word, at in tree(index, leaf_header, _named_offset, _after_string):
+    for word, at in tree(index, leaf_header, named_offset, _after_string):
         n = number(postings, at, 2, "posting list")
         out.append((word, [number(postings, at + 2 + 4 * i, 4, "posting list") for i in range(n)]))
     return out

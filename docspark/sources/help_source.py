@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from docspark.functions.text import FORMATS
 from docspark.operators import decoding
@@ -179,6 +179,18 @@ def _archive(content: bytes | None, minor: int | None, segment_blocks: int) -> A
         return broken
 
 
+def rows_of(path: str, content: bytes | None, table: str, minor: int | None, mode: str = "PERMISSIVE") -> Iterator[tuple]:
+    """The rows of one of ``TABLES`` of one archive, ``file`` first and ``_error`` last."""
+    return _rows(_archive(content, minor, SEGMENT_BLOCKS), path, table, len(schema_of(table)) - 2, mode)
+
+
+def schema_of(table: str) -> StructType:
+    """The schema of one of ``TABLES``, made without a session: table functions are analysed in a worker."""
+    kinds = {"int": IntegerType(), "bigint": LongType(), "string": StringType(), "boolean": BooleanType(), "binary": BinaryType(), "array<bigint>": ArrayType(LongType())}
+    columns = [x.split() for x in f"file string, {TABLES[table][0]}, _error string".split(", ")]
+    return StructType([StructField(name, kinds[kind]) for name, kind in columns])
+
+
 class _Broken:
     """A container that cannot be opened."""
 

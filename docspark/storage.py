@@ -76,6 +76,13 @@ class Workspace:
         self._paths.append((None, path))
         return path
 
+    def folder(self, name: str) -> str:
+        """A new folder for files that something else writes; deleted like the tables."""
+        self._made += 1
+        path = f"{self.path}/{self._made:03d}-{name}"
+        _left[path] = self.spark
+        return path
+
     def read(self, path: str, like: DataFrame) -> DataFrame:
         found = self.spark.read.schema(like.schema).parquet(path)
         self._paths = [(found if p == path else d, p) for d, p in self._paths]
