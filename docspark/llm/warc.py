@@ -422,7 +422,7 @@ def archive(pages: DataFrame, path: str | None = None, **options) -> str:
     """Write ``pages`` as archives below ``path`` (default: a new folder in the shared one); the folder."""
     spark = pages.sparkSession
     register(spark)
-    path = path or f"{Workspace(spark, 'warc').path}/archives"
+    path = path or Workspace(spark, "warc").folder("archives")
     to_records(pages).write.format("warc").options(**options).mode("append").save(path)
     return path
 
