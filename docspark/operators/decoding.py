@@ -218,7 +218,10 @@ def expanded(rows: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def records(segments: DataFrame, phrases: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """The record table of ``segments``, up to each file's first fault, and these faults ``(file, rec_no, message)``."""
-    placed = _placed(work.table(_streamed(segments), "stream"))
+    # an archive's segments come from one task; from here on they are dealt over all
+    n = segments.count()
+    dealt = segments.repartition(max(1, min(n, max(4 * work.spark.sparkContext.defaultParallelism, n // 16))), "file", "seg")
+    placed = _placed(work.table(_streamed(dealt), "stream"))
     nodes, faults = _chained(placed, work)
     rows = nodes.select("file", "before_31", "hall", "phrases", "rank", F.explode("records").alias("r")).select("file", (F.col("rank") + F.col("r.ord")).alias("rec_no"), "before_31", "hall", "phrases", "r.*")
     rows = work.table(rows, "chain")
