@@ -226,8 +226,8 @@ def table_record(cells: list[tuple[list[tuple], int]], flags: int = 0) -> tuple[
     return _packed_long(0) + _packed_word(count) + out + b"\xff\xff", "\0".join([*every, ""]).encode(), count
 
 
-def picture(kind: int, width: int, height: int, bits: int, data: bytes, method: int = 0, colors: int = 0, spots: bytes = b"") -> bytes:
-    """An internal picture file of one picture; ``colors`` black palette entries."""
+def picture(kind: int, width: int, height: int, bits: int, data: bytes, method: int = 0, colors: int = 0, spots: bytes = b"", further: bytes = b"") -> bytes:
+    """An internal picture file; ``colors`` black palette entries; ``further`` is a second picture behind the first."""
     payload = packed_picture(data, method)
     word = lambda n: struct.pack("<H", n << 1) if n < 1 << 15 else struct.pack("<I", n << 1 | 1)
     head = bytes([kind, method])
@@ -236,7 +236,8 @@ def picture(kind: int, width: int, height: int, bits: int, data: bytes, method:
     else:
         assert kind in (DIB, DDB)
         head += word(0) * 2 + bytes([1 << 1, bits << 1]) + word(width) + word(height) + word(colors) + word(0) + word(len(payload)) + word(len(spots)) + bytes(8)
-    return struct.pack("<2HI", 0x706C, 1, 8) + head + bytes(4 * colors) + payload + spots
+    first = head + bytes(4 * colors) + payload + spots
+    return struct.pack("<2H2I", 0x706C, 2, 12, 12 + len(first)) + first + further if further else struct.pack("<2HI", 0x706C, 1, 8) + first
 
 
 def hotspots(spots: list[tuple]) -> bytes:

@@ -694,7 +694,7 @@ _SPOTS = [(200, 0, 0), (204, 4, 0), (226, 0, 0), (227, 0, 0), (230, 4, 0), (231,
 
 
 def _picture_archives(spark, sf_dir) -> DataFrame:
-    """Parts as pictures of seven kinds with up to two hotspots, a picture that no topic shows, and a file that is none."""
+    """Parts as pictures of seven kinds, some with a second picture in their file, with up to two hotspots, a picture that no topic shows, and a file that is none."""
 
     def make(number, rows):
         topics, files = [], {}
@@ -702,7 +702,7 @@ def _picture_archives(spark, sf_dir) -> DataFrame:
             key, data = r["p_partkey"], _pixels(r)
             spots = fixture.hotspots([(_SPOTS[(key + j) % 11], key % 500, j, r["p_size"], 7, key * 3 + j, f"n{key}", r["p_name"]) for j in range(key % 3)])
             if key % 7 < 4:
-                made = fixture.picture(DIB, 32, 4, 8, data, key % 7, 2, spots)
+                made = fixture.picture(DIB, 32, 4, 8, data, key % 7, 2, spots, bytes([DIB, 0]) + bytes(30) if key % 2 else b"")  # every second one with a further picture
             elif key % 7 == 4:
                 made = fixture.picture(METAFILE, 100, 50, 0, data, 3, 0, spots)
             elif key % 7 == 5:
