@@ -1,7 +1,7 @@
 """A sink for files as rows: ``df.write.format("filetree")`` with columns ``path`` and ``content``.
 
-Every task writes into the job's hidden folder below the target; the driver moves the files of the tasks that
-succeeded to their places when the job commits, and removes the rest. Paths are relative to the target, which
+Every task writes into a folder of its own below the job's hidden one; when the job commits, the driver merges the folders of the tasks that
+succeeded into the target and removes the rest. It is told tasks, not files, and a folder that the target lacks is renamed whole where the file system can. Paths are relative to the target, which
 may be in any file system that ``pyarrow.fs`` opens and that all executors see. A path that comes twice
 keeps one of its contents; a path that leaves the target is an error.
 """
@@ -22,10 +22,24 @@ def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
 
 
+def _merge(fs: pa.fs.FileSystem, source: str, target: str) -> None:
+    """Move what is below ``source`` to ``target``; files replace those of their names."""
+    todo = [(source, target)]
+    while todo:
+        source, target = todo.pop()
+        fs.create_dir(target, recursive=True)
+        for entry in fs.get_file_info(pa.fs.FileSelector(source)):
+            place = f"{target}/{entry.base_name}"
+            whole = entry.is_file or (fs.type_name in ("local", "hdfs") and fs.get_file_info(place).type == pa.fs.FileType.NotFound)
+            if whole:
+                fs.move(entry.path, place)
+            else:
+                todo.append((entry.path, place))
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     task: str
-    paths: list[str]
 
 
 class TreeWriter(DataSourceArrowWriter):
@@ -35,7 +49,7 @@ class TreeWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, root = _open(self.path)
-        task, paths = uuid.uuid4().hex, []
+        task = uuid.uuid4().hex
         for batch in iterator:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if path.startswith("/") or ".." in path.split("/"):
@@ -44,15 +58,14 @@ class TreeWriter(DataSourceArrowWriter):
                 fs.create_dir(place.rpartition("/")[0], recursive=True)
                 with fs.open_output_stream(place, compression=None) as out:
                     out.write(content)
-                paths.append(path)
-        return _Written(task, paths)
+        return _Written(task)
 
     def commit(self, messages: list[_Written | None]) -> None:
         fs, root = _open(self.path)
         for m in messages:
-            for path in dict.fromkeys(m.paths) if m is not None else ():
-                fs.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
-                fs.move(f"{root}/{self.job}/{m.task}/{path}", f"{root}/{path}")
+            own = f"{root}/{self.job}/{m.task}" if m is not None else ""
+            if own and fs.get_file_info(own).type == pa.fs.FileType.Directory:
+                _merge(fs, own, root)
         self._clear()
 
     def abort(self, messages: list[_Written | None]) -> None:

@@ -188,3 +188,17 @@ def test_files_streams_and_contents(spark, tmp_path):
     query = arriving(spark, str(tmp_path / "in"), "context").writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("arrived").count() == 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """What can be read is exported; a broken archive is told and makes the status 1."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.hlp").write_bytes(archive(sample(4)))
+    assert rst.main([str(tmp_path / "in"), str(tmp_path / "dry"), "--dry-run"]) == 0
+    assert not (tmp_path / "dry").exists() and "a.hlp: 4 topics, 0 aliases, 0 images" in capsys.readouterr().out
+    (tmp_path / "in" / "broken.hlp").write_bytes(b"nothing at all")
+    (tmp_path / "in" / "fonts.hlp").write_bytes(archive(sample(2), files={"|FONT": b"12"}))
+    assert rst.main([str(tmp_path / "in"), str(tmp_path / "out"), "--verbose", "--format-version", "3.1"]) == 1
+    said = capsys.readouterr()
+    assert "broken.hlp" in said.err and "bad magic" in said.err and "font table under 8 bytes" in said.err and "[4/4]" in said.err
+    assert (tmp_path / "out" / "a" / "index.rst").read_text().count("   ctx_") == 4
