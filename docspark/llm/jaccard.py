@@ -4,12 +4,14 @@ A document is the set of its ``words``-word shingles (words and hashes as in :mo
 fewer words are one shingle). Two documents are linked where their sets' Jaccard similarity is at least
 ``similarity``; components of links are groups.
 
-SimHash. Documents whose fingerprints over the same shingles differ in at most two bits are found by
-the segment-popcount grid of :mod:`docspark.llm.simhash` and compared exactly. This unites the closest copies, however
-many, but cannot see all links: at a similarity of 0.8, fingerprints differ in about 10 of 64 bits, and no
-grid is selective at that radius.
-
-The links that are left (Chaudhuri, Ganti, Kaushik, "A primitive operator for similarity joins in data
+SimHash comes first. Sets whose fingerprints over the same shingles differ in at most two bits are found by
+the segment-popcount grid of :mod:`docspark.llm.simhash` and compared exactly. These pairs are SimHash's alone: all of them
+are listed, and what follows leaves them out. Only crowded fingerprints (in a grid point of over 32, or of over
+``_COPIES`` sets), whose pairs would be quadratic, are tied to one each instead; their other pairs are left to what
+follows. SimHash cannot see all links: at a similarity of 0.8, fingerprints differ in about 10 of 64 bits, and no grid is
+selective at that radius.
+
+The links further apart (Chaudhuri, Ganti, Kaushik, "A primitive operator for similarity joins in data
 cleaning", ICDE 2006; Xiao et al., "Efficient similarity joins for near duplicate detection", WWW 2008). In any
 one order of all shingles, two sets of similarity ``s`` share one of the first ``n - ceil(s * n) + 1`` of each.
 Only these prefixes are shuffled. At the first shared shingle, sizes and places bound the overlap from
@@ -47,7 +49,7 @@ from docspark.llm.skew import salted_join, spread_join
 from docspark.storage import Workspace
 
 WORDS, SIMILARITY = 5, 0.8
-_SAMPLE, _FREQUENT, _BROADCAST, _BITS, _HUBS, _DEALT = 8, 3, 500_000, 512, 6, 2000
+_SAMPLE, _FREQUENT, _BROADCAST, _BITS, _HUBS, _DEALT, _COPIES = 8, 3, 500_000, 512, 6, 2000, 4
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -111,8 +113,13 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= _BROADCAST else rows
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: Fraction, work: Workspace) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are similar enough."""
+def _beyond() -> Column:
+    """Whether the pair is not SimHash's: its fingerprints ``f`` and ``g`` are further apart, or one is crowded (null)."""
+    return F.coalesce(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) > simhash.MAX_DISTANCE, F.lit(True))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: Fraction, work: Workspace, where: Column | None = None) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are similar enough; of those that ``where`` lets pass, if given."""
 
     def alike(batches):
         p, q = similarity.numerator, similarity.denominator
@@ -122,8 +129,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, s
                 differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
                 yield batch.select(["a", "b"]).filter(pa.array(differ * (p + q) <= batch.column("n").to_numpy() * (q - p)))
 
-    x, y = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(s), F.col("n").cast("long").alias(n)) for c, s, n in (("a", "x", "m"), ("b", "y", "n")))
-    sketched = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("n"))
+    x, y = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(s), F.col("n").cast("long").alias(n), F.col("fp").alias(f)) for c, s, n, f in (("a", "x", "m", "f"), ("b", "y", "n", "g")))
+    met = pairs.join(x, "a").join(y, "b")
+    sketched = (met if where is None else met.where(where)).select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("n"))
     pairs = work.table(sketched.mapInArrow(alike, "a long, b long"), "alike")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = work.table(nodes.join(ends, "node", "left_semi").select("text_hash").distinct(), "wanted")
@@ -165,14 +173,29 @@ def _grouped(tokens: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
     return out
 
 
-def near_prints(nodes: DataFrame, work: Workspace) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes of close fingerprints: with the least node of each, and of these."""
+def near_prints(nodes: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` of nodes of close fingerprints, and ``nodes``, in which the ``fp`` of crowded ones is null.
+
+    All pairs of nodes that are not crowded are there; crowded ones go with the least node of their fingerprint, and of the close ones.
+    """
     prints = work.table(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("copies")), "prints")
-    close = simhash.links(prints.select("fp"), work)
-    same = spread_join(nodes.select("fp", "node"), prints.where("copies > 1"), "fp", ["node"], "copies", nodes.count()).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    one, two = (prints.select(F.col("fp").alias(x), F.col("hub").alias(f"of_{x}")) for x in ("a", "b"))
-    other = close.join(one, "a").join(two, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    return work.table(same.unionByName(other).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near")
+    close, tied, crowd = simhash.close(prints.select("fp"), work)
+    marked = prints.join(crowd.withColumn("dense", F.lit(True)), "fp", "left")
+    crowded = F.coalesce("dense", F.lit(False)) | (F.col("copies") > _COPIES)
+    marked = marked.select("fp", "hub", "copies", crowded.alias("crowded"), (F.col("copies") > 1).alias("several"))
+    placed = work.table(spread_join(nodes, marked, "fp", ["node"], "copies", nodes.count()), "placed")
+    ends = work.table(placed.where("not crowded or node = hub").select("fp", "node"), "ends")
+    one, two = (ends.select(F.col("fp").alias(x), F.col("node").alias(f"of_{x}")) for x in ("a", "b"))
+    tied = tied.select(F.col("b").alias("a"), F.col("a").alias("b"))  # the smaller first, as in the links
+    other = close.unionByName(tied).distinct().join(one, "a").join(two, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    few = placed.where("several and not crowded")
+    same = few.select("fp", F.col("node").alias("a")).join(few.select("fp", F.col("node").alias("b")), "fp").where("a < b").select("a", "b")
+    hubs = placed.where("several and crowded and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    pairs = other.unionByName(same).unionByName(hubs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = work.table(pairs, "near")
+    for done in (prints, ends):
+        work.drop(done)
+    return near, placed.withColumn("fp", F.when(~F.col("crowded"), F.col("fp"))).select(*nodes.columns)
 
 
 def shared_tokens(nodes: DataFrame, work: Workspace) -> DataFrame:
@@ -207,13 +230,18 @@ def _met(tokens: DataFrame, nodes: DataFrame, work: Workspace, similarity: Fract
 
 def links(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, work: Workspace, words: int, similarity: Fraction, dense: int = 32) -> DataFrame:
     """Edges ``(a, b)`` that join exactly the nodes whose similarity is high enough, over other nodes or directly."""
-    near = near_prints(nodes, work)
-    found = near.limit(0)
+    near, placed = near_prints(nodes, work)
+    work.drop(nodes)
+    nodes, found = placed, near.limit(0)
+    if near.limit(1).count():
+        found = _verified(near, nodes, docs, words, similarity, work)
+        if found.limit(1).count():
+            tokens = _grouped(tokens, found, work)
     for turn in range(100):
         crowded = tokens.select("token", "root").distinct().groupBy("token").count().where(F.col("count") > dense).select("token")
         crowd = work.table(salted_join(tokens, crowded, ["token"], ["node"], "left_semi"), "crowd")
         members = crowd.select("node").distinct().count()
-        if turn and not members:
+        if not members:
             break
         one = F.struct("node", "n", "pos", "root")
         # the smallest set is the most alike to all others that a passage fills; others by chance, other ones each turn
@@ -223,18 +251,18 @@ def links(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, work: Workspace,
         fit = (F.col("x.root") != F.col("y.root")) & _possible(similarity)
         met = salted_join(crowd.select("token", "node", F.struct("node", "n", "pos", "root").alias("x")), hubs, ["token"], ["node"]).where(fit)
         met = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        pairs = work.table((met if turn else met.unionByName(near)).distinct(), "pairs")
-        new = _verified(pairs, nodes, docs, words, similarity, work)
+        pairs = work.table(met.distinct(), "pairs")
+        new = _verified(pairs, nodes, docs, words, similarity, work, _beyond())
         n = new.count()
         if n:
-            found = found.unionByName(new) if turn else new
+            found = found.unionByName(new)
             tokens = _grouped(tokens, found, work)
         work.drop(crowd)
         work.drop(pairs)
         if turn and n < members / 5:  # hubs unite little more: what is left is compared under its sketches
             break
     pairs = work.table(_met(tokens, nodes, work, similarity, dense), "pairs")
-    found = found.unionByName(_verified(pairs, nodes, docs, words, similarity, work))
+    found = found.unionByName(_verified(pairs, nodes, docs, words, similarity, work, _beyond()))
     for done in (tokens, pairs):
         work.drop(done)
     return found

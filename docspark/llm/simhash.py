@@ -103,8 +103,11 @@ def _cells(nodes: DataFrame) -> DataFrame:
     return own.select("fp", "own", F.explode(F.concat(F.array("own"), F.expr(_NEXT))).alias("cell"))
 
 
-def links(nodes: DataFrame, work: Workspace, dense: int = 32) -> DataFrame:
-    """Edges ``(a, b)`` between distinct fingerprints that join exactly what ``MAX_DISTANCE`` links."""
+def close(nodes: DataFrame, work: Workspace, dense: int = 32) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(a, b)`` of linked fingerprints, ``(a, b)`` of ties among crowded ones, and the crowded ``fp``.
+
+    The first hold every link but those between two crowded fingerprints, which the ties join.
+    """
     sizes = work.table(_cells(nodes).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
     sparse = work.table(_cells(nodes).join(sizes.where(F.col("n") <= dense).select("cell"), "cell"), "sparse")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_DISTANCE
@@ -118,6 +121,12 @@ def links(nodes: DataFrame, work: Workspace, dense: int = 32) -> DataFrame:
     listed = work.table(crowd.select("fp", F.explode(flips).alias("word")), "dense")
     hubs = listed.groupBy("word").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
     tied = listed.join(hubs, "word").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    return found, tied, listed.where("word = fp").select("fp")
+
+
+def links(nodes: DataFrame, work: Workspace, dense: int = 32) -> DataFrame:
+    """Edges ``(a, b)`` between distinct fingerprints that join exactly what ``MAX_DISTANCE`` links."""
+    found, tied, _ = close(nodes, work, dense)
     return found.unionByName(tied).distinct()
 
 

@@ -7,6 +7,7 @@ import corpus_pipeline
 import pytest
 
 from docspark.llm import jaccard
+from pyspark.sql import functions as F
 
 
 def brute_set(text):
@@ -72,6 +73,48 @@ def test_stage_removes_copies_that_fingerprints_tell_apart(spark, sf_dir):
     assert sorted(x["doc_id"] for x in stage(spark, docs, sf_dir).collect()) == list(range(0, 40, 2))
 
 
+def closest(seed, sizes):
+    """Families of so many long texts, each with one of 900 words changed: fingerprints mostly within 2 bits."""
+    r = random.Random(seed)
+    texts = []
+    for n in sizes:
+        start = [f"w{r.randrange(10**6)}" for _ in range(900)]
+        for k in range(n):
+            own = list(start)
+            if k:
+                own[r.randrange(900)] = f"v{r.randrange(10**6)}"
+            texts.append(" ".join(own))
+    r.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_closest_copies_are_simhashs_alone(spark, monkeypatch):
+    """Without SimHash's pairs, copies within 2 bits stay: no later step finds them once more."""
+    rows = closest(5, [2] * 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect()) == brute_kept(rows)
+    whole, seen = jaccard.near_prints, []
+
+    def none(nodes, work):
+        pairs, placed = whole(nodes, work)
+        seen.append(pairs.count())
+        return pairs.limit(0), placed
+
+    monkeypatch.setattr(jaccard, "near_prints", none)
+    kept = jaccard.keep_one(docs).count()
+    assert kept == 20 + seen[0] > 20
+
+
+@pytest.mark.parametrize("prints", ["fp", "pmod(node, 3)", "pmod(node, 40)", "pmod(node, 1000) * 4398046511104", "node & 1152921504606846975", "pmod(node, 64)"])
+def test_fingerprints_lose_no_link(spark, monkeypatch, prints):
+    """Crowded and lone, equal and close fingerprints, whatever their texts are: SimHash and what follows give all links together."""
+    rows = closest(6, [2, 3, 5, 8, 70]) + [(i + 1000, t) for i, t in families(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = jaccard._prefixes
+    monkeypatch.setattr(jaccard, "_prefixes", lambda *a: whole(*a).withColumn("fp", F.expr(prints).cast("long")))
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect()) == brute_kept(rows)
+
+
 def test_defined_cases(spark):
     text = "the quick brown fox jumps over the lazy dog"
     docs = spark.createDataFrame([(5, None, 1), (4, "", 2), (9, text, 3), (9, text, 3), (None, text.upper(), 4), (None, "alone here", 5)], "doc_id long, text string, node int")
