@@ -19,6 +19,8 @@ from docspark.llm.arrow import small_batches
 from docspark.llm.queries import vocabulary_there
 from docspark.storage import Workspace
 
+REMEMBERED = 50_000
+
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without any letter, or far from every profile, go.
@@ -46,9 +48,12 @@ def anonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents; a text without tokens is its end token."""
+    """The packed pieces of all documents; a text without tokens is its end token.
+
+    Workers remember fewer chunks than by default: they stand beside the heap that near-dedup has left, and keep their size.
+    """
     small_batches(spark)
-    return packing.best_fit(docs, vocabulary_there("word_bpe_49k.json"))
+    return packing.best_fit(docs, vocabulary_there("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [("language ID", identify), ("SimHash near-dedup", deduplicate), ("PII", anonymise), ("best-fit packing", pack)]

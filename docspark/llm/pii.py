@@ -253,8 +253,8 @@ def graph(mentions: DataFrame, work: Workspace) -> DataFrame:
 
 def bootstrap(edges: DataFrame, work: Workspace, least_confidence: float = 0.7, least_share: float = 0.2, most_rounds: int = 1000) -> DataFrame:
     """``(pattern, kind, confidence)`` of all patterns that come to be trusted; raises where there is no end."""
-    schema = "pattern string, kind string, confidence double"
-    trusted, n = edges.sparkSession.createDataFrame([], schema), 0
+    # no rows made in Python: those come from Python workers of their own, which stay beside the others
+    trusted, n = edges.select("pattern", F.lit("").alias("kind"), F.lit(0.0).alias("confidence")).limit(0), 0
     for _ in range(most_rounds):
         fit = scored(edges, beliefs(edges, trusted)).where((F.col("confidence") >= least_confidence) & (F.col("share") >= least_share))
         new = fit.drop("share").join(trusted.select("pattern"), "pattern", "left_anti")

@@ -105,3 +105,15 @@ def test_defined_cases(spark):
     keyed = docs.where("doc_id <> 3")
     held = packing.sequences(keyed, packing.best_fit(keyed, PATH), PATH).collect()
     assert sum(len(r["ids"]) for r in held) == 9003 and all(len(r["ids"]) <= 4096 for r in held)
+
+
+def test_remembered_chunks_are_bounded_and_change_no_ids():
+    rng = np.random.default_rng(5)
+    batches = [[" ".join(f"{''.join(chr(97 + c) for c in w)}{','[: w[0] % 2]}" for w in rng.integers(0, 26, (200, 5)))] for _ in range(30)]
+    few, many = packing.chunks(PATH, 300), packing.chunks(PATH)
+    assert few is packing.chunks(PATH, 300) and few is not many
+    for texts in batches:
+        for a, b in zip(packing.document_ids(texts, few), packing.document_ids(texts, many), strict=True):
+            assert a.tolist() == b.tolist()
+        assert len(few.at) <= 300 + 200 and len(few.encode_new.known) <= 200 + 201
+    assert len(many.at) > 5000

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 import pytest
-from docspark.llm import language_id, pii, simhash, url_filter
+from docspark.llm import language_id, packing, pii, simhash, url_filter
 from docspark.llm.queries import vocabulary
 from tests.llm.test_jaccard import brute_kept
 from tokenizers import Tokenizer
@@ -78,3 +78,19 @@ def test_stages_read_very_long_texts(spark, sf_dir):
     (row,) = docs.collect()
     assert row["doc_id"] == 1 and row["text"].endswith("to [EMAIL]") and len(row["text"]) == len(text) - len("a@b.example.org") + len("[EMAIL]")
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).agg({"length": "sum"}).first()[0] > 400_000
+
+
+def test_stages_hold_little_beside_the_heap(spark, sf_dir, monkeypatch):
+    """Packing remembers few chunks, and no stage makes rows in Python, which would start a second set of workers."""
+    asked, made = [], packing.tokenise
+    monkeypatch.setattr(packing, "tokenise", lambda *a, **k: asked.append(k.get("remembered", 300_000)) or made(*a, **k))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50).cache()
+    docs.count()
+
+    def refused(*_, **__):
+        raise AssertionError("rows made in Python")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir).cache()
+    assert docs.count() and asked and max(asked) <= 50_000
