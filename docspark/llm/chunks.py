@@ -8,6 +8,15 @@ from itertools import chain
 import numpy as np
 
 
+def gather(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries ``at`` behind each other, and where each ends; entry ``i`` is ``ids[starts[i]:starts[i + 1]]``."""
+    first = starts[at]
+    n = starts[at + 1] - first
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(first - (ends - n), n) + np.arange(total)], ends
+
+
 class Chunks:
     """Encodes a batch's distinct chunks only; about ``limit`` chunks are remembered between batches.
 
@@ -36,10 +45,6 @@ class Chunks:
             self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32)))
             self.starts = np.concatenate((self.starts, ends))
         at = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-        first = self.starts[at]
-        n = self.starts[at + 1] - first
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(first - (ends - n), n) + np.arange(total)]
+        ids, ends = gather(self.ids, self.starts, at)
         upto = np.concatenate(([0], ends))[np.cumsum([0, *map(len, split)])]
         return ids, np.diff(upto)

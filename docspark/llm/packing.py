@@ -12,8 +12,9 @@ are dealt again over as many fewer groups, with twice the slack each time, until
 group. No task ever holds more than about ``group_rows`` pieces.
 
 Tokenising. ``word_bpe_49k`` drops white space before it splits words, so that a text's ids are the
-concatenated ids of its white-space-separated chunks. A batch's distinct chunks are encoded by the
-tokenizer (plain words by its model alone), and numpy gathers the ids of all documents. A worker remembers about
+concatenated ids of its white-space-separated chunks. Arrow cuts a batch's texts, finds its distinct chunks and parts
+their words from marks; the tokenizer encodes the distinct ones (plain words by its model alone, many in a call: a token
+that ends a word says so), and numpy gathers the ids of all documents. A worker remembers about
 ``remembered`` chunks, and two thirds as many words, between batches; that affects time and memory only.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed as often as
@@ -23,30 +24,38 @@ they come; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.arrow import caches, pieces
-from docspark.llm.chunks import Chunks
+from docspark.llm.chunks import Chunks, gather
 from docspark.storage import Workspace
 
 CAPACITY, END = 4096, 1
 _ODD = "\x1c\x1d\x1e\x1f"  # white space to str.split, but not to Unicode
-_WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_WHITE = "[\t-\r \x85\xa0  -     　]+"
 _REMEMBERED = 300_000
 _loaded: dict[tuple[str, int], Chunks] = {}
 
 
-def split(text: str) -> list[str]:
-    """The white-space-separated chunks, by Unicode's white space."""
-    return [x for x in _WHITE.split(text) if x] if any(c in text for c in _ODD) else text.split()
+def cut(texts: pa.Array) -> pa.Array:
+    """The white-space-separated chunks of each text, by Unicode's white space; empty ones may be among them."""
+    if pc.any(pc.match_substring_regex(texts, f"[{_ODD}]")).as_py():
+        return pc.split_pattern_regex(texts, _WHITE)
+    return pc.utf8_split_whitespace(texts)
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """``to_pylist`` of a column without nulls, without a scalar for each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class _Words:
@@ -54,43 +63,94 @@ class _Words:
 
     # Latin letters only, whose lower case is one letter again (so not U+0130), and ASCII marks behind them;
     # not the apostrophe of contractions and not "<" of special tokens
-    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=-@[-`{-~]*)")
+    plain = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<marks>[!-&(-/:;=-@[-`{-~]*)$"
 
     def __init__(self, tokenizer, limit: int = 200_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.tokenizer, self.limit = tokenizer, limit
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.bare = Tokenizer(tokenizer.model)  # takes words that are mapped already, with a space between
+        self.bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.last = np.zeros(tokenizer.get_vocab_size(), bool)  # tokens that end a word
+        for token, at in tokenizer.get_vocab().items():
+            self.last[at] = token.endswith("</w>")
+        self._forget()
         # the byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.alphabet = {i: letters[i] for i in range(256)}
-
-    def _learn(self, word: str) -> tuple[int, ...]:
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-        ids = self.known[word] = tuple([t.id for t in self.tokenizer.model.tokenize(mapped)])
-        return ids
-
-    def __call__(self, new: list[str]) -> list[tuple[int, ...]]:
+        self.alphabet = letters | {ord(" "): " "}  # which stands between words
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(2, np.int64)
+
+    def _add(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts)))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def _words(self, words: list[str]) -> None:
+        found = []
+        for i in range(0, len(words), 256):
+            joined = " ".join(words[i : i + 256])
+            mapped = joined if joined.isascii() else joined.encode().decode("latin-1").translate(self.alphabet)
+            found.append(np.array(self.bare.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(found)
+        counts = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        if len(counts) != len(words):
+            raise ValueError("the tokenizer's model does not end each word with a token of its own")
+        self._add(words, ids, counts)
+
+    def _others(self, others: list[str]) -> None:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(others, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts)
+
+    def _numbers(self, texts: pa.Array, learn: Callable[[list[str]], None]) -> np.ndarray:
+        of = texts.dictionary_encode()
+        names = _strings(of.dictionary)
+        new = [x for x in names if x not in self.known]
+        if new:
+            learn(new)
+        numbers = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        return numbers[of.indices.to_numpy()]
+
+    def __call__(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks behind each other, and where each chunk's end."""
         if len(self.known) > self.limit:
-            self.known.clear()
-        found: list[tuple[int, ...] | None] = []
-        known, learn, plain = self.known, self._learn, self.plain.fullmatch
-        others = []
-        for chunk in new:
-            m = plain(chunk)
-            if m is None:
-                others.append(len(found))
-                found.append(None)
-                continue
-            word, marks = m.groups()
-            word = word.lower()
-            ids = known.get(word) or learn(word)
-            if marks:
-                ids += known.get(marks) or learn(marks)
-            found.append(ids)
-        for at, x in zip(others, self.tokenizer.encode_batch_fast([new[i] for i in others], add_special_tokens=False), strict=True):
-            found[at] = x.ids
-        return found
+            self._forget()
+        parts = pc.extract_regex(new, self.plain)
+        other = parts.is_null()
+        parts, at = parts.drop_null(), other.to_numpy(zero_copy_only=False)
+        numbers = np.zeros((len(new), 2), np.int64)  # word and marks
+        numbers[~at, 0] = self._numbers(pc.utf8_lower(parts.field("word")), self._words)
+        numbers[~at, 1] = self._numbers(parts.field("marks"), self._words)
+        numbers[at, 0] = self._numbers(new.filter(other), self._others)
+        ids, ends = gather(self.ids, self.starts, numbers.ravel())
+        return ids, ends[1::2]
+
+
+class _Texts(Chunks):
+    """Chunks of a column: Arrow cuts the texts and finds a batch's distinct chunks, numpy gathers the ids."""
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.at) > self.limit:
+            self._forget()
+        split = self.split(texts)
+        of = split.flatten().dictionary_encode()
+        names, known = _strings(of.dictionary), len(self.at)
+        numbers = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            ids, ends = self.encode_new(of.dictionary.take(pa.array(new)))
+            numbers[new] = range(known, known + len(new))
+            self.at.update(zip([names[i] for i in new.tolist()], range(known, known + len(new)), strict=True))
+            self.starts = np.concatenate((self.starts, len(self.ids) + ends))
+            self.ids = np.concatenate((self.ids, ids))
+        ids, ends = gather(self.ids, self.starts, numbers[of.indices.to_numpy()])
+        upto = np.concatenate(([0], ends))[np.cumsum([0, *pc.list_value_length(split).to_pylist()])]
+        return ids, np.diff(upto)
 
 
 def chunks(path: str | Callable[[], str], remembered: int = _REMEMBERED) -> Chunks:
@@ -100,13 +160,14 @@ def chunks(path: str | Callable[[], str], remembered: int = _REMEMBERED) -> Chun
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _loaded[key] = Chunks(split, _Words(Tokenizer.from_file(key[0]), remembered * 2 // 3), remembered)
+        _loaded[key] = _Texts(cut, _Words(Tokenizer.from_file(key[0]), remembered * 2 // 3), remembered)
     return _loaded[key]
 
 
-def document_ids(texts: list[str | None], tokenizer: Chunks) -> Iterator[np.ndarray]:
+def document_ids(texts: list[str | None] | pa.Array, tokenizer: Chunks) -> Iterator[np.ndarray]:
     """Every document's ids with the end token."""
-    ids, counts = tokenizer.encode([x or "" for x in texts])
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    ids, counts = tokenizer.encode(column.fill_null(""))
     at = 0
     for n in counts.tolist():
         yield np.append(ids[at : at + n], np.uint32(END))
@@ -122,7 +183,7 @@ def tokenise(docs: DataFrame, path: str | Callable[[], str], capacity: int = CAP
             tokenizer = chunks(path, remembered)
             caches["packing"] = _loaded.clear
             rows, of, held = [], [], []
-            for row, ids in enumerate(document_ids(batch.column("text").to_pylist(), tokenizer)):
+            for row, ids in enumerate(document_ids(batch.column("text"), tokenizer)):
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     rows.append((k, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import sys
 import zlib
 from collections import defaultdict
 
@@ -117,3 +118,33 @@ def test_remembered_chunks_are_bounded_and_change_no_ids():
             assert a.tolist() == b.tolist()
         assert len(few.at) <= 300 + 200 and len(few.encode_new.known) <= 200 + 201
     assert len(many.at) > 5000
+
+
+odd = st.text(st.sampled_from("abEthÉßıİȺœ日本\u0301 \t\n\x1c\x1f\x85\xa0\u2003\u3000\u200b\x00'.,!<|>&#7½"), max_size=40)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | odd | odd.map(lambda x: x + " it's I'LL <|endoftext|>x e\u0301,"), max_size=5))
+def test_ids_are_the_tokenizers(texts):
+    expected = [[*packing.chunks(PATH, 300).encode_new.tokenizer.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    assert [x.tolist() for x in packing.document_ids(texts, packing.chunks(PATH, 300))] == expected
+
+
+def test_new_words_are_not_handled_one_by_one():
+    """Python calls a batch, not calls a distinct word: those took most of the time."""
+    words = np.random.default_rng(6).integers(0, 26, (20_000, 7))
+    texts = [" ".join("".join(chr(97 + c) for c in w) + ","[: w[0] % 2] for w in words[i : i + 200]) for i in range(0, len(words), 200)]
+    tokenizer, calls = packing.chunks(PATH, 400), 0
+    list(packing.document_ids(["warm"], tokenizer))
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        found = list(packing.document_ids(texts, tokenizer))
+    finally:
+        sys.setprofile(before)
+    assert len(found) == 100 and calls < len(words) / 4
