@@ -9,18 +9,23 @@ over rows; no task holds more than a segment, a record or a batch.
   names; a walk is a node ``(file, entry)``, with its records, and its exit is the entry of the next. List ranking by pointer doubling joins the nodes from
   position 0 on: after ``t`` joins the first ``2^t`` are ranked. Exits that no guess foresaw are walked and ranked again, so a wrong guess costs a round and
   changes no row. A chain that returns is an error at the record where it does.
-* *Phrases* (D3, D4, J5): packed text is cut into tokens, a row each; phrase numbers meet the phrase table in a join that must hit, and the pieces are concatenated in order.
+* *Phrases* (D3, D4, J5): a file's packed records meet its phrase table in parts of some thousand; every number of a phrase must be in the table. A row a token would be a hundred times the text.
 * *Commands* (O1-O16): a record's commands are event rows. The segment of text is a running count of the events that take one, the style is carried from the
   last font event, fonts and context names come from one join, runs of plain text are merged where nothing parts them.
 
-Keys that many rows share (an archive's font 0, a frequent phrase) are dealt over salts.
+Keys that many rows share (an archive's font 0) are dealt over salts.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator, Mapping
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from docspark.functions.text import context_name, split_style, unresolved_name
 from docspark.operators.relational import dealt_join, last_value
@@ -186,34 +191,60 @@ def _joined(order: str, piece: str) -> Column:
 # ---- D3, D4, J5
 
 
+#: Records of a file whose packed texts meet its phrase table in one group.
+_PART = 1024
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows``: what Python makes of them is many times their size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _unpacked(rows: pa.RecordBatch | pa.Table, tables: Iterable[Mapping[int, bytes]]) -> list[pa.Array]:
+    """``link2`` with phrases in place of their numbers, and ``message``."""
+    columns = [rows.column(x).to_pylist() for x in ("link2", "hall", "phrases")]
+    made = [codecs.expand(data, hall, table, count) for data, hall, count, table in zip(*columns, tables)]  # noqa: B905  tables may go on
+    return [pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.string())]
+
+
 def expanded(rows: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``(file, rec_no, link2, message)``: the tokens of ``rows(file, rec_no, link2, hall, phrases)`` replaced by ``phrases(file, idx, bytes)``.
+    """``rows(file, rec_no, link2, hall, phrases, ...)`` with the tokens of ``link2`` replaced by ``phrases(file, idx, bytes)``, and ``message``.
 
-    ``message`` names a number that the table lacks, or a token that is cut.
+    ``message`` names a number that the table lacks, or a token that is cut. A file's records meet its table in parts of some thousand.
     """
+    part = "part"
+    while part in rows.columns:
+        part += "_"
+    kept = rows.columns
+    kind = StructType([*rows.schema.fields, StructField("message", StringType())])
+    schema = to_arrow_schema(kind)
+
+    def run(key, left, right):
+        table = dict(zip(right.column("idx").to_pylist(), right.column("bytes").to_pylist(), strict=True))
+        own = left.select(kept)
+        link2, message = _unpacked(own, itertools.repeat(table))
+        columns = [link2 if name == "link2" else own.column(name) for name in kept]
+        return pa.Table.from_arrays([*columns, message], names=schema.names).cast(schema)
+
+    held = rows.withColumn(part, F.floor(F.col("rec_no") / _PART).cast("long"))
+    spread = held.select(F.col("file").alias("of"), F.col(part).alias("at")).distinct().join(phrases.select(F.col("file").alias("of"), "idx", "bytes"), "of")
+    return held.groupBy("file", part).cogroup(spread.groupBy("of", "at")).applyInArrow(run, kind)
+
+
+def expanded_by_own(rows: DataFrame) -> DataFrame:
+    """As :func:`expanded`, where each of ``rows`` has a phrase table of its own beside it, the internal file ``table``."""
+    kind = StructType([*[f for f in rows.schema.fields if f.name != "table"], StructField("message", StringType())])
+    schema = to_arrow_schema(kind)
 
     def run(batches):
-        for batch in batches:
-            file, rec_no, count, number, phrase, said, fault = [], [], [], [], [], [], []
-            for row in batch.to_pylist():
-                for i, (idx, piece, message) in enumerate(codecs.tokens(row["link2"], row["hall"])):
-                    file.append(row["file"])
-                    rec_no.append(row["rec_no"])
-                    count.append(row["phrases"])
-                    number.append(i)
-                    phrase.append(idx)
-                    said.append(piece)
-                    fault.append(message)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(file, pa.string()), pa.array(rec_no, pa.int64()), pa.array(count, pa.int32()), pa.array(number, pa.int32()), pa.array(phrase, pa.int32()), pa.array(said, pa.binary()), pa.array(fault, pa.string())],
-                ["file", "rec_no", "phrases", "number", "idx", "said", "fault"],
-            )
-
-    cut = rows.select("file", "rec_no", "link2", "hall", "phrases").mapInArrow(run, "file string, rec_no bigint, phrases int, number int, idx int, said binary, fault string")
-    told = dealt_join(cut, phrases.select("file", "idx", "bytes"), ["file", "idx"], ["rec_no", "number"], "left")
-    miss = F.when(F.col("idx").isNotNull() & F.col("bytes").isNull(), F.concat(F.lit("phrase "), F.col("idx").cast("string"), F.lit(" of "), F.col("phrases").cast("string")))
-    told = told.withColumn("fault", F.coalesce("fault", miss)).withColumn("piece", F.coalesce("bytes", "said"))
-    return told.groupBy("file", "rec_no").agg(_joined("number", "piece").alias("link2"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("number"))).alias("message"))
+        for batch in sliced(batches):
+            link2, message = _unpacked(batch, (dict(enumerate(codecs.phrases_inline(x))) for x in batch.column("table").to_pylist()))
+            columns = [link2 if name == "link2" else batch.column(name) for name in schema.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, message], names=schema.names)
+
+    return rows.mapInArrow(run, kind)
 
 
 def records(segments: DataFrame, phrases: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -228,12 +259,12 @@ def records(segments: DataFrame, phrases: DataFrame, work: Workspace) -> tuple[D
     open_ = rows.where("open")
     if open_.limit(1).count():
         rows = rows.where("not open").unionByName(_completed(open_, placed))
-    packed = rows.where("phrases > 0 and length2 > octet_length(link2)")
+    packs = F.expr("coalesce(phrases > 0 and length2 > octet_length(link2), false)")
+    packed = rows.where(packs)
     if packed.limit(1).count():
         whole = work.table(expanded(packed, phrases.where("_error is null")), "expanded")
         faults = faults.unionByName(whole.where("message is not null").select("file", "rec_no", "message"))
-        own = rows.withColumnRenamed("link2", "packed").join(whole.drop("message"), ["file", "rec_no"], "left")
-        rows = own.withColumn("link2", F.coalesce("link2", "packed"))
+        rows = rows.where(~packs).unionByName(whole.drop("message"))
     first = work.table(faults.groupBy("file").agg(F.min(F.struct("rec_no", "message")).alias("f")).select("file", "f.*"), "faults")
     if first.limit(1).count():
         rows = rows.join(first.select("file", F.col("rec_no").alias("stop")), "file", "left").where("stop is null or rec_no < stop")

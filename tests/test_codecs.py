@@ -185,3 +185,17 @@ def test_any_bytes_end(data):
     list(opcodes.commands(0x20, data)), list(opcodes.commands(0x23, data)), list(codecs.tokens(data, True))
     assert b"".join(x or b"" for _, x, _ in codecs.tokens(bytes(b | 16 for b in data), False)) == bytes(b | 16 for b in data)
     container.walk(data, 0, len(data), 0, True), container.walk(data, 0, len(data), 0, False)
+
+
+@given(st.one_of(_REPEATS, st.binary(max_size=200)), st.booleans())
+def test_expanding_equals_the_tokens(data, hall):
+    """In one loop, also over bytes that nobody packed, up to the first fault."""
+    phrases = [b"the", b"ab", *(b"%03d" % i for i in range(140))]
+    said, message = codecs.expand(data, hall, dict(enumerate(phrases)), len(phrases))
+    want, fault = b"", None
+    for idx, piece, wrong in codecs.tokens(data, hall):
+        fault = wrong or (f"phrase {idx} of {len(phrases)}" if idx is not None and idx >= len(phrases) else None)
+        if fault:
+            break
+        want += piece if idx is None else phrases[idx]
+    assert (said, message) == (want, fault)
