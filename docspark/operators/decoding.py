@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from docspark.functions.text import context_name, split_style, unresolved_name
-from docspark.operators.relational import dealt_join, last_value
+from docspark.operators.relational import dealt_join, last_value, unbroadcast
 from docspark.sources import codecs, opcodes
 from docspark.sources import container as c
 from docspark.storage import Workspace
@@ -326,7 +326,7 @@ def blocks(rows: DataFrame, fonts: DataFrame, context: DataFrame) -> DataFrame:
     event = event.withColumn("seg_no", F.coalesce(F.sum(takes.cast("int")).over(before), F.lit(0).cast("long")))
     # Its text, empty where there are no more
     said = rows.where(F.col("record_type").isin(c.TEXT, c.TABLE)).select("file", "rec_no", F.posexplode(F.split(_text("link_data2"), "\0", -1)).alias("seg_no", "said"))
-    event = event.join(said.withColumn("seg_no", F.col("seg_no").cast("long")), ["file", "rec_no", "seg_no"], "left").withColumn("said", F.coalesce("said", F.lit("")))
+    event = event.join(unbroadcast(said.withColumn("seg_no", F.col("seg_no").cast("long"))), ["file", "rec_no", "seg_no"], "left").withColumn("said", F.coalesce("said", F.lit("")))
     item = lambda kind, text=None, link=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if text is None else text).alias("text"), (F.lit(None).cast("string") if link is None else link["target"]).alias("target"), (F.lit(None).cast("string") if link is None else link["link_kind"]).alias("link_kind"))
     code = F.col("code")
     says = code.isin(opcodes.FONT, *opcodes.SAY)

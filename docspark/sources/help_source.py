@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, L
 
 from docspark.functions.text import FORMATS
 from docspark.operators import decoding
+from docspark.operators.relational import unbroadcast
 from docspark.sources import container as c
 from docspark.sources import pictures
 from docspark.sources.codecs import HelpError, phrase_table
@@ -261,7 +262,7 @@ def _parts(archives: DataFrame, minor: int | None, mode: str, names: tuple[str,
             yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
     found = work.table(archives.select("path", "content").mapInArrow(run, schema), "parts", by=["tbl"])
-    return {name: found.where(F.col("tbl") == name).select(f"{name}.*") for name in names}
+    return {name: unbroadcast(found.where(F.col("tbl") == name).select(f"{name}.*")) for name in names}
 
 
 def _with_faults(rows: DataFrame, faults: DataFrame, table: str, mode: str) -> DataFrame:
@@ -280,12 +281,12 @@ def tables(archives: DataFrame, format_version: str | None = None, mode: str = "
     if any(name in DERIVED for name in names):
         record, first = decoding.records(found["segments"].where("_error is null"), found["phrases"], work)
         faults = found["segments"].where("_error is not null").select("file", F.col("_error").alias("message")).unionByName(first.select("file", "message"))
-        found["records"] = _with_faults(record, faults, "records", mode)
+        found["records"] = unbroadcast(_with_faults(record, faults, "records", mode))
         if "blocks" in names:
             unread = found["fonts"].where("_error is not null").select("file", F.col("_error").alias("message")).unionByName(found["context"].where("_error is not null").select("file", F.col("_error").alias("message")))
             own = record.join(unread.select("file").distinct(), "file", "left_anti")
             every = faults.unionByName(unread).groupBy("file").agg(F.min("message").alias("message"))
-            found["blocks"] = _with_faults(work.table(decoding.blocks(own, found["fonts"], found["context"]), "blocks"), every, "blocks", mode)
+            found["blocks"] = unbroadcast(_with_faults(work.table(decoding.blocks(own, found["fonts"], found["context"]), "blocks"), every, "blocks", mode))
     return {name: found[name] for name in names}
 
 

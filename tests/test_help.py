@@ -202,3 +202,25 @@ def test_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr()
     assert "broken.hlp" in said.err and "bad magic" in said.err and "font table under 8 bytes" in said.err and "[4/4]" in said.err
     assert (tmp_path / "out" / "a" / "index.rst").read_text().count("   ctx_") == 4
+
+
+def test_decoded_tables_never_go_through_the_driver_by_the_size_of_their_files(spark):
+    """Their rows are many times what their compressed files take, and :func:`dealt_join` repeats them 16 times."""
+    from docspark.operators.relational import dealt_join
+
+    df = spark.createDataFrame([("a.hlp", archive([{"title": "t", "hash": 1, "paragraphs": [[("text", "x")]]}]))], "path string, content binary")
+    t = help_source.tables(df, names=("context", "records", "blocks", "images"))
+    other = spark.createDataFrame([("a.hlp",)], "file string").repartition(2)
+    plan = lambda x: x._jdf.queryExecution().sparkPlan().toString()
+    for name, table in t.items():
+        for both in (other.join(table, "file"), table.join(other, "file")):
+            assert "SortMergeJoin" in plan(both) and "Broadcast" not in plan(both), name
+    few = spark.createDataFrame([(1, 2)], "k int, v int")
+    assert "Broadcast" not in plan(dealt_join(few, few.withColumnRenamed("v", "w"), ["k"], ["v"], "left"))
+
+
+def test_searches_send_no_postings_through_the_driver(spark, sf_dir):
+    from docspark.queries import QUERIES
+
+    plan = QUERIES["posting_search"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
