@@ -248,21 +248,25 @@ def expanded_by_own(rows: DataFrame) -> DataFrame:
 
 
 def records(segments: DataFrame, phrases: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """The record table of ``segments``, up to each file's first fault, and these faults ``(file, rec_no, message)``."""
+    """The record table of ``segments``, up to each file's first fault, and these faults ``(file, rec_no, message)``.
+
+    What lies between, several times the text, is deleted before blocks are made of the records.
+    """
+    between = Workspace(work.spark, "chains")
     # an archive's segments come from one task; from here on they are dealt over all
     n = segments.count()
     dealt = segments.repartition(max(1, min(n, max(4 * work.spark.sparkContext.defaultParallelism, n // 16))), "file", "seg")
-    placed = _placed(work.table(_streamed(dealt), "stream"))
-    nodes, faults = _chained(placed, work)
+    placed = _placed(between.table(_streamed(dealt), "stream"))
+    nodes, faults = _chained(placed, between)
     rows = nodes.select("file", "before_31", "hall", "phrases", "rank", F.explode("records").alias("r")).select("file", (F.col("rank") + F.col("r.ord")).alias("rec_no"), "before_31", "hall", "phrases", "r.*")
-    rows = work.table(rows, "chain")
+    rows = between.table(rows, "chain")
     open_ = rows.where("open")
     if open_.limit(1).count():
         rows = rows.where("not open").unionByName(_completed(open_, placed))
     packs = F.expr("coalesce(phrases > 0 and length2 > octet_length(link2), false)")
     packed = rows.where(packs)
     if packed.limit(1).count():
-        whole = work.table(expanded(packed, phrases.where("_error is null")), "expanded")
+        whole = between.table(expanded(packed, phrases.where("_error is null")), "expanded")
         faults = faults.unionByName(whole.where("message is not null").select("file", "rec_no", "message"))
         rows = rows.where(~packs).unionByName(whole.drop("message"))
     first = work.table(faults.groupBy("file").agg(F.min(F.struct("rec_no", "message")).alias("f")).select("file", "f.*"), "faults")
@@ -273,7 +277,9 @@ def records(segments: DataFrame, phrases: DataFrame, work: Workspace) -> tuple[D
         "file", F.col("rec_no").cast("int").alias("rec_no"), F.col("kind").alias("record_type"), F.col("link1").alias("link_data1"), F.col("link2").alias("link_data2"), F.col("length2").alias("data_len2"),
         F.col("next").alias("next_block"), F.col("at").alias("stream_offset"), "delta", "before_31", title.alias("title"),
     )
-    return work.table(made, "records"), first
+    made = work.table(made, "records")
+    between.close()
+    return made, first
 
 
 def _text(name: str) -> Column:

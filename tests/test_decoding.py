@@ -164,6 +164,18 @@ def test_a_text_with_a_table_beside_it_is_not_shuffled(spark, sf_dir):
         assert "Join" not in plan and "Aggregate" not in plan and "Generate" not in plan
 
 
+def test_what_lies_between_segments_and_records_is_deleted(spark):
+    """Streams, walks and chains took the disk of several copies of the text while blocks were made."""
+    from pathlib import Path
+
+    place = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(place.glob("*/*"))
+    df = spark.createDataFrame([("a.hlp", archive([{"title": "t", "hash": 1, "paragraphs": [[("text", "x" * 900)]] * 50}]))], ARCHIVES)
+    found = help_source.tables(df, names=("records",))["records"]
+    kept = {p.name.partition("-")[2] for p in set(place.glob("*/*")) - before if any(p.glob("**/*.parquet"))}
+    assert kept == {"parts", "faults", "records"} and found.count() == 51
+
+
 def test_a_bad_token_ends_its_archive_by_name(spark):
     topics = [{"title": "first", "hash": 1, "paragraphs": [[("text", "the words the words the words")], [("text", "x" * 50 + "the words " * 9)]]}]
     good = archive(topics, minor=15, phrases=("inline", [*(bytes([b]) for b in range(1, 16)), b"the words"]))
